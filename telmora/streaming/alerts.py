@@ -8,13 +8,20 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from telmora.operators.alerts import HISTORY, RuleState, advance
 
-_STATE = StructType.fromDDL(
-    "state string, since_ms long, notified_ms long, last_value double, eval_ms long"
+_STATE = StructType(
+    [
+        StructField("state", StringType()),
+        StructField("since_ms", LongType()),
+        StructField("notified_ms", LongType()),
+        StructField("last_value", DoubleType()),
+        StructField("eval_ms", LongType()),
+    ]
 )
+_HISTORY_NAMES = [c.split()[0] for c in HISTORY.split(", ")]
 
 
 class AlertProcessor(StatefulProcessor):
@@ -35,8 +42,7 @@ class AlertProcessor(StatefulProcessor):
             out.append((key[0], int(r.t_ms), s.state, s.since_ms, s.notified_ms, s.last_value, float(r.value), notify))
         if s.state is not None:
             self.stored.update((s.state, s.since_ms, s.notified_ms, s.last_value, s.eval_ms))
-        names = StructType.fromDDL(HISTORY).names
-        frame = pd.DataFrame(out, columns=names)
+        frame = pd.DataFrame(out, columns=_HISTORY_NAMES)
         yield frame.astype({"t_ms": "Int64", "since_ms": "Int64", "notified_ms": "Int64"})
 
     def close(self) -> None:
@@ -48,7 +54,7 @@ def state_stream(ticks: DataFrame) -> DataFrame:
     state store provider."""
     return ticks.groupBy("rule_id").transformWithStateInPandas(
         statefulProcessor=AlertProcessor(),
-        outputStructType=StructType.fromDDL(HISTORY),
+        outputStructType=HISTORY,
         outputMode="Append",
         timeMode="None",
     )
