@@ -22,15 +22,17 @@ def le_value(text: Column) -> Column:
 
 
 def le_text(bound: Column) -> Column:
-    """Bucket bound as label text: integral bounds without decimals, ``+Inf`` for infinity."""
-    whole = F.format_string("%.0f", bound)
-    shortest = F.regexp_replace(
-        F.regexp_replace(bound.cast("string"), "E(?=[0-9])", "E+"), r"E([+-])([0-9])$", "E$10$2"
-    )
+    """Shortest text of a number: integral ones without decimals, tiny and huge ones as ``1E-05`` or
+    ``1.5E+300``, ``+Inf`` for infinity."""
+    plain = F.regexp_replace(bound.cast("string").try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    spread = F.regexp_replace(bound.cast("string"), r"\.0E", "E")
+    spread = F.regexp_replace(F.regexp_replace(spread, "E(?=[0-9])", "E+"), r"E([+-])([0-9])$", "E$10$2")
+    size = F.abs(bound)
     return (
         F.when(bound == F.lit(ieee.INF), F.lit("+Inf"))
-        .when(bound == ieee.floor(bound), whole)
-        .otherwise(shortest)
+        .when(bound == ieee.floor(bound), F.format_string("%.0f", bound))
+        .when((size >= 1e-4) & (size < 1e15), plain)
+        .otherwise(spread)
     )
 
 

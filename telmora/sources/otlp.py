@@ -92,7 +92,7 @@ def any_text(v: Column) -> Column:
 def attributes(list_: Column) -> Column:
     """Key/value list → map; empty keys and values fall out, the last of equal keys wins."""
     pairs = F.filter(
-        F.transform(list_, lambda e: F.struct(e["key"].alias("key"), any_text(e["value"]).alias("value"))),
+        F.transform(list_, lambda e: _named(key=e["key"], value=any_text(e["value"]))),
         lambda e: (e["key"] != "") & (e["value"] != ""),
     )
     keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
@@ -186,16 +186,16 @@ def to_spans(requests: DataFrame) -> DataFrame:
     rows = _flatten(requests, "resourceSpans", "scopeSpans", "spans").where(F.length("x.traceId") > 0)
     events = F.transform(
         x["events"],
-        lambda e: F.struct(
-            _long(e["timeUnixNano"]).alias("ts"),
-            F.coalesce(e["name"], F.lit("")).alias("name"),
-            attributes(e["attributes"]).alias("attrs"),
+        lambda e: _named(
+            ts=_long(e["timeUnixNano"]),
+            name=F.coalesce(e["name"], F.lit("")),
+            attrs=attributes(e["attributes"]),
         ),
     )
     links = F.transform(
         F.filter(x["links"], lambda e: (F.length(e["traceId"]) > 0) & (F.length(e["spanId"]) > 0)),
-        lambda e: F.struct(
-            F.lower(e["traceId"]).alias("trace"), F.lower(e["spanId"]).alias("span"), attributes(e["attributes"]).alias("attrs")
+        lambda e: _named(
+            trace=F.lower(e["traceId"]), span=F.lower(e["spanId"]), attrs=attributes(e["attributes"])
         ),
     )
     start, end = _long(x["startTimeUnixNano"]), _long(x["endTimeUnixNano"])
@@ -208,8 +208,8 @@ def to_spans(requests: DataFrame) -> DataFrame:
         start.alias("start_unix_nano"),
         end.alias("end_unix_nano"),
         F.greatest(F.lit(0).cast("long"), end - start).alias("duration_ns"),
-        status_code(x["status.code"]).alias("status_code"),
-        x["status.message"].alias("status_msg"),
+        status_code(x["status"]["code"]).alias("status_code"),
+        x["status"]["message"].alias("status_msg"),
         attributes(x["attributes"]).alias("attrs"),
         F.coalesce(events, F.array().cast(T.ArrayType(S.EVENT))).alias("events"),
         F.coalesce(links, F.array().cast(T.ArrayType(S.LINK))).alias("links"),
@@ -265,11 +265,11 @@ def to_points(requests: DataFrame) -> DataFrame:
             ),
         )
 
-    gauge = number(x["gauge.dataPoints"], S.TYPE_GAUGE, F.lit(S.TEMP_UNSPECIFIED))
-    sum_ = number(x["sum.dataPoints"], S.TYPE_SUM, temporality(x["sum.aggregationTemporality"]))
+    gauge = number(x["gauge"]["dataPoints"], S.TYPE_GAUGE, F.lit(S.TEMP_UNSPECIFIED))
+    sum_ = number(x["sum"]["dataPoints"], S.TYPE_SUM, temporality(x["sum"]["aggregationTemporality"]))
     hist = F.transform(
-        x["histogram.dataPoints"],
-        lambda p: _histogram_point(temporality(x["histogram.aggregationTemporality"]), p),
+        x["histogram"]["dataPoints"],
+        lambda p: _histogram_point(temporality(x["histogram"]["aggregationTemporality"]), p),
     )
     chosen = (
         F.when(x["gauge"].isNotNull(), gauge).when(x["sum"].isNotNull(), sum_).when(x["histogram"].isNotNull(), hist)
@@ -302,20 +302,28 @@ def to_points(requests: DataFrame) -> DataFrame:
     )
 
 
+def _named(**fields: Column) -> Column:
+    """Struct with explicit names; aliases get lost inside array lambdas."""
+    parts = []
+    for name, value in fields.items():
+        parts += [F.lit(name), value]
+    return F.named_struct(*parts)
+
+
 def _point(type_: int, temp: Column, p: Column, value: Column) -> Column:
     none = F.lit(None)
-    return F.struct(
-        F.lit(type_).alias("type"),
-        temp.cast("int").alias("temporality"),
-        _long(p["timeUnixNano"]).alias("ts_unix_nano"),
-        value.alias("value"),
-        none.cast("long").alias("count"),
-        none.cast("double").alias("sum"),
-        none.cast("double").alias("min"),
-        none.cast("double").alias("max"),
-        none.cast("array<bigint>").alias("bucket_counts"),
-        none.cast("array<double>").alias("explicit_bounds"),
-        attributes(p["attributes"]).alias("attrs"),
+    return _named(
+        type=F.lit(type_),
+        temporality=temp.cast("int"),
+        ts_unix_nano=_long(p["timeUnixNano"]),
+        value=value,
+        count=none.cast("long"),
+        sum=none.cast("double"),
+        min=none.cast("double"),
+        max=none.cast("double"),
+        bucket_counts=none.cast("array<bigint>"),
+        explicit_bounds=none.cast("array<double>"),
+        attrs=attributes(p["attributes"]),
     )
 
 
@@ -325,18 +333,18 @@ def _histogram_point(temp: Column, p: Column) -> Column:
     def filled(list_: Column, type_: str) -> Column:
         return F.when(F.size(list_) > 0, F.transform(list_, lambda v: v.try_cast(type_)))
 
-    return F.struct(
-        F.lit(S.TYPE_HISTOGRAM).alias("type"),
-        temp.cast("int").alias("temporality"),
-        _long(p["timeUnixNano"]).alias("ts_unix_nano"),
-        total.alias("value"),
-        _long(p["count"]).alias("count"),
-        total.alias("sum"),
-        p["min"].alias("min"),
-        p["max"].alias("max"),
-        filled(p["bucketCounts"], "bigint").alias("bucket_counts"),
-        filled(p["explicitBounds"], "double").alias("explicit_bounds"),
-        attributes(p["attributes"]).alias("attrs"),
+    return _named(
+        type=F.lit(S.TYPE_HISTOGRAM),
+        temporality=temp.cast("int"),
+        ts_unix_nano=_long(p["timeUnixNano"]),
+        value=total,
+        count=_long(p["count"]),
+        sum=total,
+        min=p["min"],
+        max=p["max"],
+        bucket_counts=filled(p["bucketCounts"], "bigint"),
+        explicit_bounds=filled(p["explicitBounds"], "double"),
+        attrs=attributes(p["attributes"]),
     )
 
 
@@ -344,7 +352,7 @@ def rejected_metrics(requests: DataFrame) -> DataFrame:
     """Number of metrics of an unsupported kind (exponential histogram, summary), as ``rejected``."""
     x = F.col("x")
     kept = F.coalesce(
-        F.size(x["gauge.dataPoints"]), F.size(x["sum.dataPoints"]), F.size(x["histogram.dataPoints"]), F.lit(0)
+        F.size(x["gauge"]["dataPoints"]), F.size(x["sum"]["dataPoints"]), F.size(x["histogram"]["dataPoints"]), F.lit(0)
     )
     unsupported = x["exponentialHistogram"].isNotNull() | x["summary"].isNotNull()
     rows = _flatten(requests, "resourceMetrics", "scopeMetrics", "metrics")
