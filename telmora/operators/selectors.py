@@ -43,7 +43,7 @@ class Grid:
         return self.start_ms + (self.steps - 1) * self.step_ms
 
     def time(self, index: Column) -> Column:
-        return (F.lit(self.start_ms) + index * F.lit(self.step_ms)).cast("long")
+        return F.lit(self.start_ms).cast("long") + index.cast("long") * F.lit(self.step_ms)
 
     def first_index(self, ts: Column) -> Column:
         """Index of the first step at or after ``ts``."""

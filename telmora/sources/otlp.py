@@ -84,11 +84,16 @@ def any_text(v: Column) -> Column:
         v["intValue"],
         double,
         F.lower(F.hex(F.try_to_binary(v["bytesValue"], F.lit("base64")))),
-        F.concat(F.lit('{"arrayValue":'), v["arrayValue"], F.lit("}")),
-        F.concat(F.lit('{"kvlistValue":'), v["kvlistValue"], F.lit("}")),
+        F.concat(F.lit('{"arrayValue":'), _compact(v["arrayValue"]), F.lit("}")),
+        F.concat(F.lit('{"kvlistValue":'), _compact(v["kvlistValue"]), F.lit("}")),
     )
 
 
+def _compact(json: Column) -> Column:
+    """The same JSON without insignificant blanks."""
+    return F.to_json(F.try_parse_json(json))
+
+
 def attributes(list_: Column) -> Column:
     """Key/value list → map; empty keys and values fall out, the last of equal keys wins."""
     pairs = F.filter(
