@@ -18,7 +18,7 @@ DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def le_value(text: Column) -> Column:
-    return F.when(text == "+Inf", F.lit(ieee.INF)).otherwise(text.cast("double"))
+    return text.try_cast("double")
 
 
 def le_text(bound: Column) -> Column:

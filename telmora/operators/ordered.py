@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from telmora.runtime import checkpointed
 
 _CHUNK = "__chunk"
-_CARRY = "__carry"
 DEFAULT_CHUNK_MS = 21_600_000
 _CHUNKS_PER_WINDOW = 1024
 
@@ -30,41 +29,43 @@ def _chunk(ts: str, width_ms: int) -> Column:
     return F.floor(F.col(ts) / F.lit(width_ms)).cast("long")
 
 
+def _chunked(df: DataFrame, keys: list[str], ts: str, width_ms: int) -> DataFrame:
+    """Rows with their chunk, shuffled by (key, chunk).
+
+    The windows inside the chunks and the per-chunk aggregate both start from this one exchange. They
+    must use the same columns, so that Spark shuffles (and computes) the rows once and reads them twice.
+    """
+    return df.withColumn(_CHUNK, _chunk(ts, width_ms)).repartition(*keys, _CHUNK)
+
+
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    value: str,
-    output: str,
-    chunk_ms: int = DEFAULT_CHUNK_MS,
-    order: Sequence[str] = (),
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, output: str, chunk_ms: int = DEFAULT_CHUNK_MS
 ) -> DataFrame:
-    """Running sum of ``value`` per key in ``ts`` order (ties by ``order``, then value).
+    """``keys, ts, value`` and the running sum of ``value`` per key in ``ts`` order (ties by value).
 
-    One aggregate yields a total per (key, chunk); its running sum is each chunk's opening balance.
+    Keys must not be null. A chunk's rows are summed up by themselves; the balance before the chunk comes
+    from the chunk totals.
     """
     keys = list(keys)
-    order = [c for c in order if c not in (ts, value)]
-    src = df.withColumn(_CHUNK, _chunk(ts, chunk_ms))
+    rows = _chunked(df.select(*keys, ts, value), keys, ts, chunk_ms)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carries = (
-        src.groupBy(*keys, _CHUNK)
-        .agg(F.sum(value).alias("__sum"))
+    opening = (
+        rows.groupBy(*keys, _CHUNK)
+        .agg(F.sum(value).alias("__sum"), F.max(ts).alias("__last_ts"))
         .withColumn("__open", F.sum("__sum").over(before))
-        .where(F.col("__open").isNotNull())
-        .select(*keys, _CHUNK, F.col("__open").alias("__amount"), F.lit(True).alias(_CARRY))
+        .withColumn("__open_ts", F.max("__last_ts").over(before))
+        .where(F.col("__open_ts").isNotNull())
+        .select(*keys, _CHUNK, "__open")
     )
-    rows = src.withColumn("__amount", F.col(value)).withColumn(_CARRY, F.lit(False))
-    both = rows.unionByName(carries, allowMissingColumns=True)
     inside = (
         Window.partitionBy(*keys, _CHUNK)
-        .orderBy(F.col(_CARRY).desc(), F.col(ts), *[F.col(c) for c in order], F.col(value))
+        .orderBy(F.col(ts), F.col(value))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        both.withColumn(output, F.sum("__amount").over(inside))
-        .where(~F.col(_CARRY))
-        .drop(_CHUNK, _CARRY, "__amount")
+        rows.withColumn("__run", F.sum(value).over(inside))
+        .join(opening, [*keys, _CHUNK], "left")
+        .select(*keys, ts, value, F.coalesce(F.col("__run") + F.col("__open"), F.col("__run")).alias(output))
     )
 
 
@@ -76,58 +77,68 @@ def with_previous(
     window_ms: int,
     reach_ms: int | None = None,
 ) -> DataFrame:
-    """Add ``prev_ts``, ``prev_value`` and ``last_of_ts`` (no later row has the same time).
+    """``keys, ts, value`` with ``prev_ts``, ``prev_value`` and ``last_of_ts`` (no later row has the same
+    time), in ``ts`` order, ties by value.
 
-    ``reach_ms`` says that a predecessor further away than that is never used. When it is short
-    against the window, each chunk simply also receives the rows just before its start, in the same
-    pass; otherwise the last row of the chunk before is carried over from an aggregate.
-    The chunk column stays in the result, so that a following aggregation by (key, chunk, …) needs
-    no further exchange.
+    Keys must not be null. ``reach_ms`` says that a predecessor further away than that is never used.
+    When it is short against the window, each chunk also receives the rows just before its start, in the
+    same pass; otherwise the last row before a chunk comes from a per-chunk aggregate. The chunk column
+    stays in the result, so that a following aggregation by (key, chunk, …) needs no further exchange.
     """
     keys = list(keys)
+    src = df.select(*keys, ts, value)
     if reach_ms is not None and reach_ms * 8 * 64 <= window_ms:
-        width = max(1, reach_ms * 8)
-        own = _chunk(ts, width)
-        near_end = F.pmod(F.col(ts), F.lit(width)) >= width - reach_ms
-        targets = F.when(
-            near_end,
-            F.array(
-                F.struct(own.alias("c"), F.lit(False).alias("halo")),
-                F.struct((own + 1).alias("c"), F.lit(True).alias("halo")),
-            ),
-        ).otherwise(F.array(F.struct(own.alias("c"), F.lit(False).alias("halo"))))
-        both = (
-            df.withColumn("__target", F.explode(targets))
-            .withColumn(_CHUNK, F.col("__target.c"))
-            .withColumn(_CARRY, F.col("__target.halo"))
-            .drop("__target")
+        return _previous_by_overlap(src, keys, ts, value, reach_ms)
+    rows = _chunked(src, keys, ts, chunk_width(window_ms))
+    before = Window.partitionBy(*keys).orderBy(_CHUNK)
+    last = rows.groupBy(*keys, _CHUNK).agg(F.max(F.struct(F.col(ts), F.col(value))).alias("__last"))
+    carried = (
+        last.withColumn("__prev", F.lag("__last").over(before))
+        .where(F.col("__prev").isNotNull())
+        .select(
+            *keys, _CHUNK, F.col(f"__prev.{ts}").alias("__carry_ts"), F.col(f"__prev.{value}").alias("__carry_value")
         )
-    else:
-        src = df.withColumn(_CHUNK, _chunk(ts, chunk_width(window_ms)))
-        before = Window.partitionBy(*keys).orderBy(_CHUNK)
-        last = src.groupBy(*keys, _CHUNK).agg(F.max(F.struct(F.col(ts), F.col(value))).alias("__last"))
-        carries = (
-            last.withColumn("__prev", F.lag("__last").over(before))
-            .where(F.col("__prev").isNotNull())
-            .select(
-                *keys,
-                _CHUNK,
-                F.col(f"__prev.{ts}").alias(ts),
-                F.col(f"__prev.{value}").alias(value),
-                F.lit(True).alias(_CARRY),
-            )
+    )
+    first = F.col("__prev_ts").isNull()
+    return (
+        _neighbours(rows, keys, ts, value)
+        .withColumnsRenamed({"prev_ts": "__prev_ts", "prev_value": "__prev_value"})
+        .join(carried, [*keys, _CHUNK], "left")
+        .select(
+            *keys,
+            ts,
+            value,
+            _CHUNK,
+            F.when(first, F.col("__carry_ts")).otherwise(F.col("__prev_ts")).alias("prev_ts"),
+            F.when(first, F.col("__carry_value")).otherwise(F.col("__prev_value")).alias("prev_value"),
+            "last_of_ts",
         )
-        both = src.withColumn(_CARRY, F.lit(False)).unionByName(carries, allowMissingColumns=True)
+    )
+
+
+def _neighbours(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     w = Window.partitionBy(*keys, _CHUNK).orderBy(F.col(ts), F.col(value))
     return (
-        both.withColumn("prev_ts", F.lag(ts).over(w))
+        rows.withColumn("prev_ts", F.lag(ts).over(w))
         .withColumn("prev_value", F.lag(value).over(w))
         .withColumn("last_of_ts", ~F.coalesce(F.lead(ts).over(w) == F.col(ts), F.lit(False)))
-        .where(~F.col(_CARRY))
-        .drop(_CARRY)
     )
 
 
+def _previous_by_overlap(src: DataFrame, keys: list[str], ts: str, value: str, reach_ms: int) -> DataFrame:
+    """At most every eighth row is repeated as the lead-in of the next chunk."""
+    width = max(1, reach_ms * 8)
+    own = _chunk(ts, width)
+    near_end = F.pmod(F.col(ts), F.lit(width)) >= width - reach_ms
+    here = F.struct(own.alias("c"), F.lit(False).alias("lead_in"))
+    following = F.struct((own + 1).alias("c"), F.lit(True).alias("lead_in"))
+    placed = src.withColumn(
+        "__target", F.explode(F.when(near_end, F.array(here, following)).otherwise(F.array(here)))
+    )
+    rows = placed.withColumn(_CHUNK, F.col("__target.c")).withColumn("__lead_in", F.col("__target.lead_in"))
+    return _neighbours(rows, keys, ts, value).where(~F.col("__lead_in")).drop("__lead_in", "__target")
+
+
 CHUNK_COLUMN = _CHUNK
 
 

@@ -172,13 +172,8 @@ def _paired(
     earlier point. ``point_aggs`` and ``pair_aggs`` receive the condition under which a row counts.
     """
     g = rv.eval_grid
-    rows = with_previous(
-        rv.located().select("labels_fp", "ts_ms", "value", "__a", "__b"),
-        ["labels_fp"],
-        "ts_ms",
-        "value",
-        rv.window_ms,
-        rv.range_ms,
+    rows = rv.with_steps(
+        with_previous(rv.visible(), ["labels_fp"], "ts_ms", "value", rv.window_ms, rv.range_ms)
     )
     oldest = F.col("prev_ts") >= F.lit(g.start_ms - rv.offset_ms - rv.range_ms)
     rows = rows.withColumn(

@@ -31,33 +31,28 @@ def samples_from_columns(
     )
 
 
-def _between(labels: Column, low: str | None, high: str | None) -> Column:
-    def inside(k: Column, _: Column) -> Column:
-        cond = F.lit(True)
-        if low is not None:
-            cond = cond & (k > low)
-        if high is not None:
-            cond = cond & (k < high)
-        return cond
+_AROUND = (L.NAME, "le")
+_SEGMENTS = ("__p0", "__p1", "__p2")
+_HISTOGRAM_SUFFIXES = ("_bucket", "_sum", "_count")
 
-    return F.nullif(L.fingerprint(F.map_filter(labels, inside)), F.lit(""))
 
-
-def _pair(key: str, value: Column) -> Column:
-    return F.concat(F.lit(key + '="'), value, F.lit('"'))
+def render_labels(rows: DataFrame, labels: str = "labels") -> DataFrame:
+    """Render exposed labels ahead of ``expand_points``: on the series dictionary this is done once per
+    series instead of once per point."""
+    return L.render_exposed(rows, labels, _AROUND)
 
 
 def expand_points(points: DataFrame, exposed: str | None = None) -> DataFrame:
-    """Metric points (with a ``labels`` map of stored keys) → samples.
+    """Metric points (with a ``labels`` map of stored keys, or rendered labels) → samples.
 
     Counters and gauges appear once per exposed name; histograms as cumulative ``_bucket`` samples per
-    bound (+Inf last), ``_sum`` and ``_count``. ``exposed`` restricts the result to one name, and the
-    scan to the stored names that can carry it.
+    bound (+Inf last), ``_sum`` and ``_count``. ``exposed`` restricts the result to one name: the scan to
+    the stored names that can carry it, and the plan to the kinds of samples that can have it.
     """
     if exposed is not None:
         points = points.where(N.may_expose(F.col("name"), exposed))
-    lab = L.expose(F.col("labels"))
-    # the sorted labels around the places of __name__ and le, rendered once per point
+    if _SEGMENTS[0] not in points.columns:
+        points = render_labels(points)
     base = points.select(
         "name",
         "unit",
@@ -69,59 +64,60 @@ def expand_points(points: DataFrame, exposed: str | None = None) -> DataFrame:
         "sum",
         "bucket_counts",
         "explicit_bounds",
-        _between(lab, None, L.NAME).alias("__p1"),
-        _between(lab, L.NAME, "le").alias("__p2"),
-        _between(lab, "le", None).alias("__p3"),
+        *_SEGMENTS,
     )
+    scalars = _expand_scalars(base.where(F.col("type").isin(TYPE_SUM, TYPE_GAUGE)), exposed)
+    histograms = base.where(F.col("type") == TYPE_HISTOGRAM)
+    for suffix in _HISTOGRAM_SUFFIXES:
+        if exposed is None or exposed.endswith(suffix):
+            scalars = scalars.unionByName(_expand_histograms(histograms, suffix, exposed))
+    return scalars
+
+
+def _fp(name: Column, le: Column | None = None) -> Column:
+    return F.concat_ws(",", "__p0", L.named_pair(L.NAME, name), "__p1", *([le] if le is not None else []), "__p2")
+
+
+def _expand_scalars(rows: DataFrame, exposed: str | None) -> DataFrame:
     name, unit = F.col("name"), F.col("unit")
-    plain = F.col("type").isin(TYPE_SUM, TYPE_GAUGE)
-    scalars = base.where(plain).withColumn(
-        "__n",
-        F.explode(
-            F.when(F.col("type") == TYPE_SUM, N.counter_names(name, unit)).otherwise(N.gauge_names(name, unit))
-        ),
-    )
-    if exposed is not None:
-        scalars = scalars.where(F.col("__n") == exposed)
-    scalars = scalars.select(
-        F.concat_ws(",", "__p1", _pair(L.NAME, F.col("__n")), "__p2", "__p3").alias("labels_fp"),
+    is_sum = F.col("type") == TYPE_SUM
+    names = F.when(is_sum, N.counter_names(name, unit)).otherwise(N.gauge_names(name, unit))
+    if exposed is None:
+        rows = rows.withColumn("__n", F.explode(names))
+    else:
+        rows = rows.where(F.array_contains(names, exposed)).withColumn("__n", F.lit(exposed))
+    return rows.select(
+        _fp(F.col("__n")).alias("labels_fp"),
         "ts_ms",
         N.scale(unit, F.col("value")).alias("value"),
-        (F.col("is_delta") & (F.col("type") == TYPE_SUM)).alias("is_delta"),
+        (F.col("is_delta") & is_sum).alias("is_delta"),
     )
-    return scalars.unionByName(_expand_histograms(base.where(F.col("type") == TYPE_HISTOGRAM), exposed))
 
 
-def _expand_histograms(hist: DataFrame, exposed: str | None) -> DataFrame:
+def _expand_histograms(rows: DataFrame, suffix: str, exposed: str | None) -> DataFrame:
     unit = F.col("unit")
-    base = N.base_name(F.col("name"), unit)
-    counts = F.coalesce(F.col("bucket_counts"), F.array().cast("array<bigint>"))
-    buckets = F.transform(
-        counts,
-        lambda _, i: F.struct(
-            F.lit("_bucket").alias("suffix"),
-            F.coalesce(N.scale(unit, F.get("explicit_bounds", i)), F.lit(float("inf"))).alias("le"),
-            F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, c: a + c)
-            .cast("double")
-            .alias("value"),
-        ),
-    )
-    none = F.lit(None).cast("double").alias("le")
-    totals = F.array(
-        F.struct(F.lit("_sum").alias("suffix"), none, N.scale(unit, F.coalesce("sum", F.lit(0.0))).alias("value")),
-        F.struct(F.lit("_count").alias("suffix"), none, F.coalesce("count", F.lit(0)).cast("double").alias("value")),
-    )
-    rows = hist.withColumn("__x", F.explode(F.concat(buckets, totals))).withColumn(
-        "__n", F.concat(base, F.col("__x.suffix"))
-    )
+    rows = rows.withColumn("__n", F.concat(N.base_name(F.col("name"), unit), F.lit(suffix)))
     if exposed is not None:
         rows = rows.where(F.col("__n") == exposed)
-    le = F.when(F.col("__x.le").isNotNull(), _pair("le", le_text(F.col("__x.le"))))
-    return rows.select(
-        F.concat_ws(",", "__p1", _pair(L.NAME, F.col("__n")), "__p2", le, "__p3").alias("labels_fp"),
-        "ts_ms",
-        F.col("__x.value").alias("value"),
-        "is_delta",
+    if suffix != "_bucket":
+        value = (
+            N.scale(unit, F.coalesce("sum", F.lit(0.0)))
+            if suffix == "_sum"
+            else F.coalesce("count", F.lit(0)).cast("double")
+        )
+        return rows.select(_fp(F.col("__n")).alias("labels_fp"), "ts_ms", value.alias("value"), "is_delta")
+    # running counts of one histogram, a few dozen buckets at most
+    counts = F.col("bucket_counts")
+    running = F.aggregate(
+        counts,
+        F.array().cast("array<bigint>"),
+        lambda acc, c: F.array_append(acc, c + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))),
+    )
+    exploded = rows.select("__n", "unit", "ts_ms", "is_delta", "explicit_bounds", *_SEGMENTS, F.posexplode(running))
+    bound = N.scale(unit, F.get("explicit_bounds", F.col("pos")))
+    le = L.named_pair("le", F.coalesce(le_text(bound), F.lit("+Inf")))
+    return exploded.select(
+        _fp(F.col("__n"), le).alias("labels_fp"), "ts_ms", F.col("col").cast("double").alias("value"), "is_delta"
     )
 
 
@@ -140,11 +136,9 @@ def cumulate_delta(samples: DataFrame, from_ms: int | None = None, to_ms: int |
     if to_ms is not None:
         samples = samples.where(F.col("ts_ms") <= to_ms)
     width = DEFAULT_CHUNK_MS if from_ms is None or to_ms is None else chunk_width(to_ms - from_ms)
-    kept = samples.where(~F.col("is_delta"))
     total = running_total(samples.where("is_delta"), ["labels_fp"], "ts_ms", "value", "__total", width)
-    return kept.unionByName(
-        total.withColumn("value", F.col("__total")).withColumn("is_delta", F.lit(False)).drop("__total")
-    )
+    running = total.select("labels_fp", "ts_ms", F.col("__total").alias("value"), F.lit(False).alias("is_delta"))
+    return samples.where(~F.col("is_delta")).unionByName(running)
 
 
 def series_samples(

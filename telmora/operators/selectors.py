@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telmora.functions import labels as L
+from telmora.runtime import checkpointed
 from telmora.schema import DEFAULT_LOOKBACK_MS
 
 Matcher = tuple[str, str, str]
@@ -137,19 +138,25 @@ class RangeVector:
         g = self.eval_grid
         return g.last_ms - g.start_ms + self.range_ms
 
-    def located(self) -> DataFrame:
-        """Samples with the first and last step index that sees them."""
-        g, off = self.eval_grid, self.offset_ms
-        shifted = F.col("ts_ms") + F.lit(off)
+    def visible(self) -> DataFrame:
+        """``labels_fp, ts_ms, value`` of the samples inside the outermost window."""
+        g = self.eval_grid
+        inside = F.col("ts_ms").between(g.start_ms - self.range_ms - self.offset_ms, g.last_ms - self.offset_ms)
+        return self.samples.where(inside).select("labels_fp", "ts_ms", "value")
+
+    def with_steps(self, samples: DataFrame) -> DataFrame:
+        """Add the first and last step index that sees each sample; others fall out."""
+        g = self.eval_grid
+        shifted = F.col("ts_ms") + F.lit(self.offset_ms)
         return (
-            self.samples.where(
-                F.col("ts_ms").between(g.start_ms - self.range_ms - off, g.last_ms - off)
-            )
-            .withColumn("__a", g.first_index(shifted))
+            samples.withColumn("__a", g.first_index(shifted))
             .withColumn("__b", g.last_index(shifted + F.lit(self.range_ms)))
             .where(F.col("__a") <= F.col("__b"))
         )
 
+    def located(self) -> DataFrame:
+        return self.with_steps(self.visible())
+
     def rows(self) -> DataFrame:
         """One row per step and sample: ``labels_fp, t_ms, ts_ms, value``."""
         out = (
@@ -190,9 +197,11 @@ def with_at(rv: RangeVector, at_ms: int) -> RangeVector:
 def forward_fill(vector: DataFrame, keys: Iterable[str] = ("labels_fp",)) -> DataFrame:
     """Values of each series on the union of all times in ``vector``; 0 before its first value.
 
-    The times are evaluation steps, so a series has at most one row per step.
+    The times are evaluation steps, so a series has at most one row per step. The vector is needed three
+    times and therefore checkpointed.
     """
     keys = list(keys)
+    vector = checkpointed(vector.select(*keys, "t_ms", "value"))
     times = vector.select("t_ms").distinct().agg(F.array_sort(F.collect_set("t_ms")).alias("__times"))
     series = vector.select(*keys).distinct()
     # one row holding the step list meets every series

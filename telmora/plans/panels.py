@@ -12,6 +12,7 @@ from telmora.functions import ieee
 from telmora.functions import labels as L
 from telmora.operators import histogram as H
 from telmora.operators.logs import Filter, match_logs, search_logs
+from telmora.runtime import checkpointed
 
 Step = tuple[float | None, str]
 
@@ -113,6 +114,7 @@ def table(
 
 def bar_gauge(vector: DataFrame, steps: Sequence[Step] = ()) -> DataFrame:
     """Samples with the common maximum of their evaluation time (at least 0, and 1 if that is 0)."""
+    vector = checkpointed(vector)  # read twice
     peak = vector.groupBy("t_ms").agg(ieee.max_skip_nan(F.col("value")).alias("peak"))
     return (
         vector.join(peak, "t_ms")
@@ -124,6 +126,7 @@ def bar_gauge(vector: DataFrame, steps: Sequence[Step] = ()) -> DataFrame:
 
 def pie(vector: DataFrame) -> DataFrame:
     """Samples with their share of the sum of their evaluation time."""
+    vector = checkpointed(vector)  # read twice
     total = vector.groupBy("t_ms").agg(F.sum("value").alias("total"))
     return vector.join(total, "t_ms").withColumn("share", ieee.div(F.col("value"), F.col("total"))).drop("total")
 

@@ -5,7 +5,7 @@ VECTOR = "labels_fp string, t_ms long, sample_ts_ms long, value double"
 
 
 def fp(**labels):
-    return ",".join(f'{k}="{labels[k]}"' for k in sorted(labels))
+    return ",".join(sorted(f'{k}="{v}"' for k, v in labels.items()))
 
 
 def samples(spark, rows):

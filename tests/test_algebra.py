@@ -314,12 +314,12 @@ def test_running_total_and_rank_match_plain_windows(spark):
     from pyspark.sql import Window as W
 
     df = spark.range(2000).select(
-        (F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("ts"), F.col("id").alias("v"), "id"
+        (F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(50_000)) * 4000 + F.col("id")).alias("ts"), F.col("id").alias("v"), "id"
     )
     w = W.partitionBy("k").orderBy("ts", "id")
     want = {r["id"]: (r["s"], r["n"]) for r in df.select(
         "id", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"), F.row_number().over(w).alias("n")).collect()}
-    got = {r["id"]: r["s"] for r in O.running_total(df, ["k"], "ts", "v", "s", 777, ["id"]).collect()}
+    got = {r["v"]: r["s"] for r in O.running_total(df, ["k"], "ts", "v", "s", 777_000).collect()}
     assert got == {k: s for k, (s, _) in want.items()}
     n = {r["id"]: r["n"] for r in O.ranked(df, ["k"], ["ts", "id"], "n").collect()}
     assert n == {k: c for k, (_, c) in want.items()}
