@@ -9,6 +9,7 @@ from catalog import views as V
 from catalog.registry import query, rounded, show
 from catalog.views import DAILY, DAY_MS, HIST_BOUNDS, sql
 from telmora.functions import labels as L
+from telmora.functions.integers import int_div
 from telmora.operators import aggregates as A
 from telmora.operators import binary as B
 from telmora.operators import histogram as H
@@ -137,7 +138,7 @@ query(
         V.histogram_points(spark, sf), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, SERIES
     ).select(
         *SERIES,
-        (F.col("ts_unix_nano") / 1_000_000).cast("long").alias("ts_ms"),
+        int_div(F.col("ts_unix_nano"), 1_000_000).alias("ts_ms"),
         *[rounded(F.col(p)).alias(p) for p in ("p50", "p95", "p99")],
     )
 )
@@ -186,7 +187,7 @@ query(
 )(
     lambda spark, sf: V.histogram_points(spark, sf).select(
         *SERIES,
-        (F.col("ts_unix_nano") / 1_000_000).cast("long").alias("ts_ms"),
+        int_div(F.col("ts_unix_nano"), 1_000_000).alias("ts_ms"),
         F.col("count").alias("n"),
         *[F.get("bucket_counts", F.lit(i - 1)).alias(f"b{i}") for i in range(1, 10)],
     )

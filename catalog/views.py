@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telmora.functions.integers import int_div
 from telmora.operators.histogram import bucket_counts
 from telmora.operators.samples import samples_from_columns
 from telmora.operators.selectors import Grid
@@ -35,7 +36,7 @@ def _text(c: Column) -> Column:
 
 
 def _idiv(c: Column, n: int) -> Column:
-    return ((c - c % F.lit(n)) / F.lit(n)).cast("long")
+    return int_div(c, n)
 
 
 # --- events -----------------------------------------------------------------------------------

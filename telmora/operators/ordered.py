@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telmora.functions.integers import floor_div
 from telmora.runtime import checkpointed
 
 _CHUNK = "__chunk"
@@ -26,7 +27,7 @@ def chunk_width(window_ms: int) -> int:
 
 
 def _chunk(ts: str, width_ms: int) -> Column:
-    return F.floor(F.col(ts) / F.lit(width_ms)).cast("long")
+    return floor_div(F.col(ts), width_ms)
 
 
 def _chunked(df: DataFrame, keys: list[str], ts: str, width_ms: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telmora.functions import labels as L
 from telmora.functions import naming as N
+from telmora.functions.integers import int_div
 from telmora.operators.histogram import le_text
 from telmora.operators.ordered import DEFAULT_CHUNK_MS, chunk_width, running_total
 from telmora.schema import NS_PER_MS, TEMP_DELTA, TYPE_GAUGE, TYPE_HISTOGRAM, TYPE_SUM
@@ -58,7 +59,7 @@ def expand_points(points: DataFrame, exposed: str | None = None) -> DataFrame:
         "unit",
         "type",
         (F.col("temporality") == TEMP_DELTA).alias("is_delta"),
-        _ms(F.col("ts_unix_nano")).alias("ts_ms"),
+        int_div(F.col("ts_unix_nano"), NS_PER_MS).alias("ts_ms"),
         "value",
         "count",
         "sum",
@@ -121,10 +122,6 @@ def _expand_histograms(rows: DataFrame, suffix: str, exposed: str | None) -> Dat
     )
 
 
-def _ms(ns: Column) -> Column:
-    return ((ns - ns % F.lit(NS_PER_MS)) / F.lit(float(NS_PER_MS))).cast("long")
-
-
 def cumulate_delta(samples: DataFrame, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Turn delta series into running totals that start at 0 before ``from_ms``.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telmora.functions import labels as L
+from telmora.functions.integers import int_div
 from telmora.runtime import checkpointed
 from telmora.schema import DEFAULT_LOOKBACK_MS
 
@@ -49,11 +50,11 @@ class Grid:
     def first_index(self, ts: Column) -> Column:
         """Index of the first step at or after ``ts``."""
         ahead = F.greatest(ts - F.lit(self.start_ms), F.lit(0).cast("long"))
-        return _div(ahead + F.lit(self.step_ms - 1), self.step_ms)
+        return int_div(ahead + F.lit(self.step_ms - 1), self.step_ms)
 
     def last_index(self, until: Column) -> Column:
         """Index of the last step at or before ``until`` (which must not lie before the start)."""
-        return F.least(_div(until - F.lit(self.start_ms), self.step_ms), F.lit(self.steps - 1).cast("long"))
+        return F.least(int_div(until - F.lit(self.start_ms), self.step_ms), F.lit(self.steps - 1).cast("long"))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.steps).select(self.time(F.col("id")).alias("t_ms"))
@@ -64,11 +65,6 @@ class Grid:
         return df.withColumn("__i", index).withColumn("t_ms", self.time(F.col("__i"))).drop("__i")
 
 
-def _div(numerator: Column, divisor: int) -> Column:
-    # exact on longs: the remainder is taken off before dividing
-    return ((numerator - numerator % F.lit(divisor)) / F.lit(divisor)).cast("long")
-
-
 def filter_samples(samples: DataFrame, name: str | None = None, matchers: Iterable[Matcher] = ()) -> DataFrame:
     """Keep samples of one exposed metric name that satisfy all label matchers."""
     if name:

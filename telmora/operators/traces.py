@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telmora.functions import attributes as A
+from telmora.functions.integers import int_div
 from telmora.operators.ordered import ranked
 from telmora.runtime import checkpointed
 from telmora.schema import STATUS_ERROR
@@ -204,7 +205,7 @@ def start_histogram(spans: DataFrame, buckets: int = 20) -> DataFrame:
         .groupBy("trace_id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    edge = lambda i: F.col("start") + _floor_div(width * i, n)
+    edge = lambda i: F.col("start") + int_div(width * i, n)
     slots = ranges.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
         "trace_id",
         "bucket",
@@ -214,10 +215,6 @@ def start_histogram(spans: DataFrame, buckets: int = 20) -> DataFrame:
     return slots.join(counted, ["trace_id", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def _floor_div(value: Column, n: int) -> Column:
-    return ((value - value % F.lit(n)) / F.lit(n)).cast("long")
-
-
 def latest_error_traces(spans: DataFrame, limit: int = 5) -> DataFrame:
     return trace_page(trace_summaries(spans, has_error=True), limit=limit)
 

@@ -26,7 +26,7 @@ ROLLUP_COLUMNS = [
 
 def rollup_boundary(now_ns: int, raw_days: float, resolution_s: int = 60) -> int:
     """Points before this time lie in complete buckets older than ``raw_days``."""
-    cutoff = int((now_ns - raw_days * DAY_NS) // NS_PER_S) * NS_PER_S
+    cutoff = (now_ns // NS_PER_S - int(raw_days * 86_400)) * NS_PER_S
     res = resolution_s * NS_PER_S
     return max(0, cutoff // res * res)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telmora.functions import labels as L
+from telmora.functions.integers import floor_div
 from telmora.operators.traces import deduplicate_spans, in_range
 from telmora.schema import NS_PER_S
 
@@ -17,8 +18,7 @@ DAY_NS = 86_400 * NS_PER_S
 
 def day_of(ts_ns: Column) -> Column:
     """UTC day of a nanosecond time."""
-    days = ((ts_ns - F.pmod(ts_ns, F.lit(DAY_NS))) / F.lit(float(DAY_NS))).cast("int")
-    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+    return F.date_add(F.lit("1970-01-01").cast("date"), floor_div(ts_ns, DAY_NS).cast("int"))
 
 
 def scan(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from telmora.functions.integers import floor_div
 from telmora.schema import TEMP_DELTA, TYPE_GAUGE, TYPE_HISTOGRAM, TYPE_SUM
 from telmora.sources.tables import day_of
 
@@ -16,7 +17,7 @@ _SERIES = ["series_id", "name", "type", "temporality", "unit"]
 
 def event_time(ts_ns: Column) -> Column:
     """Timestamp (microseconds) of a nanosecond time, for watermarks and windows."""
-    return F.timestamp_micros(((ts_ns - F.pmod(ts_ns, F.lit(1000))) / F.lit(1000.0)).cast("long"))
+    return F.timestamp_micros(floor_div(ts_ns, 1000))
 
 
 def ingest(
