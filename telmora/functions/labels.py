@@ -175,8 +175,8 @@ def _between(low: str | None, high: str | None) -> Callable[[Column], Column]:
 
 
 def render_exposed(df: DataFrame, labels: str, around: Sequence[str]) -> DataFrame:
-    """Add ``__p0, __p1, …``: the exposed labels of a row as text, cut at the places where the labels
-    ``around`` belong, so that these can be filled in later without sorting again. Null = nothing there."""
+    """Add ``__p0, __p1, …``: the exposed labels of a row as arrays of rendered pairs, cut at the places
+    where the labels ``around`` belong, so that these can be filled in later without sorting again."""
     places = sorted(_place(k) for k in around)
     out = df.withColumn("__exposed", expose(F.col(labels))).withColumn(
         "__pairs", F.sort_array(F.transform(F.map_entries("__exposed"), lambda e: pair(e["key"], e["value"])))
@@ -184,8 +184,7 @@ def render_exposed(df: DataFrame, labels: str, around: Sequence[str]) -> DataFra
     for i in range(len(places) + 1):
         low = places[i - 1] if i > 0 else None
         high = places[i] if i < len(places) else None
-        part = F.array_join(F.filter("__pairs", _between(low, high)), ",")
-        out = out.withColumn(f"__p{i}", F.when(part != "", part))
+        out = out.withColumn(f"__p{i}", F.filter("__pairs", _between(low, high)))
     return out.drop("__exposed", "__pairs")
 
 

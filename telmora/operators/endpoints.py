@@ -21,43 +21,39 @@ def endpoint_rollup(
 ) -> DataFrame:
     """Statistics per level: overall, per controller, per (controller, action, route).
 
-    Durations below 0 count as 0; percentiles are exact with position q·(n+1). Spans are first counted
-    per endpoint and duration, so the coarser levels are built from counts, not from spans.
+    Durations below 0 count as 0; percentiles are exact with position q·(n+1). Spans are first combined
+    per endpoint (and duration), so names are derived and coarser levels built from few rows.
     """
 
     def attr(key: str) -> Column:
         return F.try_element_at(F.col("attrs"), F.lit(key))
 
-    route = attr(route_attr)
-    failed = F.when(F.col("status_code") == STATUS_ERROR, 1).otherwise(0)
-    counted = (
-        spans.select(
-            A.controller(attr(controller_attr), route).alias("controller"),
-            A.action(attr(action_attr), route, F.col("name")).alias("action"),
-            route.alias("route"),
-            F.greatest(F.col("duration_ns"), F.lit(0)).cast("double").alias("d"),
-            failed.alias("e"),
-        )
-        .groupBy("controller", "action", "route", "d")
-        .agg(F.count(F.lit(1)).alias("w"), F.sum("e").alias("e"))
-    )
-    levels = F.explode(
-        F.array(
-            _level("overall", F.lit(""), F.lit(""), F.lit("")),
-            _level("controller", F.col("controller"), F.lit(""), F.lit("")),
-            _level("endpoint", F.col("controller"), F.col("action"), F.col("route")),
-        )
+    raw = spans.select(
+        attr(controller_attr).alias("__c"),
+        attr(action_attr).alias("__a"),
+        attr(route_attr).alias("__r"),
+        F.col("name").alias("__n"),
+        F.greatest(F.col("duration_ns"), F.lit(0)).cast("double").alias("d"),
+        F.when(F.col("status_code") == STATUS_ERROR, 1).otherwise(0).alias("e"),
     )
-    rows = counted.select(levels.alias("l"), "d", "w", "e").select("l.*", "d", "w", "e")
+    named = ["__c", "__a", "__r", "__n"]
     keys = ["level", "controller", "action", "route"]
-    basics = rows.groupBy(*keys).agg(
-        F.sum("w").alias("calls"),
-        F.sum("e").alias("errors"),
-        F.sum(F.col("d") * F.col("w")).alias("__sum"),
-        F.min("d").alias("min_ns"),
-        F.max("d").alias("max_ns"),
+    totals = raw.groupBy(*named).agg(
+        F.count(F.lit(1)).alias("w"), F.sum("e").alias("e"), F.sum("d").alias("s"), F.min("d").alias("lo"), F.max("d").alias("hi")
+    )
+    basics = (
+        _levels(totals, "w", "e", "s", "lo", "hi")
+        .groupBy(*keys)
+        .agg(
+            F.sum("w").alias("calls"),
+            F.sum("e").alias("errors"),
+            F.sum("s").alias("__sum"),
+            F.min("lo").alias("min_ns"),
+            F.max("hi").alias("max_ns"),
+        )
     )
-    percentiles = exact_quantiles(rows, keys, "d", QUANTILES, "r6", "w").drop("n")
+    durations = raw.groupBy(*named, "d").agg(F.count(F.lit(1)).alias("w"))
+    percentiles = exact_quantiles(_levels(durations, "d", "w"), keys, "d", QUANTILES, "r6", "w").drop("n")
     renamed = percentiles.select(*[F.col(k).alias(f"__{k}") for k in keys], *QUANTILES)
     on = [basics[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
     return basics.join(renamed, on).select(
@@ -65,6 +61,23 @@ def endpoint_rollup(
     )
 
 
+def _levels(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row at the three levels, with the names derived from attributes, route and span name."""
+    named = rows.select(
+        A.controller(F.col("__c"), F.col("__r")).alias("controller"),
+        A.action(F.col("__a"), F.col("__r"), F.col("__n")).alias("action"),
+        F.col("__r").alias("route"),
+        *columns,
+    )
+    none = F.lit("")
+    levels = F.array(
+        _level("overall", none, none, none),
+        _level("controller", F.col("controller"), none, none),
+        _level("endpoint", F.col("controller"), F.col("action"), F.col("route")),
+    )
+    return named.select(F.explode(levels).alias("l"), *columns).select("l.*", *columns)
+
+
 def _level(name: str, controller: Column, action: Column, route: Column) -> Column:
     return F.struct(
         F.lit(name).alias("level"), controller.alias("controller"), action.alias("action"), route.alias("route")

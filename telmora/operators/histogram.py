@@ -12,6 +12,7 @@ from telmora.functions import ieee
 from telmora.functions import labels as L
 from telmora.operators.ordered import exact_quantiles
 from telmora.operators.selectors import forward_fill
+from telmora.runtime import checkpointed
 
 # Default bucket bounds of a recorded histogram.
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -30,19 +31,18 @@ def le_text(bound: Column) -> Column:
     size = F.abs(bound)
     return (
         F.when(bound == F.lit(ieee.INF), F.lit("+Inf"))
-        .when(bound == ieee.floor(bound), F.format_string("%.0f", bound))
+        .when(bound == F.rint(bound), F.format_string("%.0f", bound))
         .when((size >= 1e-4) & (size < 1e15), plain)
         .otherwise(spread)
     )
 
 
 def _buckets(vector: DataFrame) -> DataFrame:
+    """Samples with their bound; ``le`` is null on samples without the label. These are not filtered here:
+    a condition on the labels would be pushed below the aggregations and evaluated on every raw sample."""
     fp = F.col("labels_fp")
-    return vector.where(L.has_label(fp, "le")).select(
-        L.without(fp, ["le", L.NAME]).alias("labels_fp"),
-        "t_ms",
-        le_value(L.label(fp, "le")).alias("le"),
-        "value",
+    return vector.select(
+        L.without(fp, ["le", L.NAME]).alias("labels_fp"), "t_ms", le_value(L.label(fp, "le")).alias("le"), "value"
     )
 
 
@@ -53,19 +53,17 @@ def histogram_quantile(q: float, vector: DataFrame, interpolate_first: bool = Fa
     PromQL does); inside the +Inf bucket the last finite bound; else linear. q < 0 → −Inf, q > 1 → +Inf,
     no observations → NaN. A group has one row per bucket bound, so its window is small.
     """
-    w = Window.partitionBy("labels_fp", "t_ms").orderBy("le", "value")
+    group = Window.partitionBy("labels_fp", "t_ms")
+    w = group.orderBy(F.col("le").asc_nulls_last(), "value")
     rows = (
         _buckets(vector)
         .withColumn("__rn", F.row_number().over(w))
         .withColumn("__lle", F.lag("le").over(w))
         .withColumn("__lc", F.lag("value").over(w))
-        .withColumn(
-            "__total",
-            F.last("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        )
+        .withColumn("__total", F.max_by("value", "le").over(group))
     )
     rank = F.col("__total") * F.lit(float(q))
-    reached = ieee.compare(">=", F.col("value"), rank)
+    reached = ieee.compare(">=", F.col("value"), rank) & F.col("le").isNotNull()
     if interpolate_first:
         in_first = F.when(F.col("le") > 0, F.col("le") * ieee.div(rank, F.col("value"))).otherwise(F.col("le"))
     else:
@@ -91,7 +89,9 @@ def histogram_quantile(q: float, vector: DataFrame, interpolate_first: bool = Fa
     elif q > 1:
         value = F.lit(ieee.INF)
     value = F.when(F.col("__total") == 0, F.lit(ieee.NAN)).otherwise(value)
-    return out.select("labels_fp", "t_ms", F.col("t_ms").alias("sample_ts_ms"), value.alias("value"))
+    return out.where(F.col("__max_le").isNotNull()).select(
+        "labels_fp", "t_ms", F.col("t_ms").alias("sample_ts_ms"), value.alias("value")
+    )
 
 
 def histogram_count(vector: DataFrame) -> DataFrame:
@@ -99,14 +99,14 @@ def histogram_count(vector: DataFrame) -> DataFrame:
     return (
         _buckets(vector)
         .groupBy("labels_fp", "t_ms")
-        .agg(F.max_by("value", "le").alias("value"))
+        .agg(F.max_by("value", "le").alias("value"), F.max("le").alias("le"))
+        .where(F.col("le").isNotNull())
         .select("labels_fp", "t_ms", F.col("t_ms").alias("sample_ts_ms"), "value")
     )
 
 
 def _undefined(vector: DataFrame) -> DataFrame:
-    groups = _buckets(vector).select("labels_fp", "t_ms").distinct()
-    return groups.select("labels_fp", "t_ms", F.col("t_ms").alias("sample_ts_ms"), F.lit(ieee.NAN).alias("value"))
+    return histogram_count(vector).withColumn("value", F.lit(ieee.NAN))
 
 
 def histogram_sum(vector: DataFrame, sums: DataFrame | None = None) -> DataFrame:
@@ -178,7 +178,8 @@ def heatmap(vector: DataFrame, epsilon: float = 1e-9) -> DataFrame:
 
     Gaps are filled forward, decreases become 0, and a map without any cell above ``epsilon`` is empty.
     """
-    per_le = _buckets(vector).groupBy("le", "t_ms").agg(F.max("value").alias("value"))
+    per_le = checkpointed(_buckets(vector).groupBy("le", "t_ms").agg(F.max("value").alias("value")))
+    per_le = per_le.where(F.col("le").isNotNull())
     filled = forward_fill(per_le, ["le"])
     by_bound = Window.partitionBy("t_ms").orderBy("le")
     cells = filled.withColumn(

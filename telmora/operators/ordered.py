@@ -33,41 +33,44 @@ def _chunk(ts: str, width_ms: int) -> Column:
 def _chunked(df: DataFrame, keys: list[str], ts: str, width_ms: int) -> DataFrame:
     """Rows with their chunk, shuffled by (key, chunk).
 
-    The windows inside the chunks and the per-chunk aggregate both start from this one exchange. They
-    must use the same columns, so that Spark shuffles (and computes) the rows once and reads them twice.
+    The rows themselves and the per-chunk aggregate both start from this one exchange. They use the same
+    columns, so Spark shuffles (and computes) the rows once and reads them twice.
     """
     return df.withColumn(_CHUNK, _chunk(ts, width_ms)).repartition(*keys, _CHUNK)
 
 
+def _with_carries(rows: DataFrame, carries: DataFrame, keys: list[str]) -> DataFrame:
+    """Add one leading row per chunk. Both sides are partitioned alike, so the union needs no shuffle; and
+    a later filter on the keys reaches both sides alike, so that they keep sharing the exchange."""
+    both = rows.withColumn("__carry", F.lit(False))
+    return both.unionByName(carries.withColumn("__carry", F.lit(True)).repartition(*keys, _CHUNK))
+
+
+def _inside(keys: list[str], ts: str, value: str):
+    return Window.partitionBy(*keys, _CHUNK).orderBy(F.col("__carry").desc(), F.col(ts), F.col(value))
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, output: str, chunk_ms: int = DEFAULT_CHUNK_MS
 ) -> DataFrame:
     """``keys, ts, value`` and the running sum of ``value`` per key in ``ts`` order (ties by value).
 
-    Keys must not be null. A chunk's rows are summed up by themselves; the balance before the chunk comes
-    from the chunk totals.
+    The chunk totals give each chunk's opening balance, which enters the chunk as its first row.
     """
     keys = list(keys)
     rows = _chunked(df.select(*keys, ts, value), keys, ts, chunk_ms)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     opening = (
         rows.groupBy(*keys, _CHUNK)
-        .agg(F.sum(value).alias("__sum"), F.max(ts).alias("__last_ts"))
+        .agg(F.sum(value).alias("__sum"), F.max(ts).alias("__last"))
         .withColumn("__open", F.sum("__sum").over(before))
-        .withColumn("__open_ts", F.max("__last_ts").over(before))
+        .withColumn("__open_ts", F.max("__last").over(before))
         .where(F.col("__open_ts").isNotNull())
-        .select(*keys, _CHUNK, "__open")
-    )
-    inside = (
-        Window.partitionBy(*keys, _CHUNK)
-        .orderBy(F.col(ts), F.col(value))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.withColumn("__run", F.sum(value).over(inside))
-        .join(opening, [*keys, _CHUNK], "left")
-        .select(*keys, ts, value, F.coalesce(F.col("__run") + F.col("__open"), F.col("__run")).alias(output))
+        .select(*keys, F.col("__open_ts").alias(ts), F.col("__open").alias(value), _CHUNK)
     )
+    run = F.sum(value).over(_inside(keys, ts, value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = _with_carries(rows, opening, keys).withColumn(output, run)
+    return both.where(~F.col("__carry")).select(*keys, ts, value, output)
 
 
 def with_previous(
@@ -81,52 +84,37 @@ def with_previous(
     """``keys, ts, value`` with ``prev_ts``, ``prev_value`` and ``last_of_ts`` (no later row has the same
     time), in ``ts`` order, ties by value.
 
-    Keys must not be null. ``reach_ms`` says that a predecessor further away than that is never used.
-    When it is short against the window, each chunk also receives the rows just before its start, in the
-    same pass; otherwise the last row before a chunk comes from a per-chunk aggregate. The chunk column
-    stays in the result, so that a following aggregation by (key, chunk, …) needs no further exchange.
+    ``reach_ms`` says that a predecessor further away than that is never used. When it is short against
+    the window, each chunk also receives the rows just before its start, in the same pass; otherwise the
+    last row before a chunk comes from a per-chunk aggregate. The chunk column stays in the result, so
+    that a following aggregation by (key, chunk, …) needs no further exchange.
     """
     keys = list(keys)
     src = df.select(*keys, ts, value)
     if reach_ms is not None and reach_ms * 8 * 64 <= window_ms:
-        return _previous_by_overlap(src, keys, ts, value, reach_ms)
-    rows = _chunked(src, keys, ts, chunk_width(window_ms))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK)
-    last = rows.groupBy(*keys, _CHUNK).agg(F.max(F.struct(F.col(ts), F.col(value))).alias("__last"))
-    carried = (
-        last.withColumn("__prev", F.lag("__last").over(before))
-        .where(F.col("__prev").isNotNull())
-        .select(
-            *keys, _CHUNK, F.col(f"__prev.{ts}").alias("__carry_ts"), F.col(f"__prev.{value}").alias("__carry_value")
-        )
-    )
-    first = F.col("__prev_ts").isNull()
-    return (
-        _neighbours(rows, keys, ts, value)
-        .withColumnsRenamed({"prev_ts": "__prev_ts", "prev_value": "__prev_value"})
-        .join(carried, [*keys, _CHUNK], "left")
-        .select(
-            *keys,
-            ts,
-            value,
-            _CHUNK,
-            F.when(first, F.col("__carry_ts")).otherwise(F.col("__prev_ts")).alias("prev_ts"),
-            F.when(first, F.col("__carry_value")).otherwise(F.col("__prev_value")).alias("prev_value"),
-            "last_of_ts",
+        rows = _overlapping(src, ts, reach_ms)
+    else:
+        rows = _chunked(src, keys, ts, chunk_width(window_ms))
+        before = Window.partitionBy(*keys).orderBy(_CHUNK)
+        carries = (
+            rows.groupBy(*keys, _CHUNK)
+            .agg(F.max(F.struct(F.col(ts), F.col(value))).alias("__last"))
+            .withColumn("__prev", F.lag("__last").over(before))
+            .where(F.col("__prev").isNotNull())
+            .select(*keys, F.col(f"__prev.{ts}").alias(ts), F.col(f"__prev.{value}").alias(value), _CHUNK)
         )
-    )
-
-
-def _neighbours(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
-    w = Window.partitionBy(*keys, _CHUNK).orderBy(F.col(ts), F.col(value))
+        rows = _with_carries(rows, carries, keys)
+    w = _inside(keys, ts, value)
     return (
         rows.withColumn("prev_ts", F.lag(ts).over(w))
         .withColumn("prev_value", F.lag(value).over(w))
         .withColumn("last_of_ts", ~F.coalesce(F.lead(ts).over(w) == F.col(ts), F.lit(False)))
+        .where(~F.col("__carry"))
+        .drop("__carry")
     )
 
 
-def _previous_by_overlap(src: DataFrame, keys: list[str], ts: str, value: str, reach_ms: int) -> DataFrame:
+def _overlapping(src: DataFrame, ts: str, reach_ms: int) -> DataFrame:
     """At most every eighth row is repeated as the lead-in of the next chunk."""
     width = max(1, reach_ms * 8)
     own = _chunk(ts, width)
@@ -136,8 +124,9 @@ def _previous_by_overlap(src: DataFrame, keys: list[str], ts: str, value: str, r
     placed = src.withColumn(
         "__target", F.explode(F.when(near_end, F.array(here, following)).otherwise(F.array(here)))
     )
-    rows = placed.withColumn(_CHUNK, F.col("__target.c")).withColumn("__lead_in", F.col("__target.lead_in"))
-    return _neighbours(rows, keys, ts, value).where(~F.col("__lead_in")).drop("__lead_in", "__target")
+    return placed.select(
+        *src.columns, F.col("__target.c").alias(_CHUNK), F.col("__target.lead_in").alias("__carry")
+    )
 
 
 CHUNK_COLUMN = _CHUNK

@@ -83,11 +83,10 @@ def _expand_scalars(rows: DataFrame, exposed: str | None) -> DataFrame:
     name, unit = F.col("name"), F.col("unit")
     is_sum = F.col("type") == TYPE_SUM
     names = F.when(is_sum, N.counter_names(name, unit)).otherwise(N.gauge_names(name, unit))
-    if exposed is None:
-        rows = rows.withColumn("__n", F.explode(names))
-    else:
-        rows = rows.where(F.array_contains(names, exposed)).withColumn("__n", F.lit(exposed))
-    return rows.select(
+    if exposed is not None:
+        names = F.when(F.array_contains(names, exposed), F.array(F.lit(exposed)))
+    # exploding also keeps later label filters from being pushed into the rendering of the labels
+    return rows.withColumn("__n", F.explode(names)).select(
         _fp(F.col("__n")).alias("labels_fp"),
         "ts_ms",
         N.scale(unit, F.col("value")).alias("value"),
