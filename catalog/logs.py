@@ -93,7 +93,9 @@ query(
 
 def _trace_logs(spark, sf) -> DataFrame:
     """Turns as logs of the conversations that have a span number 6 or higher."""
-    turns = V.table(spark, sf, "conversations").withColumn("trace_id", F.col("conv_id").cast("string"))
+    turns = V.table(spark, sf, "conversations").withColumns(
+        {"trace_id": F.col("conv_id").cast("string"), "ts_unix_nano": F.col("turn")}
+    )
     long = V.tree_spans(spark, sf).where(F.col("span_id") >= 6)
     return logs_of_traces(turns, long).select("conv_id", "turn", F.length("text").alias("len"))
 

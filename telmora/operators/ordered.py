@@ -300,3 +300,16 @@ def ranked(
         .withColumn(output, F.col("__base") + inside)
         .drop("__at", "__part", "__first", "__base")
     )
+
+
+def sliced_join(
+    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", slices: int = 8
+) -> DataFrame:
+    """Join in which one key may own a large share of ``many``.
+
+    Rows of ``many`` are cut into slices by a hash of ``spread``; ``one``, which has few rows per key, is
+    repeated per slice.
+    """
+    left = many.withColumn("__slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
+    right = one.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return left.join(right, [*keys, "__slice"], how).drop("__slice")

@@ -198,10 +198,13 @@ def forward_fill(vector: DataFrame, keys: Iterable[str] = ("labels_fp",)) -> Dat
     """
     keys = list(keys)
     vector = checkpointed(vector.select(*keys, "t_ms", "value"))
-    times = vector.select("t_ms").distinct().agg(F.array_sort(F.collect_set("t_ms")).alias("__times"))
-    series = vector.select(*keys).distinct()
-    # one row holding the step list meets every series
-    slots = series.crossJoin(F.broadcast(times)).select(*keys, F.explode("__times").alias("t_ms"))
+    # one row with the list of steps meets every series
+    times = vector.select("t_ms").distinct().agg(F.collect_set("t_ms").alias("__times"))
+    one = F.lit(1).alias("__one")
+    series = vector.select(*keys).distinct().select(*keys, one)
+    slots = series.join(F.broadcast(times.select("__times", one)), "__one").select(
+        *keys, F.explode("__times").alias("t_ms")
+    )
     seen = vector.groupBy(*keys, "t_ms").agg(F.max("value").alias("value"))
     w = Window.partitionBy(*keys).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return slots.join(seen, [*keys, "t_ms"], "left").withColumn(

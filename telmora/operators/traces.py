@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telmora.functions import attributes as A
 from telmora.functions.integers import int_div
-from telmora.operators.ordered import ranked
+from telmora.operators.ordered import ranked, sliced_join
 from telmora.runtime import checkpointed
 from telmora.schema import STATUS_ERROR
 
@@ -51,7 +51,7 @@ def trace_spans(spans: DataFrame, trace_id: str) -> DataFrame:
 
 def logs_of_traces(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """Logs that belong to any of the traces in ``spans``."""
-    return logs.join(spans.select("trace_id").distinct(), "trace_id", "left_semi")
+    return sliced_join(logs, spans.select("trace_id").distinct(), ["trace_id"], "ts_unix_nano", "left_semi")
 
 
 def trace_summaries(
@@ -68,25 +68,37 @@ def trace_summaries(
 
     The time range applies to spans. Service, version and name keep whole traces in which some span
     matches; service and version must match on the same span, and version only counts together with
-    a service.
+    a service. All of it is one aggregation per trace.
     """
-    out = spans.where(in_range("start_unix_nano", from_ns, to_ns))
+    inside = in_range("start_unix_nano", from_ns, to_ns)
+    matches = []
     services = A.service_list(service_names, service_name)
     if services is not None:
         cond = A.in_services(services)
         if service_version is not None:
             cond = cond & A.has_version(service_version)
-        out = out.join(spans.where(cond).select("trace_id").distinct(), "trace_id", "left_semi")
+        matches.append(cond)
     if name_contains is not None:
-        named = spans.where(A.contains_phrase(F.col("name"), name_contains))
-        out = out.join(named.select("trace_id").distinct(), "trace_id", "left_semi")
+        matches.append(A.contains_phrase(F.col("name"), name_contains))
     failed = F.when(F.col("status_code") == STATUS_ERROR, 1).otherwise(0)
-    grouped = out.groupBy("trace_id").agg(
-        F.min("start_unix_nano").alias("first_start"),
-        F.max("end_unix_nano").alias("last_end"),
-        F.count(F.lit(1)).alias("span_count"),
+    if matches:
+        # matching spans may lie outside the range, so the range becomes a condition of the aggregates
+        start, end = F.when(inside, F.col("start_unix_nano")), F.when(inside, F.col("end_unix_nano"))
+        counted, failed = F.count(F.when(inside, 1)), F.when(inside, failed)
+    else:
+        spans = spans.where(inside)
+        start, end, counted = F.col("start_unix_nano"), F.col("end_unix_nano"), F.count(F.lit(1))
+    grouped = spans.groupBy("trace_id").agg(
+        F.min(start).alias("first_start"),
+        F.max(end).alias("last_end"),
+        counted.alias("span_count"),
         F.max(failed).alias("__err"),
+        *[F.max(m.cast("int")).alias(f"__m{i}") for i, m in enumerate(matches)],
     )
+    for i in range(len(matches)):
+        grouped = grouped.where(F.col(f"__m{i}") == 1)
+    if matches:
+        grouped = grouped.where(F.col("span_count") > 0)
     if has_error is not None:
         grouped = grouped.where(F.col("__err") == int(has_error))
     return grouped.select(
@@ -136,7 +148,7 @@ def trace_roots(spans: DataFrame) -> DataFrame:
 def with_roots(summaries: DataFrame, spans: DataFrame) -> DataFrame:
     """Add root name and service. Roots are looked up among all spans of the listed traces, not only
     those inside the time range; only spans of these traces take part."""
-    mine = spans.join(summaries.select("trace_id"), "trace_id", "left_semi")
+    mine = sliced_join(spans, summaries.select("trace_id"), ["trace_id"], "span_id", "left_semi")
     return summaries.join(trace_roots(mine), "trace_id", "left")
 
 
@@ -151,9 +163,9 @@ def trace_tree_order(spans: DataFrame, max_depth: int | None = None) -> DataFram
     nodes = spans.withColumn("__parent", F.when(F.col("parent_id").cast("string") != "", F.col("parent_id")))
     ids = nodes.select("trace_id", F.col("span_id").alias("__parent")).distinct()
     step = F.struct(F.col("start_unix_nano").alias("s"), F.col("span_id").alias("i"))
-    inner = checkpointed(nodes.join(ids, ["trace_id", "__parent"], "left_semi").withColumn("__step", step))
+    inner = checkpointed(sliced_join(nodes, ids, ["trace_id", "__parent"], "span_id", "left_semi").withColumn("__step", step))
     top = nodes.where(F.col("__parent").isNull()).unionByName(
-        nodes.where(F.col("__parent").isNotNull()).join(ids, ["trace_id", "__parent"], "left_anti")
+        sliced_join(nodes.where(F.col("__parent").isNotNull()), ids, ["trace_id", "__parent"], "span_id", "left_anti")
     )
     frontier = checkpointed(top.withColumn("depth", F.lit(0)).withColumn("__path", F.array(step)))
     done = frontier
@@ -161,7 +173,7 @@ def trace_tree_order(spans: DataFrame, max_depth: int | None = None) -> DataFram
     while True:
         above = frontier.select("trace_id", F.col("span_id").alias("__parent"), F.col("__path").alias("__up"))
         frontier = checkpointed(
-            inner.join(above, ["trace_id", "__parent"])
+            sliced_join(inner, above, ["trace_id", "__parent"], "span_id")
             .withColumn("depth", F.lit(depth + 1))
             .withColumn("__path", F.concat("__up", F.array("__step")))
             .drop("__up", "__step")
@@ -200,7 +212,7 @@ def start_histogram(spans: DataFrame, buckets: int = 20) -> DataFrame:
     place = F.floor((F.col("start_unix_nano") - F.col("start")) * F.lit(float(n)) / width).cast("int")
     counted = (
         spans.select("trace_id", "start_unix_nano")
-        .join(ranges, "trace_id")
+        .transform(lambda df: sliced_join(df, ranges, ["trace_id"], "start_unix_nano"))
         .withColumn("bucket", F.least(F.lit(n - 1), F.greatest(F.lit(0), place)))
         .groupBy("trace_id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))

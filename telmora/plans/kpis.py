@@ -67,11 +67,19 @@ def reducers(value: str = "value", ts: str = "ts_unix_nano") -> list[Column]:
 
 def availability(requests: DataFrame, errors: DataFrame) -> DataFrame:
     """1 − last errors / last requests within [0, 1]; 1 when nothing is known."""
-    r = requests.agg(last_value().alias("requests"))
-    e = errors.agg(last_value().alias("errors"))
-    up = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("errors") / F.when(F.col("requests") > 0, F.col("requests"))))
-    # two one-row frames
-    return r.crossJoin(e).select("requests", "errors", F.coalesce(up, F.lit(1.0)).alias("availability"))
+    def tagged(points: DataFrame, kind: str) -> DataFrame:
+        return points.select(F.lit(kind).alias("kind"), "ts_unix_nano", F.col("value").cast("double").alias("value"))
+
+    def last(kind: str) -> Column:
+        newest = F.max(F.when(F.col("kind") == kind, F.struct("ts_unix_nano", "value")))
+        return F.coalesce(newest.getField("value"), F.lit(0.0)).alias(kind)
+
+    both = tagged(requests, "requests").unionByName(tagged(errors, "errors"))
+    share = F.col("errors") / F.when(F.col("requests") > 0, F.col("requests"))
+    up = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - share))
+    return both.agg(last("requests"), last("errors")).withColumn(
+        "availability", F.when(share.isNull(), F.lit(1.0)).otherwise(up)
+    )
 
 
 def latency_series(points: DataFrame, quantiles: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -121,11 +129,15 @@ def dashboard(
     lat = latency_series(durations, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).agg(
         *[last_value(p).alias(p) for p in ("p50", "p95", "p99")]
     )
-    # four one-row frames
+    # each of these is a single row
+    row = F.lit(1).alias("__row")
+    parts = [df.select("*", row) for df in (calls, ratio, up, lat)]
     return (
-        calls.crossJoin(ratio)
-        .crossJoin(up)
-        .crossJoin(lat)
+        parts[0]
+        .join(parts[1], "__row")
+        .join(parts[2], "__row")
+        .join(parts[3], "__row")
+        .drop("__row")
         .withColumn("error_tone", tone(F.col("error_ratio"), 0.01, 0.05))
         .withColumn(
             "availability_tone",
