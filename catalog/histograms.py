@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import views as V
-from catalog.registry import query, rounded, show
+from catalog.registry import SHIFT, query, rounded, shifted, show
 from catalog.views import DAILY, DAY_MS, HIST_BOUNDS, sql
 from telmora.functions import labels as L
 from telmora.functions.integers import int_div
@@ -39,7 +39,7 @@ def ladder(keys: str, q: float, source: str) -> str:
         f"when c = pc then le else ple + (le - ple) * ({q} * total - pc) / (c - pc) end"
     )
     return (
-        f"select {keys}t_ms, round(case when max(total) = 0 then 'nan'::double else arg_min({here}, rn) filter (where c >= {q} * total) end, 6) "
+        f"select {keys}t_ms, round(case when max(total) = 0 then 'nan'::double else arg_min({here}, rn) filter (where c >= {q} * total) end + {SHIFT}, 6) "
         f"+ 0.0 as value from (select *, row_number() over w as rn, lag(le) over w as ple, lag(c) over w as pc, "
         f"max(c) over ({by}) as total from {source} window w as ({by} order by le)) group by all"
     )
@@ -55,8 +55,14 @@ def _day_buckets(spark, sf) -> DataFrame:
     return instant_select(_buckets(spark, sf), DAILY, DAY_MS - 1)
 
 
+def _day_sums(spark, sf) -> DataFrame:
+    points = V.histogram_points(spark, sf)
+    sums = series_samples(points, "app_duration_seconds_sum", V.EVENTS_FROM_MS, V.EVENTS_TO_MS)
+    return instant_select(sums, DAILY, DAY_MS - 1)
+
+
 query("hist_quantile_p95", sql(ladder("event_type, service_name, ", 0.95, "inst"), "days", "hist", _HB, _DAY_END))(
-    lambda spark, sf: show(H.histogram_quantile(0.95, _day_buckets(spark, sf)), SERIES)
+    lambda spark, sf: show(shifted(H.histogram_quantile(0.95, _day_buckets(spark, sf))), SERIES)
 )
 
 _INC = (
@@ -65,9 +71,11 @@ _INC = (
 )
 query("hist_quantile_by_type", sql(ladder("event_type, ", 0.5, "inc"), "days", "hist", _HB, _INC))(
     lambda spark, sf: show(
-        H.histogram_quantile(
-            0.5,
-            A.sum_(R.increase(range_select(_buckets(spark, sf), DAILY, 3 * DAY_MS)), by=["event_type", "le"]),
+        shifted(
+            H.histogram_quantile(
+                0.5,
+                A.sum_(R.increase(range_select(_buckets(spark, sf), DAILY, 3 * DAY_MS)), by=["event_type", "le"]),
+            )
         ),
         ["event_type"],
     )
@@ -81,24 +89,14 @@ query(
 query(
     "hist_avg",
     sql(
-        "select event_type, service_name, t_ms, round(s / n, 6) + 0.0 as value from days join (select event_type, service_name, ts_ms, "
+        f"select event_type, service_name, t_ms, round(s / n + {SHIFT}, 6) + 0.0 as value from days join (select event_type, service_name, ts_ms, "
         "sum(s / 1000) over w as s, sum(n) over w as n from hist window w as (partition by event_type, service_name order by ts_ms "
         "rows unbounded preceding)) on ts_ms = t_ms - 43200000",
         "days",
         "hist",
     ),
 )(
-    lambda spark, sf: show(
-        H.histogram_avg(
-            _day_buckets(spark, sf),
-            instant_select(
-                series_samples(V.histogram_points(spark, sf), "app_duration_seconds_sum", V.EVENTS_FROM_MS, V.EVENTS_TO_MS),
-                DAILY,
-                DAY_MS - 1,
-            ),
-        ),
-        SERIES,
-    )
+    lambda spark, sf: show(shifted(H.histogram_avg(_day_buckets(spark, sf), _day_sums(spark, sf))), SERIES)
 )
 
 _PER_LE = "select le, t_ms, sum(c) as c from inst group by all"
@@ -291,14 +289,14 @@ _RBC = (
     + f"]) as n from req group by {_RED_KEYS})) on ts_ms between t_ms - {180 * DAY_MS} and t_ms group by all) group by all)"
 )
 query("red_p95", sql(ladder("http_route, ", 0.95, "rb"), "spans", _REQ, _RED_STEPS, _RBC))(
-    lambda spark, sf: show(red_p95(_red_points(spark, sf)), ["http_route"])
+    lambda spark, sf: show(shifted(red_p95(_red_points(spark, sf))), ["http_route"])
 )
 
 
 def red_overview(spark, sf) -> DataFrame:
     """p95 duration and error share per route and step."""
     points = checkpointed(_red_points(spark, sf))  # the spans are read once for both figures
-    p95 = red_p95(points).select("labels_fp", "t_ms", rounded(F.col("value")).alias("p95_seconds"))
+    p95 = shifted(red_p95(points)).select("labels_fp", "t_ms", rounded(F.col("value")).alias("p95_seconds"))
     share = red_error_share(points).select("labels_fp", "t_ms", rounded(F.col("value")).alias("error_share"))
     return p95.join(share, ["labels_fp", "t_ms"], "left").select(
         L.label("labels_fp", "http_route").alias("http_route"), "t_ms", "p95_seconds", "error_share"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import views as V
-from catalog.registry import query, rounded, show
+from catalog.registry import SHIFT, query, rounded, shifted, show
 from catalog.views import DAY_MS, GRID, HOUR_MS, latest, sql, window
 from telmora.functions import labels as L
 from telmora.operators import aggregates as A
@@ -66,7 +66,7 @@ _over_time(
     "gauge",
     "case when count(*) < 2 then 0 else regr_slope(value, (ts_ms - t_ms) / 1000.0) end",
 )
-_over_time("avg_over_time", R.avg_over_time, V.gauge, "gauge", "avg(value)")
+_over_time("avg_over_time", lambda rv: shifted(R.avg_over_time(rv)), V.gauge, "gauge", f"avg(value) + {SHIFT}")
 _over_time("sum_over_time", R.sum_over_time, V.gauge, "gauge", "sum(value)")
 _over_time("min_over_time", R.min_over_time, V.gauge, "gauge", "min(value)")
 _over_time("max_over_time", R.max_over_time, V.gauge, "gauge", "max(value)")
@@ -74,15 +74,7 @@ _over_time("count_over_time", R.count_over_time, V.gauge, "gauge", "count(*)::do
 _over_time("present_over_time", R.present_over_time, V.gauge, "gauge", "count(*)::double")
 _over_time("last_over_time", R.last_over_time, V.gauge, "gauge", "arg_max(value, (ts_ms, value))")
 _over_time("stddev_over_time", R.stddev_over_time, V.gauge, "gauge", "stddev_pop(value)")
-# a small shift keeps exact halves of the last digit, where both sides may round differently, apart
-_SHIFT = 1.23e-7
-
-
-def _shifted(v: DataFrame) -> DataFrame:
-    return v.withColumn("value", F.col("value") + _SHIFT)
-
-
-_over_time("stdvar_over_time", lambda rv: _shifted(R.stdvar_over_time(rv)), V.gauge, "gauge", f"var_pop(value) + {_SHIFT}")
+_over_time("stdvar_over_time", lambda rv: shifted(R.stdvar_over_time(rv)), V.gauge, "gauge", f"var_pop(value) + {SHIFT}")
 _over_time(
     "quantile_over_time", lambda rv: R.quantile_over_time(0.9, rv), V.gauge, "gauge", "quantile_cont(value, 0.9)"
 )
@@ -164,12 +156,12 @@ query(
 query(
     "range_query_grid",
     sql(
-        f"select service_name, t_ms, round(sum(value) + {_SHIFT}, 6) + 0.0 as value from (select {_S}, {_INC} / 86400 as value from win group by all) group by all",
+        f"select service_name, t_ms, round(sum(value) + {SHIFT}, 6) + 0.0 as value from (select {_S}, {_INC} / 86400 as value from win group by all) group by all",
         "steps",
         "counter",
         window("counter", DAY_MS),
     ),
-)(lambda spark, sf: show(_shifted(A.sum_(R.rate(_range(spark, sf, V.counter)), by=["service_name"])), ["service_name"]))
+)(lambda spark, sf: show(shifted(A.sum_(R.rate(_range(spark, sf, V.counter)), by=["service_name"])), ["service_name"]))
 
 _FILL_GAP = 3 * HOUR_MS
 query(
@@ -225,9 +217,19 @@ def _agg(name: str, labels: tuple[str, ...], agg: str, fn: Callable, extra: str
 
 _agg("agg_sum_by", ("event_type",), "sum(value)", lambda v: A.sum_(v, by=["event_type"]))
 _agg("agg_sum_all", (), "sum(value)", A.sum_)
-_agg("agg_avg_without", ("event_type",), "avg(value)", lambda v: A.avg(v, without=["job", "service_name"]))
+_agg(
+    "agg_avg_without",
+    ("event_type",),
+    f"avg(value) + {SHIFT}",
+    lambda v: shifted(A.avg(v, without=["job", "service_name"])),
+)
 _agg("agg_stddev", ("service_name",), "stddev_pop(value)", lambda v: A.stddev(v, by=["service_name"]))
-_agg("agg_stdvar", ("service_name",), "var_pop(value)", lambda v: A.stdvar(v, by=["service_name"]))
+_agg(
+    "agg_stdvar",
+    ("service_name",),
+    f"var_pop(value) + {SHIFT}",
+    lambda v: shifted(A.stdvar(v, by=["service_name"])),
+)
 _agg("agg_quantile", ("event_type",), "quantile_cont(value, 0.75)", lambda v: A.quantile(0.75, v, by=["event_type"]))
 _agg("agg_count_values", ("service_name",), "count(*)::double", lambda v: A.count_values("service_name", v))
 

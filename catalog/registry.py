@@ -26,6 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# A small shift keeps exact halves of the last digit, where both sides may round differently, apart.
+SHIFT = 1.23e-7
+
+
+def shifted(vector: DataFrame) -> DataFrame:
+    return vector.withColumn("value", F.col("value") + SHIFT)
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
     """Values for comparison with SQL, where sums run in another order. -0 becomes 0."""
     return F.round(value, digits) + F.lit(0.0)
