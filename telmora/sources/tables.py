@@ -73,30 +73,40 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     _append(metrics, path, "ts_unix_nano", ["name", "ts_unix_nano"])
 
 
-def series_id() -> Column:
-    """Stable key of a series: digest of name, labels and scope. No look-up is needed to assign it."""
+def _rendered(points: DataFrame) -> DataFrame:
+    """Add both label sets as text and the series key: a digest of name, labels and scope, so that no
+    look-up is needed to assign it."""
     empty = F.create_map().cast("map<string,string>")
-    parts = [
-        F.col("name"),
-        L.fingerprint(F.coalesce("attrs", empty)),
-        L.fingerprint(F.coalesce("resource", empty)),
-        F.coalesce("scope_name", F.lit("")),
-        F.coalesce("scope_version", F.lit("")),
-    ]
-    return F.md5(F.to_json(F.array(*parts)))
-
-
-SERIES_COLUMNS = ["series_id", "name", "attrs", "resource", "scope_name", "scope_version"]
+    scope = [F.coalesce(c, F.lit("")) for c in ("scope_name", "scope_version")]
+    return (
+        points.withColumn("__attrs", L.fingerprint(F.coalesce("attrs", empty)))
+        .withColumn("__resource", L.fingerprint(F.coalesce("resource", empty)))
+        .withColumn("series_id", F.md5(F.to_json(F.array("name", "__attrs", "__resource", *scope))))
+    )
 
 
 def intern_series(points: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split points into facts (with ``series_id``) and the series that are not known yet."""
-    keyed = points.withColumn("series_id", series_id())
-    # the id stands for all the other columns; equal ids are merged before maps are shuffled
-    series = keyed.select(*SERIES_COLUMNS).dropDuplicates(["series_id"])
+    """Split points into facts (with ``series_id``) and the series that are not known yet.
+
+    Series are told apart by their text, which combines before the shuffle; the maps are rebuilt from the
+    few distinct ones.
+    """
+    keyed = _rendered(points)
+    series = (
+        keyed.select("series_id", "name", "__attrs", "__resource", "scope_name", "scope_version")
+        .distinct()
+        .select(
+            "series_id",
+            "name",
+            L.labels_of("__attrs").alias("attrs"),
+            L.labels_of("__resource").alias("resource"),
+            "scope_name",
+            "scope_version",
+        )
+    )
     if known is not None:
         series = series.join(known.select("series_id"), "series_id", "left_anti")
-    return keyed.drop("attrs", "resource", "scope_name", "scope_version"), series
+    return keyed.drop("attrs", "resource", "scope_name", "scope_version", "__attrs", "__resource"), series
 
 
 def resolve_series(metrics: DataFrame, series: DataFrame) -> DataFrame:
