@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from helpers import at, fp, one, samples, values, vector
+from helpers import fp, one, values, vector
 from pyspark.sql import functions as F
 
 from telmora.functions import ieee

@@ -1,9 +1,8 @@
 import json
 import math
 
-import pandas as pd
 import pytest
-from helpers import fp, one, vector
+from helpers import fp, vector
 from pyspark.sql import functions as F
 
 from telmora import schema as S

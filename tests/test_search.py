@@ -1,7 +1,5 @@
-import json
-
 import pytest
-from helpers import fp, one, values
+from helpers import one
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
