@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import decontam, sharding
+from telmora.llm import decontam, lines, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_OP7_SQL = r"""
+with l as (select doc_id, pos, line,
+             translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+           from (select doc_id, unnest(s) as line, unnest(range(1, len(s) + 1)) as pos
+                 from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents))),
+r as (select k, min(doc_id) as keeper from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+m as (select l.*, keeper is not null and keeper <> doc_id as gone from l left join r using (k))
+select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+@_query("op7_line_dedup", _OP7_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds."""
+    kept = lines.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
