@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import decontam, lines, sharding
+from telmora.llm import decontam, lines, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit("")).cast("binary")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+def tokenizer_files() -> tuple[str, str]:
+    """The byte-level vocabulary, and the same as ranks."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@_query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into windows of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_files())

@@ -61,7 +61,7 @@ def kd_shards(rows: DataFrame, weight: str, axes: list[str], leaves: int) -> Dat
         | {"__weight": F.col(weight).cast("double"), "__row": F.monotonically_increasing_id().cast("double")}
     )
     mixed = F.xxhash64(*wide.columns)
-    table = checkpointed(wide.withColumn("__tie", F.shiftrightunsigned(mixed, 12).cast("double")))
+    table = checkpointed(wide.withColumns({"__tie": F.shiftrightunsigned(mixed, 12).cast("double"), "__box": F.lit(0)}))
     least = {n: F.min(F.when(F.col(n) > -1e300, F.col(n))).alias(n) for n in names}
     total = table.agg(
         F.sum("__weight").alias("w"),
@@ -72,7 +72,7 @@ def kd_shards(rows: DataFrame, weight: str, axes: list[str], leaves: int) -> Dat
     span = {n: max((total[f"high{n}"] or 0.0) - (total[f"low{n}"] or 0.0), 0.0) or 1.0 for n in names}
     floor = {n: (total[f"low{n}"] or 0.0) - span[n] / 100 for n in names}
     table = table.withColumns({n: F.greatest(F.col(n), F.lit(floor[n])) for n in names})
-    placed = table.withColumn("__box", F.lit(0))
+    placed = table
     open_boxes = [_Box(0, leaves)] if leaves > 1 and total["w"] is not None else []
     while open_boxes:
         _find_cuts(placed, open_boxes, span, TOLERANCE * total["w"] / leaves)
