@@ -115,26 +115,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
-_OP2_SQL = r"""
-with recursive w as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
-  from documents),
-s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [w]
-        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) end as s from w),
-cls as (select min(doc_id) over (partition by list_sort(s)) as c, doc_id, len(s) as n, s from s),
-sh as (select doc_id as c, n, unnest(s) as x from cls where c = doc_id and n > 0),
-pair as (select a.c as a, b.c as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb
-         from sh a join sh b on a.x = b.x and a.c <> b.c group by all),
-e as (select a, b from pair where 100 * k >= 80 * (na + nb - k)),
-r as (select c, c as d from (select distinct c from cls where n > 0) union select r.c, e.b from r join e on e.a = r.d),
-m as (select c, min(d) as d from r group by c)
-select doc_id, n::bigint as n_shingles, case when n = 0 then doc_id else d end as component_id,
-       case when n = 0 then doc_id else c end as class_id
-from cls left join m using (c)
-"""
-
-
-@_query("op2_jaccard_join", _OP2_SQL)
+@_query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles are at least 0.8 similar."""
     found = jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
