@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import decontam, jaccard, lines, packing, sharding
+from telmora.llm import decontam, jaccard, knn, lines, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,21 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles are at least 0.8 similar."""
     found = jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+_OP10_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score
+      from v q join v d on q.vec_id <> d.vec_id and len(q.v) = len(d.v) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@_query("op10_exact_top_k", _OP10_SQL)
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every vector whose id is divisible by 50."""
+    rows = _table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").alias("id"), knn.quantised(F.col("embedding")).alias("v"))
+    return knn.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
