@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import decontam, jaccard, knn, lines, packing, sharding
+from telmora.llm import decontam, jaccard, knn, lines, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,3 +138,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").alias("id"), knn.quantised(F.col("embedding")).alias("v"))
     return knn.top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(*toxicity.sample(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, chain).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"),
+    )
