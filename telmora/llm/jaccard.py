@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telmora.llm.common import checkpointed, partitions
+from telmora.llm.common import checkpointed, partitions, row_key
 from telmora.llm.components import components
 
 N = 5
@@ -65,14 +65,15 @@ def set_hash(s: np.ndarray) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, np.ndarray, str | None]]:
+def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Row, hash of its text, hash of its set, and the set."""
     words = _Words()
     for batch in batches:
         if len(words) > 500_000:
             words.clear()
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+        for row, key, text in zip(*[batch.column(x).to_pylist() for x in ("row", "key", "text")]):
             s = shingles(text, n, words)
-            yield row, set_hash(s), s, text
+            yield row, key, set_hash(s), s
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
@@ -84,18 +85,16 @@ def _describe(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SLOTS, np.uint32), set()
-        rows: list[tuple[int, int, int]] = []
-        names = ["row", "set_hash", "n", "slice", "counts"]
+        rows: list[tuple[int, int, int, int]] = []
+        names = ["row", "key", "set_hash", "n", "slice", "counts"]
 
         def out() -> pa.RecordBatch:
-            row, fp, size = zip(*rows)
             none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names
-            )
+            found = [pa.array(x, pa.int64()) for x in zip(*rows)]
+            return pa.RecordBatch.from_arrays([*found, none.cast(pa.int32()), none.cast(pa.binary())], names)
 
-        for row, fp, s, _ in _texts(batches, n):
-            rows.append((row, fp, len(s)))
+        for row, key, fp, s in _texts(batches, n):
+            rows.append((row, key, fp, len(s)))
             if fp not in seen:
                 seen.add(fp)
                 np.add.at(sketch, _slots(s), 1)
@@ -108,7 +107,7 @@ def _describe(n: int):
             part = sketch[i : i + _SLICE]
             if part.any():
                 none = pa.nulls(1).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i // _SLICE], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i // _SLICE], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], names)
 
     return run
 
@@ -159,7 +158,7 @@ def _postings(n: int, percent: int, sketch):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "c", "row", "n", "l"])
 
-        for row, fp, s, _ in _texts(batches, n):
+        for row, _, fp, s in _texts(batches, n):
             if not len(s) or fp in seen:
                 continue
             seen.add(fp)
@@ -227,7 +226,7 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     """Pairs (a, b, row_a, row_b) of classes whose texts really are similar."""
     rows = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     wanted = rows.select(F.pmod(F.xxhash64("row"), F.lit(FILTER)).alias("bucket")).distinct()  # at most FILTER rows
-    few = texts.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(FILTER))).join(F.broadcast(wanted), "bucket", "left_semi")
+    few = texts.select("row", "text").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(FILTER))).join(F.broadcast(wanted), "bucket", "left_semi")
     once = few.join(rows, "row", "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["row", "same"])
     some = checkpointed(once.select("row", "text"))
     with_a = pairs.join(some.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a")
@@ -241,7 +240,7 @@ def _similar_sizes(n_a: str, n_b: str, percent: int):
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``class_id`` (least
-    doc_id with the same set), ``component_id`` (least doc_id reachable by links), ``row``.
+    doc_id with the same set), ``component_id`` (least doc_id reachable by links), ``text_key``.
 
     Documents with equal sets are one class. A class takes the rarest shingles of its set as prefix,
     longer where the estimated number of candidates is high; two classes of (l1, l2) matches can be
@@ -261,8 +260,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     """
     spark = docs.sparkSession
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    texts = docs.select(own.alias("row"), "text")
-    described = checkpointed(texts.mapInArrow(_describe(n), "row long, set_hash long, n long, slice int, counts binary"))
+    texts = docs.select(own.alias("row"), row_key().alias("key"), "text")
+    described = checkpointed(texts.mapInArrow(_describe(n), "row long, key long, set_hash long, n long, slice int, counts binary"))
     slices = described.where("slice is not null").select("slice", "counts")
     added = slices.repartitionById(SLOTS // _SLICE, F.col("slice")).mapInArrow(_add_slices, "slice int, counts binary")
     sketch = bytearray(4 * SLOTS)  # SLOTS counts, whatever the input
@@ -270,7 +269,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
         sketch[4 * _SLICE * r["slice"] : 4 * _SLICE * (r["slice"] + 1)] = r["counts"]
     sketch_everywhere = spark.sparkContext.broadcast(bytes(sketch))
 
-    every = described.where("slice is null").select("row", F.col("set_hash").alias("c"), "n")
+    every = described.where("slice is null").select("row", "key", F.col("set_hash").alias("c"), "n")
     classes = every.groupBy("c").agg(F.min("row").alias("class_id"))
     postings = texts.mapInArrow(_postings(n, percent, sketch_everywhere), "token long, salt int, c long, row long, n long, l int")
     dealt = postings.repartition(partitions(spark), "token", "salt")
@@ -318,4 +317,20 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
         back(F.col("row")).alias("doc_id"), F.col("n").alias("n_shingles"),
         back(F.when(no_words, F.col("row")).otherwise(F.col("class_id"))).alias("class_id"),
         back(F.when(no_words, F.col("row")).otherwise(F.col("component_id"))).alias("component_id"),
+        F.col("key").alias("text_key"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One document of each component: that with the least doc_id, with all its columns.
+
+    Of repeated rows one stays, and of several texts of a component under one doc_id too. Documents
+    without words all stay.
+    """
+    found = near_duplicates(docs, n, percent)
+    none = F.lit(2**63 - 1)
+    first = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", none).alias("__id"), "component_id", "text_key", "n_shingles")
+    group = F.when(F.col("n_shingles") == 0, F.col("text_key"))
+    kept = checkpointed(first.groupBy("__id", group.alias("wordless")).agg(F.min("text_key").alias("__key")).select("__id", "__key"))
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), none), "__key": row_key()})
+    return marked.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
