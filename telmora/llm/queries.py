@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import decontam, jaccard, knn, lines, packing, sharding, toxicity
+from telmora.llm import chat, decontam, jaccard, knn, lines, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +149,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"),
     )
+
+
+_TOOLS = {
+    "search": {"type": "object", "required": ["query", "limit"], "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "maximum": 200}}},
+    "translate": {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "words": {"type": "integer"}}},
+}
+
+
+@_query("op1_tool_calls")
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results derived from ``conversations``: a user turn calls a tool, the turn after it
+    is the result, and a call depends on the call at about half its turn."""
+    turns = _table(spark, sf_dir, "conversations")
+    code = lambda turn: F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")), 256)
+    size = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    searches = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % 2 == 0
+    arguments = F.when(searches, F.to_json(F.struct(size.alias("limit"), F.col("text").alias("query"))))
+    arguments = arguments.otherwise(F.to_json(F.struct(size.alias("words"), F.col("text").alias("text"), F.lit(True).alias("final"))))
+    half = (F.col("turn") / 4).cast("long") * 2
+    calls = turns.where("role = 'user'").select(
+        "conv_id", code(F.col("turn")).alias("call_id"), F.col("turn").cast("long").alias("turn"),
+        F.when(searches, "search").otherwise("translate").alias("name"), arguments.alias("arguments"),
+        F.array_remove(F.array(code(half), code(half + 1)), code(F.col("turn"))).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", code(F.col("turn") - 1).alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("content")
+    )
+    found = chat.link_tool_calls(calls, results, _TOOLS)
+    return found.select("conv_id", "call_id", "turn", "name", "level", "linked", "errors", "json")
