@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,27 @@ def _hang(neighbours: DataFrame, edges: DataFrame, upward: bool) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
+def linked_within(entries: DataFrame, stars: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c:
+    long) would connect, without forming all pairs.
+
+    ``stars`` (a, b) pairs members with leaders of their groups, a row for each group they share.
+    ``links_of`` reduces such rows to those of similar members. Similar leaders and members form
+    components. Then, in groups that still hold several components, members outside the group's
+    largest component are paired with the members of other components: every pair not yet connected
+    that shares a group is among these, with a row for each group it shares.
+    """
+    first = links_of(stars)
+    placed = components(first).withColumnRenamed("node", "c")
+    colored = checkpointed(entries.join(placed, "c", "left").select("token", "c", F.coalesce("component", "c").alias("k")))
+    mixed = colored.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+    open_ = checkpointed(colored.join(checkpointed(mixed.select("token")), "token", "left_semi"))
+    largest = open_.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("k", F.struct("m", "k")).alias("main"))
+    outside = open_.join(checkpointed(largest), "token").where("k <> main")
+    outside = checkpointed(outside.select("token", F.col("c").alias("x"), F.col("k").alias("kx"), "main"))
+    other = (F.col("k") != F.col("kx")) & ((F.col("k") == F.col("main")) | (F.col("k") < F.col("kx")))
+    crossing = open_.join(outside, "token").where(other)
+    second = links_of(crossing.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")))
+    return first.unionByName(second)

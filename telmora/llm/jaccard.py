@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed, partitions, row_key
-from telmora.llm.components import components
+from telmora.llm.components import components, linked_within
 
 N = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -292,20 +292,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
         enough = joined.where(F.col("shared") >= F.least("l_a", "l_b")).where(_similar_sizes("n_a", "n_b", percent))
         return checkpointed(enough.select("a", "b", "row_a", "row_b"))
 
-    first = _links(candidates(stars.select("a", "b")), texts, n, percent)
-    placed = components(first)
-    component = F.coalesce("component", "c").alias("k")
-    colored = checkpointed(entries.join(placed.withColumnRenamed("node", "c"), "c", "left").select("token", "c", component))
-    mixed = colored.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("token")
-    mixed = checkpointed(mixed)
-    open_ = checkpointed(colored.join(mixed, "token", "left_semi"))
-    largest = open_.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("k", F.struct("m", "k")).alias("main"))
-    largest = checkpointed(largest)
-    outside = checkpointed(open_.join(largest, "token").where("k <> main").select("token", F.col("c").alias("x"), F.col("k").alias("kx"), "main"))
-    crossing = open_.join(outside, "token").where((F.col("k") != F.col("kx")) & ((F.col("k") == F.col("main")) | (F.col("k") < F.col("kx"))))
-    second = _links(candidates(crossing.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))), texts, n, percent)
-
-    linked = components(first.unionByName(second)).withColumnsRenamed({"node": "c", "component": "root"})
+    links = linked_within(entries.select("token", "c"), stars.select("a", "b"), lambda pairs: _links(candidates(pairs), texts, n, percent))
+
+    linked = components(links).withColumnsRenamed({"node": "c", "component": "root"})
     named = classes.join(linked, "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = checkpointed(named)
     least_id = named.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import chat, decontam, jaccard, knn, lines, packing, sharding, toxicity
+from telmora.llm import chat, decontam, jaccard, knn, lines, packing, paragraphs, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +178,10 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = chat.link_tool_calls(calls, results, _TOOLS)
     return found.select("conv_id", "call_id", "turn", "name", "level", "linked", "errors", "json")
+
+
+@_query("op4_repeated_paragraphs")
+def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that an earlier document holds, exactly or nearly."""
+    found = paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_words", "keep_doc_id")
