@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed
@@ -50,25 +50,44 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def linked_within(entries: DataFrame, stars: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_within(
+    entries: DataFrame,
+    links_of: Callable[[DataFrame], DataFrame],
+    extra: list[str],
+    compatible: Callable[[str, str], Column],
+) -> DataFrame:
     """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c:
-    long) would connect, without forming all pairs.
+    long, and ``extra`` columns) would connect, without forming all pairs.
 
-    ``stars`` (a, b) pairs members with leaders of their groups, a row for each group they share.
-    ``links_of`` reduces such rows to those of similar members. Similar leaders and members form
-    components. Then, in groups that still hold several components, members outside the group's
-    largest component are paired with the members of other components: every pair not yet connected
-    that shares a group is among these, with a row for each group it shares.
+    ``compatible`` tells by the extra columns (whose names get the given endings) which pairs can be
+    similar at all. ``links_of`` reduces pairs (a, b, extra columns ending in _a, _b; a row for each
+    group they share) to the similar ones.
+
+    First the members of each group are paired with its leader: the member whose groups are largest
+    together, as the text from which others were made lies in most of their groups. Similar ones
+    form components. Then, in groups that still hold several components, members outside the
+    group's largest component are paired with compatible members of other components: every pair not
+    yet connected that shares a group is among these, with a row for each group it shares.
     """
-    first = links_of(stars)
+    named = lambda df, end: df.select("token", *[F.col(x).alias(x + end) for x in ("c", *extra)])
+    sizes = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    sized = checkpointed(entries.join(checkpointed(sizes), "token"))
+    weights = checkpointed(sized.groupBy("c").agg(F.sum("m").alias("weight")))
+    ranked = checkpointed(sized.join(weights, "c").select("token", "weight", "c", *extra))
+    leaders = ranked.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x")).select("token", "x.*")
+    stars = named(ranked, "_b").join(checkpointed(named(leaders, "_a")), "token").where("c_a <> c_b").where(compatible("_a", "_b"))
+    first = links_of(stars.withColumnsRenamed({"c_a": "a", "c_b": "b"}))
+
     placed = components(first).withColumnRenamed("node", "c")
-    colored = checkpointed(entries.join(placed, "c", "left").select("token", "c", F.coalesce("component", "c").alias("k")))
+    colored = ranked.drop("weight").join(placed, "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
+    colored = checkpointed(colored)
     mixed = colored.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
     open_ = checkpointed(colored.join(checkpointed(mixed.select("token")), "token", "left_semi"))
     largest = open_.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("k", F.struct("m", "k")).alias("main"))
     outside = open_.join(checkpointed(largest), "token").where("k <> main")
-    outside = checkpointed(outside.select("token", F.col("c").alias("x"), F.col("k").alias("kx"), "main"))
-    other = (F.col("k") != F.col("kx")) & ((F.col("k") == F.col("main")) | (F.col("k") < F.col("kx")))
-    crossing = open_.join(outside, "token").where(other)
-    second = links_of(crossing.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")))
+    outside = checkpointed(outside.select("token", "main", *[F.col(x).alias(x + "_b") for x in ("c", "k", *extra)]))
+    others = open_.select("token", *[F.col(x).alias(x + "_a") for x in ("c", "k", *extra)])
+    other = (F.col("k_a") != F.col("k_b")) & ((F.col("k_a") == F.col("main")) | (F.col("k_a") < F.col("k_b")))
+    crossing = others.join(outside, "token").where(other & compatible("_a", "_b"))
+    second = links_of(crossing.drop("token", "main", "k_a", "k_b").withColumnsRenamed({"c_a": "a", "c_b": "b"}))
     return first.unionByName(second)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed, partitions, row_key
@@ -146,7 +146,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def _postings(n: int, percent: int, sketch):
-    """(shingle, salt, class, row, size, matches) of the prefixes; a class once in each task."""
+    """(shingle, salt, class, row, size, matches, place) of the prefixes; a class once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.frombuffer(sketch.value, "<u4"), set()
@@ -155,8 +155,8 @@ def _postings(n: int, percent: int, sketch):
 
         def out() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "c", "row", "n", "l"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "c", "row", "n", "l", "pos"])
 
         for row, _, fp, s in _texts(batches, n):
             if not len(s) or fp in seen:
@@ -165,7 +165,7 @@ def _postings(n: int, percent: int, sketch):
             tokens, df, matches = prefix(s, counts, percent)
             salt = np.where(df > HOT, 1 + fp % (df // HOT + 1), 0)  # 0: not hot
             full = lambda x, kind=np.int64, m=len(tokens): np.full(m, x, kind)
-            parts.append((tokens.view(np.int64), salt.astype(np.int32), full(fp), full(row), full(len(s)), full(matches, np.int32)))
+            parts.append((tokens.view(np.int64), salt.astype(np.int32), full(fp), full(row), full(len(s)), full(matches, np.int32), np.arange(len(tokens))))
             held += len(tokens)
             if held > 200_000:
                 yield out()
@@ -177,8 +177,7 @@ def _postings(n: int, percent: int, sketch):
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of shingles that two classes or more share (or might, in another task), each with the
-    least class of its group as leader."""
+    """Entries of shingles that two classes or more share (or might, in another task), once each."""
     tables = [pa.Table.from_batches([b]) for b in batches]
     if not tables:
         return
@@ -190,12 +189,8 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = new_group | np.concatenate([[True], c[1:] != c[:-1]])
     group = np.cumsum(new_group) - 1
     classes = np.bincount(group[new])
-    leader = c[new_group][group]
     keep = new & ((classes[group] > 1) | (salt > 0))
-    kept = t.take(pa.array(order[keep]))
-    kept = kept.append_column("leader", pa.array(leader[keep], pa.int64()))
-    for b in kept.to_batches(max_chunksize=50_000):
-        yield b
+    yield from t.take(pa.array(order[keep])).to_batches(max_chunksize=50_000)
 
 
 def _verify(n: int, percent: int):
@@ -234,8 +229,16 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return checkpointed(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"))
 
 
-def _similar_sizes(n_a: str, n_b: str, percent: int):
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+def _reachable(percent: int):
+    """Whether the sizes, and what is left of both sets from the first shingle that others share, allow
+    the overlap: common shingles start at one that lies in both prefixes."""
+
+    def condition(a: str, b: str) -> Column:
+        n_a, n_b = F.col("n" + a), F.col("n" + b)
+        most = F.least(n_a - F.col("first" + a), n_b - F.col("first" + b))
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+
+    return condition
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -247,12 +250,11 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     similar only if their prefixes share min(l1, l2) shingles. Rarity comes from a count sketch of
     fixed size over all documents; it steers speed only, as any common order gives the same result.
 
-    Candidates are found in two rounds, so that groups of copies don't become all their pairs. First
-    every class is paired with the leader of each shingle it shares; leaders of the parts of a hot
-    shingle are paired with each other's leader. Similar ones form components. Then, for shingles
-    that more than one component shares, the classes outside the largest component are paired with
-    the classes of other components; every pair not yet connected that shares enough shingles is
-    among these. Both rounds verify the exact similarity on the texts.
+    Candidates are found in two rounds (see ``linked_within``), so that groups of copies don't become
+    all their pairs: classes with the leader of each shingle they share, then what is still apart.
+    The leader shares at least the counted shingles, and pairs with too few matches in the first round
+    come again in the second, where all are counted. What remains of two sets from the first shingle
+    they may share bounds their overlap. Both rounds verify the exact similarity on the texts.
 
     Texts without words (null, empty) have no shingles and no links. Repeated rows and equal texts
     are one class, also under the same doc_id. A null doc_id counts as the greatest id. An empty
@@ -271,28 +273,20 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
     every = described.where("slice is null").select("row", "key", F.col("set_hash").alias("c"), "n")
     classes = every.groupBy("c").agg(F.min("row").alias("class_id"))
-    postings = texts.mapInArrow(_postings(n, percent, sketch_everywhere), "token long, salt int, c long, row long, n long, l int")
-    dealt = postings.repartition(partitions(spark), "token", "salt")
-    live = checkpointed(dealt.mapInArrow(_live, "token long, salt int, c long, row long, n long, l int, leader long"))
-
-    entries = live.select("token", "c", "row", "n", "l")
-    members = live.where("c <> leader").select("token", F.col("leader").alias("a"), F.col("c").alias("b"), "row", "n", "l")
-    parts = live.where("c = leader and salt > 0")
-    least = parts.groupBy("token").agg(F.min("c").alias("a"))
-    linked_parts = parts.join(least, "token").where("c <> a").select("token", "a", F.col("c").alias("b"), "row", "n", "l")
-    stars = members.unionByName(linked_parts)
-    facts = checkpointed(entries.groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("l").alias("l")))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes that share enough of their prefixes and are of similar size."""
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
-        a = facts.select(F.col("c").alias("a"), F.col("row").alias("row_a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"))
-        b = facts.select(F.col("c").alias("b"), F.col("row").alias("row_b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"))
-        joined = counted.join(a, "a").join(b, "b")
-        enough = joined.where(F.col("shared") >= F.least("l_a", "l_b")).where(_similar_sizes("n_a", "n_b", percent))
-        return checkpointed(enough.select("a", "b", "row_a", "row_b"))
-
-    links = linked_within(entries.select("token", "c"), stars.select("a", "b"), lambda pairs: _links(candidates(pairs), texts, n, percent))
+    kind = "token long, salt int, c long, row long, n long, l int, pos long"
+    postings = texts.mapInArrow(_postings(n, percent, sketch_everywhere), kind)
+    live = checkpointed(postings.repartition(partitions(spark), "token", "salt").mapInArrow(_live, kind).drop("salt"))
+    first = checkpointed(live.groupBy("c").agg(F.min("pos").alias("first"), F.count("*").alias("m")))
+    # A class with fewer live shingles than matches needed can't be similar to any.
+    entries = live.join(first, "c").where("m >= l").drop("m")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        fixed = [x + end for end in ("_a", "_b") for x in ("row", "n", "l")]
+        shared = pairs.groupBy("a", "b", *fixed).agg(F.count("*").alias("m"), F.min("pos_a").alias("first_a"), F.min("pos_b").alias("first_b"))
+        enough = shared.where(F.col("m") >= F.least("l_a", "l_b")).where(_reachable(percent)("_a", "_b"))
+        return _links(checkpointed(enough.select("a", "b", "row_a", "row_b")), texts, n, percent)
+
+    links = linked_within(entries, links_of, ["row", "n", "l", "pos", "first"], _reachable(percent))
 
     linked = components(links).withColumnsRenamed({"node": "c", "component": "root"})
     named = classes.join(linked, "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -162,19 +162,17 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
 
     lines = classes.where("not fine")
     entries = checkpointed(lines.select("c", F.explode("bands").alias("token")))
-    shared = entries.groupBy("token").agg(F.min("c").alias("leader"), F.max("c").alias("last")).where("leader <> last")
-    entries = checkpointed(entries.join(checkpointed(shared.select("token", "leader")), "token"))
-    stars = entries.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b"))
     where = lines.select("c", "at.*")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        once = checkpointed(pairs.distinct())
+        once = checkpointed(pairs.select("a", "b").distinct())
         known = _texts_of(once.select(F.explode(F.array("a", "b")).alias("c")).distinct(), where, texts)
         with_a = once.join(known.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(known.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
         return checkpointed(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"))
 
-    placed = components(linked_within(entries.select("token", "c"), stars, links_of)).withColumnRenamed("node", "c")
+    anything = lambda a, b: F.lit(True)
+    placed = components(linked_within(entries, links_of, [], anything)).withColumnRenamed("node", "c")
     rooted = classes.join(placed.withColumn("fine", F.lit(False)), ["c", "fine"], "left")
     rooted = checkpointed(rooted.select("c", "fine", "low", "high", F.coalesce("component", "c").alias("root")))
     owners = rooted.groupBy("root", "fine").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")

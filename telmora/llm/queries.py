@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import chat, decontam, jaccard, knn, lines, packing, paragraphs, sharding, toxicity
+from telmora.llm import chat, decontam, jaccard, knn, lines, packing, paragraphs, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,3 +185,12 @@ def op4_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that an earlier document holds, exactly or nearly."""
     found = paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "n_words", "keep_doc_id")
+
+
+@_query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that an earlier document holds."""
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
