@@ -109,7 +109,7 @@ query(
         _HB,
         _DAY_END,
     ),
-)(lambda spark, sf: H.heatmap(A.sum_(_day_buckets(spark, sf), by=["le"])))
+)(lambda spark, sf: H.heatmap(A.sum_(_day_buckets(spark, sf), by=["le"]), DAILY))
 
 
 def _point_quantile(q: float) -> str:
@@ -193,7 +193,7 @@ query(
 
 # --- metrics derived from spans -----------------------------------------------------------------
 
-_W = red.bucket_ns(V.SPANS_FROM_NS, V.SPANS_TO_NS)
+_W = 4 * DAY_MS * 1_000_000
 _FROM_MS, _TO_MS = V.SPANS_FROM_NS // 10**6, V.SPANS_TO_NS // 10**6
 RED_GRID = Grid(_FROM_MS + 180 * DAY_MS, _TO_MS, 90 * DAY_MS)
 _REQ = (
@@ -212,7 +212,7 @@ query(
         _REQ,
     ),
 )(
-    lambda spark, sf: red.red_groups(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS)
+    lambda spark, sf: red.red_groups(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS, _W)
     .withColumn("seconds", rounded(F.col("seconds")))
     .drop("bucket_counts")
 )
@@ -228,7 +228,7 @@ query(
     ),
 )(
     lambda spark, sf: expand_points(
-        red.red_points(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS), "http_request_duration_seconds_bucket"
+        red.red_points(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS, _W), "http_request_duration_seconds_bucket"
     )
     .groupBy(L.label("labels_fp", "http_route").alias("route"), H.le_value(L.label("labels_fp", "le")).alias("le"))
     .agg(F.sum("value").alias("value"))
@@ -236,7 +236,7 @@ query(
 
 
 def _red_points(spark, sf) -> DataFrame:
-    return red.red_points(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS)
+    return red.red_points(V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS, _W)
 
 
 def red_error_share(points: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ query(
     ),
 )(
     lambda spark, sf: red.composite_points(
-        V.metric_points(spark, sf), V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS
+        V.metric_points(spark, sf), V.spans(spark, sf), V.SPANS_FROM_NS, V.SPANS_TO_NS, _W
     )
     .where(F.col("name").isin("app.value", "http_requests", "http_request_duration"))
     .groupBy("name")

@@ -132,7 +132,7 @@ query(
 )
 query(
     "metric_series_read",
-    sql("select us * 1000 as ts_unix_nano, level as value from ev order by us, event_id limit 500", "ev"),
+    sql("select us * 1000 as ts_unix_nano, level as value from ev", "ev"),
 )(
     lambda spark, sf: TB.metric_series(V.metric_points(spark, sf), "app.level", ties=("event_id",)).select(
         "ts_unix_nano", "value"

@@ -102,7 +102,7 @@ query(
     "panel_logs",
     sql(
         f"select {_SQL_COLS}, row_number() over (order by ts_unix_nano desc, event_id) as position, greatest(0, count(*) over () - 100) as truncated from ("
-        f"select * from logs where body like '% user %' and ts_unix_nano between {_FROM} and {_TO} order by ts_unix_nano desc, event_id limit 500) "
+        f"select * from logs where body like '%user%' and ts_unix_nano between {_FROM} and {_TO}) "
         "where regexp_matches(body, '[0-7]$') and uid <> '11' qualify position <= 100",
         "logs",
     ),
@@ -115,7 +115,7 @@ query(
 query(
     "alert_log",
     sql(
-        f"select count(*) > 1000 as firing, count(*)::double as value from (select 1 from logs where severity >= 13 and body like '% by user %' and ts_unix_nano between {_TO - 15 * _DAY} and {_TO} limit 1001)",
+        f"select count(*) > 1000 as firing, count(*)::double as value from (select 1 from logs where severity >= 13 and body like '% by user %' and ts_unix_nano between {_TO - 15 * _DAY} and {_TO})",
         "logs",
     ),
 )(lambda spark, sf: log_condition(V.logs(spark, sf), _TO, 15 * 86_400, 1000, text="by user", min_severity=13))

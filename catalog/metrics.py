@@ -174,7 +174,7 @@ query(
         "gauge",
         latest("gauge", _FILL_GAP),
     ),
-)(lambda spark, sf: show(forward_fill(instant_select(V.gauge(spark, sf), GRID, _FILL_GAP)), SERIES))
+)(lambda spark, sf: show(forward_fill(instant_select(V.gauge(spark, sf), GRID, _FILL_GAP), GRID), SERIES))
 
 query(
     "delta_cumulate",

@@ -302,7 +302,7 @@ query(
     sql("select event_type as Kind, service_name, value as Amount from inst", "ev", "gauge", _ONE, latest("gauge", DAY_MS, "one")),
 )(
     lambda spark, sf: P.table(
-        _now(spark, sf), rename={"event_type": "Kind", "Value": "Amount"}, exclude=["JOB"]
+        _now(spark, sf), ["event_type", "job", "service_name"], {"event_type": "Kind", "Value": "Amount"}, ["JOB"]
     )
 )
 query(

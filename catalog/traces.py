@@ -142,7 +142,7 @@ query(
     "alert_trace",
     sql(
         f"select count(*) > 100 as firing, count(*)::double as value from (select trace_id from spans where start_ns between {_MID} and {_MID + 3 * 10**16} "
-        "and trace_id in (select trace_id from spans where service_name = 'svc-f') group by trace_id having max((status_code = 2)::int) = 1 limit 101)",
+        "and trace_id in (select trace_id from spans where service_name = 'svc-f') group by trace_id having max((status_code = 2)::int) = 1)",
         "spans",
     ),
 )(

@@ -63,6 +63,7 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+# Names of missing endpoint parts.
 UNKNOWN_CONTROLLER = "(unbekannt)"
 UNNAMED = "(ohne Name)"
 

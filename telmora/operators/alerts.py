@@ -32,10 +32,8 @@ def metric_condition(vector: DataFrame) -> DataFrame:
 
 
 def _count_condition(matches: DataFrame, threshold: int) -> DataFrame:
-    # the count stops one above the threshold, which is all a decision needs
-    return matches.limit(max(1, threshold + 1)).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        (F.col("value") > threshold).alias("firing"), "value"
-    )
+    counted = matches.agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return counted.select((F.col("value") > threshold).alias("firing"), "value")
 
 
 def log_condition(
@@ -46,7 +44,7 @@ def log_condition(
     text: str | None = None,
     min_severity: int | None = None,
 ) -> DataFrame:
-    """Fires if more than ``threshold`` logs of the window match; the value is capped one above it."""
+    """Fires if more than ``threshold`` logs of the window match; the value is their number."""
     since = now_ns - max(1, window_s) * NS_PER_S
     found = search_logs(logs, text=text, min_severity=min_severity, from_ns=since, to_ns=now_ns)
     return _count_condition(found.select("ts_unix_nano"), threshold)
@@ -61,7 +59,7 @@ def trace_condition(
     service_name: str | None = None,
     name_contains: str | None = None,
 ) -> DataFrame:
-    """Fires if more than ``threshold`` traces of the window match; the value is capped one above it."""
+    """Fires if more than ``threshold`` traces of the window match; the value is their number."""
     since = now_ns - max(1, window_s) * NS_PER_S
     found = trace_summaries(
         spans, since, now_ns, has_error, service_name=service_name, name_contains=name_contains

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from telmora.functions import ieee
 from telmora.functions import labels as L
 from telmora.operators.ordered import exact_quantiles
-from telmora.operators.selectors import forward_fill
-from telmora.runtime import checkpointed
+from telmora.operators.selectors import Grid, forward_fill
 
 # Default bucket bounds of a recorded histogram.
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -132,29 +131,21 @@ def bucket_quantile(counts: Column, bounds: Column, q: float) -> Column:
     """Quantile of one histogram from per-bucket counts (N+1) and bounds (N).
 
     The first bucket starts at 0, the last one ends at the highest bound; an empty histogram gives 0.
+    The quantile lies in the first bucket that holds observations and whose running count reaches the
+    rank, at the rank's share of the way between the bucket's edges.
     """
-    zero = F.struct(F.lit(0.0).alias("below"), F.lit(None).cast("double").alias("found"), F.lit(0).alias("i"))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    target = total * F.lit(float(q))
-    n = F.size(bounds)
-
-    def step(acc: Column, c: Column) -> Column:
-        i = acc["i"]
-        reached = acc["below"] + c
-        lower = F.when(i == 0, F.lit(0.0)).otherwise(F.get(bounds, F.least(i - 1, n - 1)))
-        upper = F.when(i < n, F.get(bounds, i)).when(n > 0, F.get(bounds, n - 1)).otherwise(F.lit(0.0))
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target - acc["below"]) / F.when(c > 0, c)))
-        hit = acc["found"].isNull() & (reached >= target) & (c > 0)
-        return F.struct(
-            reached.alias("below"),
-            F.when(hit, lower + share * (upper - lower)).otherwise(acc["found"]).alias("found"),
-            (i + 1).alias("i"),
-        )
-
-    found = F.aggregate(counts, zero, step, lambda acc: acc["found"])
-    top = F.when(n > 0, F.get(bounds, n - 1)).otherwise(F.lit(0.0))
-    empty = counts.isNull() | bounds.isNull() | (F.size(counts) == 0)
-    return F.when(empty | (total <= 0), F.lit(0.0)).otherwise(F.coalesce(found, top))
+    append = lambda done, c: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + c))
+    running = F.aggregate(counts, F.array().cast("array<double>"), append)
+    rank = F.try_element_at(running, F.lit(-1)) * F.lit(float(q))
+    reaches = F.zip_with(counts, running, lambda c, upto: (c > 0) & (upto >= rank))
+    bucket = F.array_position(reaches, F.lit(True)).cast("int")
+    edges = F.concat(F.array(F.lit(0.0)), bounds)
+    edge = lambda i: F.try_element_at(edges, F.least(i, F.size(edges)))
+    count = F.try_element_at(counts, bucket)
+    share = (rank - (F.try_element_at(running, bucket) - count)) / count
+    inside = edge(bucket) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (edge(bucket + 1) - edge(bucket))
+    filled = F.coalesce(F.try_element_at(running, F.lit(-1)) > 0, F.lit(False)) & bounds.isNotNull()
+    return F.when(filled & (bucket > 0), inside).when(filled, F.try_element_at(edges, F.lit(-1))).otherwise(F.lit(0.0))
 
 
 def raw_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -173,18 +164,13 @@ def bucket_counts(value: Column, bounds: Sequence[float] = DEFAULT_BOUNDS) -> Co
     return F.array(*counts)
 
 
-def heatmap(vector: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+def heatmap(vector: DataFrame, grid: Grid) -> DataFrame:
     """Cumulative counts per ``le`` and step → counts per bucket ``(le, t_ms, value)``.
 
-    Gaps are filled forward, decreases become 0, and a map without any cell above ``epsilon`` is empty.
+    Gaps are filled forward and decreases become 0.
     """
-    per_le = checkpointed(_buckets(vector).groupBy("le", "t_ms").agg(F.max("value").alias("value")))
-    per_le = per_le.where(F.col("le").isNotNull())
-    filled = forward_fill(per_le, ["le"])
+    per_le = _buckets(vector).groupBy("le", "t_ms").agg(F.max("value").alias("value")).where(F.col("le").isNotNull())
+    filled = forward_fill(per_le, grid, ["le"])
     by_bound = Window.partitionBy("t_ms").orderBy("le")
-    cells = filled.withColumn(
-        "value",
-        F.greatest(F.lit(0.0), F.col("value") - F.coalesce(F.lag("value").over(by_bound), F.lit(0.0))),
-    ).select("le", "t_ms", "value")
-    peak = cells.agg(F.max("value")).first()[0]  # one number of a small, checkpointed frame
-    return cells if peak is not None and peak > epsilon else cells.limit(0)
+    below = F.coalesce(F.lag("value").over(by_bound), F.lit(0.0))
+    return filled.select("le", "t_ms", F.greatest(F.lit(0.0), F.col("value") - below).alias("value"))

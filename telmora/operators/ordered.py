@@ -295,21 +295,27 @@ def ranked(
         inside = F.sum(weight).over(w)
     else:
         inside = F.col("__at") - F.col("__first") + 1
+    renamed = offsets.withColumnsRenamed({k: f"__k_{k}" for k in keys}).withColumnRenamed("__part", "__own")
+    same = F.col("__part") == F.col("__own")
+    for k in keys:  # a null key is a key
+        same = same & placed[k].eqNullSafe(F.col(f"__k_{k}"))
     return (
-        placed.join(offsets, [*keys, "__part"])
+        placed.join(renamed, same)
         .withColumn(output, F.col("__base") + inside)
-        .drop("__at", "__part", "__first", "__base")
+        .drop("__at", "__part", "__own", "__first", "__base", *[f"__k_{k}" for k in keys])
     )
 
 
 def sliced_join(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", slices: int = 8
+    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", slices: int | None = None
 ) -> DataFrame:
     """Join in which one key may own a large share of ``many``.
 
     Rows of ``many`` are cut into slices by a hash of ``spread``; ``one``, which has few rows per key, is
-    repeated per slice.
+    repeated per slice. By default there are as many slices as an eighth of the shuffle partitions, 8 at least.
     """
+    if slices is None:
+        slices = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     left = many.withColumn("__slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
     right = one.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return left.join(right, [*keys, "__slice"], how).drop("__slice")

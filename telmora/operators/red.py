@@ -15,16 +15,12 @@ from telmora.schema import (
     TYPE_SUM,
 )
 
-# Names of the derived metrics, their labels and the most time buckets per query.
+# Names of the derived metrics and their labels.
 REQUESTS = "http_requests"
 DURATION = "http_request_duration"
 LABEL_NAMES = ("service.name", "http.route", "http.method", "http.response.status_code")
-MAX_BUCKETS = 600
-
-
-def bucket_ns(from_ns: int, to_ns: int) -> int:
-    window_s = max(1, (to_ns - from_ns) // NS_PER_S)
-    return max(1, window_s // MAX_BUCKETS) * NS_PER_S
+#: Width of a time bucket unless the caller gives another.
+BUCKET_NS = 60 * NS_PER_S
 
 
 def _attr(column: str, key: str) -> Column:
@@ -52,10 +48,9 @@ def _server_spans(spans: DataFrame, from_ns: int | None, to_ns: int | None) -> D
     return spans
 
 
-def red_groups(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
+def red_groups(spans: DataFrame, from_ns: int, to_ns: int, width_ns: int = BUCKET_NS) -> DataFrame:
     """Requests, total seconds and bucket counts per label set and time bucket."""
-    width = bucket_ns(from_ns, to_ns)
-    start = F.col("start_unix_nano") - F.col("start_unix_nano") % F.lit(width)
+    start = F.col("start_unix_nano") - F.col("start_unix_nano") % F.lit(width_ns)
     seconds = F.col("duration_ns") / F.lit(float(NS_PER_S))
     keyed = _server_spans(spans, from_ns, to_ns).select(
         *[c.alias(k.replace(".", "_")) for k, c in request_labels().items()],
@@ -69,9 +64,9 @@ def red_groups(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
     )
 
 
-def red_points(spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
+def red_points(spans: DataFrame, from_ns: int, to_ns: int, width_ns: int = BUCKET_NS) -> DataFrame:
     """Metric points of both derived metrics, delta temporality, with a ``labels`` map."""
-    groups = red_groups(spans, from_ns, to_ns)
+    groups = red_groups(spans, from_ns, to_ns, width_ns)
     entries = []
     for k in LABEL_NAMES:
         entries += [F.lit(k), F.col(k.replace(".", "_"))]
@@ -138,9 +133,11 @@ def red_label_values(
     )
 
 
-def composite_points(stored: DataFrame, spans: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
+def composite_points(
+    stored: DataFrame, spans: DataFrame, from_ns: int, to_ns: int, width_ns: int = BUCKET_NS
+) -> DataFrame:
     """Stored points together with the derived ones; a filter on ``name`` reaches both branches."""
-    derived = red_points(spans, from_ns, to_ns)
+    derived = red_points(spans, from_ns, to_ns, width_ns)
     own = stored.where(~F.col("name").isin(REQUESTS, DURATION))
     return own.unionByName(derived, allowMissingColumns=True)
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from telmora.functions import labels as L
 from telmora.functions.integers import int_div
-from telmora.runtime import checkpointed
 from telmora.schema import DEFAULT_LOOKBACK_MS
 
 Matcher = tuple[str, str, str]
@@ -190,23 +189,19 @@ def with_at(rv: RangeVector, at_ms: int) -> RangeVector:
     return replace(rv, at_ms=at_ms)
 
 
-def forward_fill(vector: DataFrame, keys: Iterable[str] = ("labels_fp",)) -> DataFrame:
-    """Values of each series on the union of all times in ``vector``; 0 before its first value.
+def forward_fill(vector: DataFrame, grid: Grid, keys: Iterable[str] = ("labels_fp",)) -> DataFrame:
+    """Values of each series at all steps of ``grid`` that occur in ``vector``; 0 before its first value.
 
-    The times are evaluation steps, so a series has at most one row per step. The vector is needed three
-    times and therefore checkpointed.
+    A value is repeated at the steps up to the series' next one, so only neighbours of a series meet.
     """
     keys = list(keys)
-    vector = checkpointed(vector.select(*keys, "t_ms", "value"))
-    # one row with the list of steps meets every series
-    times = vector.select("t_ms").distinct().agg(F.collect_set("t_ms").alias("__times"))
-    one = F.lit(1).alias("__one")
-    series = vector.select(*keys).distinct().select(*keys, one)
-    slots = series.join(F.broadcast(times.select("__times", one)), "__one").select(
-        *keys, F.explode("__times").alias("t_ms")
-    )
     seen = vector.groupBy(*keys, "t_ms").agg(F.max("value").alias("value"))
-    w = Window.partitionBy(*keys).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return slots.join(seen, [*keys, "t_ms"], "left").withColumn(
-        "value", F.coalesce(F.last("value", ignorenulls=True).over(w), F.lit(0.0))
-    )
+    by_time = Window.partitionBy(*keys).orderBy("t_ms")
+    end = F.lit(grid.last_ms).cast("long")
+    step = F.lit(grid.step_ms).cast("long")
+    until = F.coalesce(F.lead("t_ms").over(by_time) - step, end)
+    since = F.when(F.row_number().over(by_time) == 1, F.lit(grid.start_ms).cast("long")).otherwise(F.col("t_ms"))
+    spread = seen.select(*keys, F.col("t_ms").alias("__own"), "value", F.sequence(since, until, step).alias("__steps"))
+    filled = spread.select(*keys, "__own", "value", F.explode("__steps").alias("t_ms"))
+    value = F.when(F.col("t_ms") < F.col("__own"), F.lit(0.0)).otherwise(F.col("value"))
+    return filled.join(vector.select("t_ms").distinct(), "t_ms", "left_semi").select(*keys, "t_ms", value.alias("value"))

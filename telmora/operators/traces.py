@@ -116,14 +116,15 @@ _SORT_COLUMNS = {"start": "first_start", "duration": "__extent", "spans": "span_
 
 
 def trace_page(
-    summaries: DataFrame, sort: str = "start", direction: str = "desc", limit: int = 100, offset: int = 0
+    summaries: DataFrame, sort: str = "start", direction: str = "desc", limit: int | None = None, offset: int = 0
 ) -> DataFrame:
     """A page of the trace list; unknown sort keys mean start, ties go by trace id."""
     column = F.col(_SORT_COLUMNS.get(sort, "first_start"))
     ordered = summaries.withColumn("__extent", F.col("last_end") - F.col("first_start")).orderBy(
         column.asc() if direction.lower() == "asc" else column.desc(), "trace_id"
     )
-    return (ordered.offset(offset) if offset else ordered).limit(limit).drop("__extent")
+    page = ordered.offset(offset) if offset else ordered
+    return (page if limit is None else page.limit(limit)).drop("__extent")
 
 
 def trace_roots(spans: DataFrame) -> DataFrame:
@@ -153,48 +154,42 @@ def with_roots(summaries: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def trace_tree_order(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Spans with ``depth`` and ``position`` (1-based) in pre-order per trace.
+    """One row per (trace, span) with ``depth`` and ``position`` (1-based) in pre-order per trace.
 
-    Children go by start, ties by span id. Spans whose parent is not in the trace are roots; spans on or
-    below a cycle are unreachable and follow at the end with depth 0. The tree is walked level by level,
-    one join per level and a checkpoint in between, so a trace of any width spreads over all tasks.
-    ``max_depth`` stops a walk that would go deeper with an error.
+    Of spans sent twice the earliest counts. Children go by start, ties by span id. Spans whose parent
+    is not in the trace are roots; spans on or below a cycle follow at the end with depth 0.
+
+    Every span keeps a pointer to an ancestor and the path from there. A round replaces the pointer by
+    the ancestor's own, so paths double and the rounds grow with the logarithm of the depth; a round in
+    which no span reaches its root leaves only cycles. ``max_depth`` makes deeper traces an error.
     """
-    nodes = spans.withColumn("__parent", F.when(F.col("parent_id").cast("string") != "", F.col("parent_id")))
-    ids = nodes.select("trace_id", F.col("span_id").alias("__parent")).distinct()
+    earliest = Window.partitionBy("trace_id", "span_id").orderBy("start_unix_nano", "end_unix_nano", "name", "parent_id")
+    nodes = spans.withColumn("__n", F.row_number().over(earliest)).where(F.col("__n") == 1).drop("__n")
+    nodes = checkpointed(nodes)
     step = F.struct(F.col("start_unix_nano").alias("s"), F.col("span_id").alias("i"))
-    inner = checkpointed(sliced_join(nodes, ids, ["trace_id", "__parent"], "span_id", "left_semi").withColumn("__step", step))
-    top = nodes.where(F.col("__parent").isNull()).unionByName(
-        sliced_join(nodes.where(F.col("__parent").isNotNull()), ids, ["trace_id", "__parent"], "span_id", "left_anti")
-    )
-    frontier = checkpointed(top.withColumn("depth", F.lit(0)).withColumn("__path", F.array(step)))
-    done = frontier
-    depth = 0
-    while True:
-        above = frontier.select("trace_id", F.col("span_id").alias("__parent"), F.col("__path").alias("__up"))
-        frontier = checkpointed(
-            sliced_join(inner, above, ["trace_id", "__parent"], "span_id")
-            .withColumn("depth", F.lit(depth + 1))
-            .withColumn("__path", F.concat("__up", F.array("__step")))
-            .drop("__up", "__step")
-        )
-        if frontier.isEmpty():
-            break
-        depth += 1
-        if max_depth is not None and depth > max_depth:
-            raise ValueError(f"a trace is deeper than {max_depth} levels")
-        done = done.unionByName(frontier)
-    reached = done.select("trace_id", F.col("span_id").alias("__sid")).distinct()
-    lost = (
-        nodes.join(
-            reached, (nodes["trace_id"] == reached["trace_id"]) & (nodes["span_id"] == reached["__sid"]), "left_anti"
+    parent = F.when(F.col("parent_id").cast("string") != "", F.col("parent_id"))
+    named = nodes.select("trace_id", "span_id", parent.alias("__up"), F.array(step).alias("__path"))
+    ids = nodes.select("trace_id", F.col("span_id").alias("__up"), F.lit(True).alias("__known"))
+    known = sliced_join(named, ids, ["trace_id", "__up"], "span_id", "left")
+    pointers = checkpointed(known.withColumn("__up", F.when(F.col("__known"), F.col("__up"))).drop("__known"))
+    climbing, before = pointers.where(F.col("__up").isNotNull()).count(), -1
+    while climbing not in (0, before):
+        above = pointers.select("trace_id", F.col("span_id").alias("__up"), F.col("__up").alias("__next"), F.col("__path").alias("__head"))
+        moved = sliced_join(pointers.where(F.col("__up").isNotNull()), above, ["trace_id", "__up"], "span_id").select(
+            "trace_id", "span_id", F.col("__next").alias("__up"), F.concat("__head", "__path").alias("__path")
         )
-        .withColumn("depth", F.lit(0))
-        .withColumn("__path", F.array(step))
-    )
-    both = (
-        done.withColumn("__lost", F.lit(0)).unionByName(lost.withColumn("__lost", F.lit(1))).drop("__parent")
+        pointers = checkpointed(pointers.where(F.col("__up").isNull()).unionByName(moved))
+        before, climbing = climbing, pointers.where(F.col("__up").isNotNull()).count()
+    lost = F.col("__up").isNotNull()
+    placed = pointers.select(
+        "trace_id",
+        "span_id",
+        lost.cast("int").alias("__lost"),
+        F.when(lost, F.slice("__path", -1, 1)).otherwise(F.col("__path")).alias("__path"),
     )
+    if max_depth is not None and (placed.agg(F.max(F.size("__path"))).first()[0] or 0) > max_depth + 1:
+        raise ValueError(f"a trace is deeper than {max_depth} levels")
+    both = nodes.join(placed, ["trace_id", "span_id"]).withColumn("depth", F.size("__path") - 1)
     return ranked(both, ["trace_id"], ["__lost", "__path"], "position").drop("__lost", "__path")
 
 

@@ -12,6 +12,7 @@ from telmora.functions import ieee
 from telmora.functions import labels as L
 from telmora.operators import histogram as H
 from telmora.operators.logs import Filter, match_logs, search_logs
+from telmora.operators.selectors import Grid
 from telmora.runtime import checkpointed
 
 Step = tuple[float | None, str]
@@ -72,34 +73,23 @@ def stat_grid(vector: DataFrame, steps: Sequence[Step] = ()) -> DataFrame:
     )
 
 
-def label_keys(vector: DataFrame, limit: int = 1000) -> list[str]:
-    """Sorted label names of a vector without the metric name. Panels have few columns; more than
-    ``limit`` names is an error, not a cut."""
-    found = (
-        vector.select("labels_fp")
-        .distinct()
-        .select(F.explode(F.map_keys(L.labels_of("labels_fp"))).alias("k"))
-        .distinct()
-        .where(F.col("k") != L.NAME)
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} label names")
-    return sorted(r["k"] for r in found)
+def label_keys(vector: DataFrame) -> DataFrame:
+    """Distinct label names (``key``) of a vector without the metric name."""
+    names = vector.select("labels_fp").distinct().select(F.explode(F.map_keys(L.labels_of("labels_fp"))).alias("key"))
+    return names.distinct().where(F.col("key") != L.NAME)
 
 
 def table(
     vector: DataFrame,
-    keys: Sequence[str] | None = None,
+    keys: Sequence[str],
     rename: Mapping[str, str] | None = None,
     exclude: Iterable[str] = (),
 ) -> DataFrame:
     """One column per label plus ``Value``; columns can be renamed and (in any letter case) excluded.
 
-    ``keys`` spares the pass that discovers the label names. Absent labels are empty text.
+    The columns are the labels ``keys``, as a query's columns are part of its plan; ``label_keys`` tells
+    which there are. Absent labels are empty text.
     """
-    keys = label_keys(vector) if keys is None else list(keys)
     rename = rename or {}
     dropped = {e.lower() for e in exclude}
     columns = [
@@ -131,8 +121,8 @@ def pie(vector: DataFrame) -> DataFrame:
     return vector.join(total, "t_ms").withColumn("share", ieee.div(F.col("value"), F.col("total"))).drop("total")
 
 
-def heatmap(vector: DataFrame) -> DataFrame:
-    return H.heatmap(vector)
+def heatmap(vector: DataFrame, grid: Grid) -> DataFrame:
+    return H.heatmap(vector, grid)
 
 
 def logs_panel(
@@ -142,26 +132,16 @@ def logs_panel(
     stream: Iterable[Filter] = (),
     lines: Sequence[tuple[str, str]] = (),
     ties: Sequence[str] = (),
-    newest: int = 500,
     shown: int = 100,
 ) -> DataFrame:
-    """The newest ``newest`` logs of the range (narrowed by the first contains-filter as a text search)
-    that pass all filters; the first ``shown`` of them, each with the number of the others.
+    """The newest ``shown`` logs of the range that pass all filters, each with the number of the others.
 
-    Both limits are the panel's page sizes.
+    ``shown`` is the panel's page size; the filters see every log of the range.
     """
-    text = next((v for op, v in lines if op == "|=" and v), None)
-    page = (
-        search_logs(logs, text=text, from_ns=from_ns, to_ns=to_ns)
-        .orderBy(F.col("ts_unix_nano").desc(), *ties)
-        .limit(newest)
-    )
-    matched = match_logs(page, stream, lines)
-    # at most ``newest`` rows reach these two windows
-    everything = Window.partitionBy()
-    by_time = everything.orderBy(F.col("ts_unix_nano").desc(), *ties)
-    return (
-        matched.withColumn("position", F.row_number().over(by_time))
-        .withColumn("truncated", F.greatest(F.lit(0), F.count(F.lit(1)).over(everything) - shown))
-        .where(F.col("position") <= shown)
-    )
+    matched = match_logs(search_logs(logs, from_ns=from_ns, to_ns=to_ns), stream, lines)
+    newest_first = [F.col("ts_unix_nano").desc(), *ties]
+    # a page of at most ``shown`` rows reaches this window
+    page = matched.orderBy(*newest_first).limit(shown)
+    page = page.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*newest_first)))
+    others = matched.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - shown).alias("truncated"))
+    return page.crossJoin(F.broadcast(others))  # one row

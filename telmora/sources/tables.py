@@ -142,13 +142,14 @@ def fetch_points(
 
 
 def metric_series(
-    metrics: DataFrame, name: str, from_ns: int | None = None, to_ns: int | None = None, limit: int = 500, ties=()
+    metrics: DataFrame, name: str, from_ns: int | None = None, to_ns: int | None = None, limit: int | None = None, ties=()
 ) -> DataFrame:
-    """The earliest ``limit`` points of one metric in time order; a blank name has none."""
+    """The points of one metric in time order, or the earliest ``limit``; a blank name has none."""
     if not name or not name.strip():
         return metrics.limit(0)
     found = metrics.where((F.col("name") == name) & in_range("ts_unix_nano", from_ns, to_ns))
-    return found.orderBy("ts_unix_nano", *ties).limit(limit)
+    ordered = found.orderBy("ts_unix_nano", *ties)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def attribute_index(df: DataFrame, row_id: str | Sequence[str]) -> DataFrame:

@@ -156,7 +156,8 @@ def test_panels(spark):
     v = vector(spark, [(fp(__name__="m", a="1"), 5), (fp(__name__="m", b="2"), math.inf), (fp(__name__="m", a="2"), 8)])
     steps = [(None, "green"), (6.0, "#E0B400"), (8.0, "dark-red")]
     assert [(r["value"], r["class"]) for r in P.stat_grid(v, steps).collect()] == [(8, "err"), (5, "ok")]
-    t = P.table(v, rename={"a": "A", "Value": "v"}, exclude=["B"])
+    assert sorted(r["key"] for r in P.label_keys(v).collect()) == ["a", "b"]
+    t = P.table(v, ["a", "b"], rename={"a": "A", "Value": "v"}, exclude=["B"])
     assert t.columns == ["A", "v"] and sorted(r["A"] for r in t.collect()) == ["", "1", "2"]
     assert P.single_stat(P.finite(v)).first()["value"] == 13
     assert {r["max"] for r in P.bar_gauge(P.finite(v)).collect()} == {8}

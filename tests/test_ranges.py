@@ -61,7 +61,7 @@ def test_offset_at_absent(spark):
 def test_forward_fill(spark):
     s = samples(spark, [("a", 0, 1), ("b", 2000, 5)])
     v = instant_select(s, Grid(0, 2000, 1000), lookback_ms=0)
-    assert values(forward_fill(v)) == {("a", 0): 1, ("a", 2000): 1, ("b", 0): 0, ("b", 2000): 5}
+    assert values(forward_fill(v, Grid(0, 2000, 1000))) == {("a", 0): 1, ("a", 2000): 1, ("b", 0): 0, ("b", 2000): 5}
 
 
 def brute(points, grid, range_ms, fn, offset=0):

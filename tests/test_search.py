@@ -110,6 +110,15 @@ def test_tree_order(spark):
         TR.trace_tree_order(spans(spark, TREE), max_depth=1)
 
 
+def test_tree_order_of_repeated_spans_and_long_chains(spark):
+    twice = [*TREE[:4], span("t", "d", "c", start=25), span("t", "a", "b", start=40)]
+    got = [(r["span_id"], r["depth"]) for r in TR.trace_tree_order(spans(spark, twice)).orderBy("position").collect()]
+    assert got == [("a", 0), ("c", 1), ("d", 2), ("b", 1)]
+    chain = [span("t", f"s{i:04d}", f"s{i - 1:04d}" if i else None, start=i) for i in range(300)]
+    got = [(r["span_id"], r["depth"]) for r in TR.trace_tree_order(spans(spark, chain)).orderBy("position").collect()]
+    assert got == [(f"s{i:04d}", i) for i in range(300)]
+
+
 def test_trace_range_and_histogram(spark):
     s = spans(spark, TREE)
     assert TR.trace_ranges(s).where("trace_id='u'").first()[1:] == (1, 9)
@@ -208,16 +217,16 @@ def server(start_s, dur_s, status="200", method=None):
 def test_red_rate_and_quantile(spark):
     s = spans(spark, [server(100, 0.01), server(100, 0.01), server(102, 0.01), server(102, 0.01), span("t", "i", kind=0, start=100 * SEC)])
     lo, hi, at = 99_000, 105_000, Grid.instant(105_000)
-    smp = series_samples(red.red_points(s, lo * 10**6, hi * 10**6), "http_requests_total", lo, hi)
+    smp = series_samples(red.red_points(s, lo * 10**6, hi * 10**6, 10**9), "http_requests_total", lo, hi)
     # two requests per second bucket, cumulated to 2 and 4 over a five second range
     assert one(R.rate(range_select(smp, at, 5000))) == pytest.approx(0.4)
     s = spans(spark, [server(100, 0.02), server(100, 0.2), server(100, 2.0)])
-    b = series_samples(red.red_points(s, lo * 10**6, hi * 10**6), "http_request_duration_seconds_bucket", lo, hi)
+    b = series_samples(red.red_points(s, lo * 10**6, hi * 10**6, 10**9), "http_request_duration_seconds_bucket", lo, hi)
     v = AG.sum_(instant_select(b, at), by=["le"])
     assert one(H.histogram_quantile(0.95, v)) == pytest.approx(2.275)
     assert {r["value"] for r in red.red_label_values(s, "http.method").collect()} == {"GET"}
     own = spark.createDataFrame([("x", 1)], "name string, type int")
-    both = red.composite_points(own, s, lo * 10**6, hi * 10**6)
+    both = red.composite_points(own, s, lo * 10**6, hi * 10**6, 10**9)
     assert {r["name"] for r in both.select("name").distinct().collect()} == {"x", "http_requests", "http_request_duration"}
 
 
