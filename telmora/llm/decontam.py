@@ -123,7 +123,7 @@ def _runs(intervals: Column) -> Column:
     empty = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joins = (F.size(done) > 0) & (x["s"] <= last["e"])
         longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when(joins, longer).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))

@@ -193,7 +193,7 @@ def _joined(spans: Column) -> Column:
     kind = "array<struct<w0:int,w1:int,b0:int,b1:int,keep:long>>"
 
     def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         longer = F.struct(
             last["w0"].alias("w0"), F.greatest(last["w1"], x["w1"]).alias("w1"), last["b0"].alias("b0"),
             F.greatest(last["b1"], x["b1"]).alias("b1"), F.least(last["keep"], x["keep"]).alias("keep"),

@@ -19,6 +19,7 @@ TRIGGER = 20
 FILTER = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LOW48 = np.uint64(2**48 - 1)
 _ENTRY = np.dtype([("t", "<u4"), ("u", "<u2"), ("c", "<u4"), ("v", "<u2"), ("doc", "<u4")])
 _DOCUMENT = np.dtype([("row", "<i8"), ("key", "<i8")])
@@ -50,10 +51,11 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
             least = np.minimum(least[: n - length + 1], least[window - size : window - size + n - length + 1])
         first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         last = np.concatenate([first[1:] - 1, [len(least) - 1]])
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), _BASE)]).astype(np.uint64), dtype=np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:-1], dtype=np.uint64)])
-        # Sums of a phrase, all moved to the last power, so that the place in the text does not matter.
-        phrase = _mix((sums[last + window] - sums[first]) * powers[len(h) - first] + (last - first).astype(np.uint64))
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, _BASE)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, _INVERSE)]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers, dtype=np.uint64)])
+        # Sums of a phrase, moved back to its beginning, so that the place in the text does not matter.
+        phrase = _mix((sums[last + window] - sums[first]) * back[first] + (last - first).astype(np.uint64))
     return least[first], phrase, first, last
 
 
