@@ -295,8 +295,8 @@ def _arrays_json(spark, sf) -> DataFrame:
 query(
     "array_sum",
     sql(
-        "select event_type, ts_ms, " + ", ".join(f"(a.b[{i}] + c.b[{i}])::bigint as b{i}" for i in range(1, 10))
-        + " from hist a join (select event_type, ts_ms, b, service_name as other from hist) c using (event_type, ts_ms) where a.service_name = 'svc-0' and other = 'svc-1'",
+        "select event_type, service_name, ts_ms, " + ", ".join(f"(a.b[{i}] + c.b[{i}])::bigint as b{i}" for i in range(1, 10))
+        + " from hist a join (select event_type, ts_ms, b, service_name as other from hist) c using (event_type, ts_ms) where other = 'svc-' || (substr(service_name, 5)::int + 1)",
         "hist",
     ),
 )(lambda spark, sf: _array_sum(spark, sf))
@@ -306,10 +306,12 @@ def _array_sum(spark, sf) -> DataFrame:
     h = V.histogram_points(spark, sf).select(
         "event_type", "service_name", F.floor(F.col("ts_unix_nano") / 1_000_000).alias("ts_ms"), "bucket_counts"
     )
-    a = h.where("service_name = 'svc-0'").withColumnRenamed("bucket_counts", "a").drop("service_name")
-    b = h.where("service_name = 'svc-1'").withColumnRenamed("bucket_counts", "b").drop("service_name")
-    both = a.join(b, ["event_type", "ts_ms"]).withColumn("s", TB.add_arrays(F.col("a"), F.col("b")))
-    return both.select("event_type", "ts_ms", *[F.get("s", F.lit(i - 1)).alias(f"b{i}") for i in range(1, 10)])
+    # every service meets the one numbered next
+    before = F.concat(F.lit("svc-"), (F.substring("service_name", 5, 9).cast("int") - 1).cast("string"))
+    a = h.withColumnRenamed("bucket_counts", "a")
+    b = h.withColumnRenamed("bucket_counts", "b").withColumn("service_name", before)
+    both = a.join(b, ["event_type", "service_name", "ts_ms"]).withColumn("s", TB.add_arrays(F.col("a"), F.col("b")))
+    return both.select("event_type", "service_name", "ts_ms", *[F.get("s", F.lit(i - 1)).alias(f"b{i}") for i in range(1, 10)])
 
 
 query(

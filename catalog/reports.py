@@ -27,13 +27,13 @@ _FROM, _TO = V.EVENTS_FROM_MS * 1_000_000, V.EVENTS_TO_MS * 1_000_000
 
 def _volume(spark, sf, bucket_ns: int, from_ns: int, to_ns: int) -> DataFrame:
     """Server spans of 1995–2001 next to logs and counter points of 2024."""
-    points = V.metric_points(spark, sf).where(F.col("name") == "app.value")
+    points = V.metric_points(spark, sf)  # three for each event
     return VO.signal_volume(V.spans(spark, sf), V.logs(spark, sf), points, from_ns, to_ns, bucket_ns)
 
 
 _VOL = (
     "select bucket, sum(s)::bigint as spans, sum(l)::bigint as logs, sum(m)::bigint as metrics from (select start_ns as ts, 1 as s, 0 as l, 0 as m from spans "
-    "union all select ts_unix_nano, 0, 1, 0 from logs union all select ts_unix_nano, 0, 0, 1 from logs) t, "
+    "union all select ts_unix_nano, 0, 1, 0 from logs union all select ts_unix_nano, 0, 0, 3 from logs) t, "
     "lateral (select ts // {w} * {w} as bucket) where ts between {a} and {b} group by bucket"
 )
 query("signal_volume", sql(_VOL.format(w=_DAY_NS, a=0, b=2 * 10**18), "spans", "logs"))(

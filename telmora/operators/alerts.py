@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from telmora.operators.logs import search_logs
 from telmora.operators.traces import trace_summaries
 from telmora.schema import NS_PER_S
 
+# The state machine travels with its code, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Alert states.
 OK, PENDING, FIRING, RESOLVED = "Ok", "Pending", "Firing", "Resolved"
 
