@@ -56,32 +56,30 @@ def linked_within(
     extra: list[str],
     compatible: Callable[[str, str], Column],
 ) -> DataFrame:
-    """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c:
-    long, and ``extra`` columns) would connect, without forming all pairs.
-
-    ``compatible`` tells by the extra columns (whose names get the given endings) which pairs can be
-    similar at all. ``links_of`` reduces pairs (a, b, extra columns ending in _a, _b; a row for each
-    group they share) to the similar ones.
-
-    First the members of each group are paired with its leader: the member whose groups are largest
-    together, as the text from which others were made lies in most of their groups. Similar ones
-    form components. Then, in groups that still hold several components, members outside the
-    group's largest component are paired with compatible members of other components: every pair not
-    yet connected that shares a group is among these, with a row for each group it shares.
+    """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c,
+    weight: long, and ``extra`` columns) would connect, without forming all pairs.
+
+    ``compatible`` tells by the extra columns (whose names get the given endings) which rows can belong
+    to similar pairs. ``links_of`` reduces pairs (a, b, extra columns ending in _a, _b; a row for each
+    group they share) to the similar ones. ``entries`` should be a written table.
+
+    First the members of each group are paired with its leader, the member of greatest weight: weights
+    should be high for texts from which others in their groups were made. Similar ones form
+    components. Then, in groups that still hold several components, members outside the group's
+    largest component are paired with compatible members of other components: every pair not yet
+    connected that shares a group is among these, with a row for each group it shares.
     """
     named = lambda df, end: df.select("token", *[F.col(x).alias(x + end) for x in ("c", *extra)])
-    sizes = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    sized = checkpointed(entries.join(checkpointed(sizes), "token"))
-    weights = checkpointed(sized.groupBy("c").agg(F.sum("m").alias("weight")))
-    ranked = checkpointed(sized.join(weights, "c").select("token", "weight", "c", *extra))
-    leaders = ranked.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x")).select("token", "x.*")
-    stars = named(ranked, "_b").join(checkpointed(named(leaders, "_a")), "token").where("c_a <> c_b").where(compatible("_a", "_b"))
+    leaders = entries.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x"), F.count("*").alias("m"))
+    leaders = checkpointed(named(leaders.where("m > 1").select("token", "x.*"), "_a"))
+    stars = named(entries, "_b").join(leaders, "token").where("c_a <> c_b").where(compatible("_a", "_b"))
     first = links_of(stars.withColumnsRenamed({"c_a": "a", "c_b": "b"}))
 
-    placed = components(first).withColumnRenamed("node", "c")
-    colored = ranked.drop("weight").join(placed, "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
-    colored = checkpointed(colored)
-    mixed = colored.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+    placed = checkpointed(components(first).withColumnRenamed("node", "c"))
+    color = F.coalesce("component", "c").alias("k")
+    slim = entries.select("token", "c").join(placed, "c", "left").select("token", color)
+    mixed = slim.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
+    colored = entries.join(placed, "c", "left").select("token", "c", *extra, color)
     open_ = checkpointed(colored.join(checkpointed(mixed.select("token")), "token", "left_semi"))
     largest = open_.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("k", F.struct("m", "k")).alias("main"))
     outside = open_.join(checkpointed(largest), "token").where("k <> main")

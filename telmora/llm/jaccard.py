@@ -146,7 +146,8 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def _postings(n: int, percent: int, sketch):
-    """(shingle, salt, class, row, size, matches, place) of the prefixes; a class once in each task."""
+    """(shingle, salt, class, row, size, matches, place, sum of counts) of the prefixes; a class once in
+    each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.frombuffer(sketch.value, "<u4"), set()
@@ -155,8 +156,8 @@ def _postings(n: int, percent: int, sketch):
 
         def out() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "c", "row", "n", "l", "pos"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "c", "row", "n", "l", "pos", "weight"])
 
         for row, _, fp, s in _texts(batches, n):
             if not len(s) or fp in seen:
@@ -165,7 +166,7 @@ def _postings(n: int, percent: int, sketch):
             tokens, df, matches = prefix(s, counts, percent)
             salt = np.where(df > HOT, 1 + fp % (df // HOT + 1), 0)  # 0: not hot
             full = lambda x, kind=np.int64, m=len(tokens): np.full(m, x, kind)
-            parts.append((tokens.view(np.int64), salt.astype(np.int32), full(fp), full(row), full(len(s)), full(matches, np.int32), np.arange(len(tokens))))
+            parts.append((tokens.view(np.int64), salt.astype(np.int32), full(fp), full(row), full(len(s), np.int32), full(matches, np.int32), np.arange(len(tokens), dtype=np.int32), full(int(df.sum()))))
             held += len(tokens)
             if held > 200_000:
                 yield out()
@@ -230,12 +231,13 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 
 def _reachable(percent: int):
-    """Whether the sizes, and what is left of both sets from the first shingle that others share, allow
-    the overlap: common shingles start at one that lies in both prefixes."""
+    """Whether a shared shingle can be among the first l that a similar pair shares, l being the fewer
+    matches of the two: at most l - 1 come before it and the rest of the smaller remainder after it,
+    which must allow the overlap. So a similar pair keeps at least l shared shingles."""
 
     def condition(a: str, b: str) -> Column:
         n_a, n_b = F.col("n" + a), F.col("n" + b)
-        most = F.least(n_a - F.col("first" + a), n_b - F.col("first" + b))
+        most = F.least("l" + a, "l" + b) - 1 + F.least(n_a - F.col("pos" + a), n_b - F.col("pos" + b))
         return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
 
     return condition
@@ -252,9 +254,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
     Candidates are found in two rounds (see ``linked_within``), so that groups of copies don't become
     all their pairs: classes with the leader of each shingle they share, then what is still apart.
-    The leader shares at least the counted shingles, and pairs with too few matches in the first round
-    come again in the second, where all are counted. What remains of two sets from the first shingle
-    they may share bounds their overlap. Both rounds verify the exact similarity on the texts.
+    Pairs with too few matches in the first round come again in the second, where all are counted. A
+    shared shingle's places in both prefixes bound the overlap. Both rounds verify the exact similarity on the texts.
 
     Texts without words (null, empty) have no shingles and no links. Repeated rows and equal texts
     are one class, also under the same doc_id. A null doc_id counts as the greatest id. An empty
@@ -273,20 +274,18 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 
     every = described.where("slice is null").select("row", "key", F.col("set_hash").alias("c"), "n")
     classes = every.groupBy("c").agg(F.min("row").alias("class_id"))
-    kind = "token long, salt int, c long, row long, n long, l int, pos long"
+    kind = "token long, salt int, c long, row long, n int, l int, pos int, weight long"
     postings = texts.mapInArrow(_postings(n, percent, sketch_everywhere), kind)
-    live = checkpointed(postings.repartition(partitions(spark), "token", "salt").mapInArrow(_live, kind).drop("salt"))
-    first = checkpointed(live.groupBy("c").agg(F.min("pos").alias("first"), F.count("*").alias("m")))
-    # A class with fewer live shingles than matches needed can't be similar to any.
-    entries = live.join(first, "c").where("m >= l").drop("m")
+    entries = checkpointed(postings.repartition(partitions(spark), "token", "salt").mapInArrow(_live, kind).drop("salt"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         fixed = [x + end for end in ("_a", "_b") for x in ("row", "n", "l")]
-        shared = pairs.groupBy("a", "b", *fixed).agg(F.count("*").alias("m"), F.min("pos_a").alias("first_a"), F.min("pos_b").alias("first_b"))
-        enough = shared.where(F.col("m") >= F.least("l_a", "l_b")).where(_reachable(percent)("_a", "_b"))
+        shared = pairs.groupBy("a", "b", *fixed).agg(F.count("*").alias("m"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
+        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # from the first one they share
+        enough = shared.where(F.col("m") >= F.least("l_a", "l_b")).where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         return _links(checkpointed(enough.select("a", "b", "row_a", "row_b")), texts, n, percent)
 
-    links = linked_within(entries, links_of, ["row", "n", "l", "pos", "first"], _reachable(percent))
+    links = linked_within(entries, links_of, ["row", "n", "l", "pos"], _reachable(percent))
 
     linked = components(links).withColumnsRenamed({"node": "c", "component": "root"})
     named = classes.join(linked, "c", "left").withColumn("root", F.coalesce("root", "c"))

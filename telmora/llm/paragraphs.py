@@ -161,7 +161,12 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     classes = checkpointed(found.groupBy("c", "fine").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("at"), F.first("bands").alias("bands")))
 
     lines = classes.where("not fine")
-    entries = checkpointed(lines.select("c", F.explode("bands").alias("token")))
+    banded = checkpointed(lines.select("c", F.explode("bands").alias("token")))
+    sizes = banded.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    shared = checkpointed(banded.join(checkpointed(sizes), "token"))
+    # The text from which copies were made collides with most of them.
+    weights = checkpointed(shared.groupBy("c").agg(F.sum("m").alias("weight")))
+    entries = checkpointed(shared.drop("m").join(weights, "c"))
     where = lines.select("c", "at.*")
 
     def links_of(pairs: DataFrame) -> DataFrame:
