@@ -20,8 +20,10 @@ FILTER = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_LOW48 = np.uint64(2**48 - 1)
-_ENTRY = np.dtype([("t", "<u4"), ("u", "<u2"), ("c", "<u4"), ("v", "<u2"), ("doc", "<u4")])
+_LOW48, _LOW40 = np.uint64(2**48 - 1), np.uint64(2**40 - 1)
+#: Documents that are parsed together at most.
+_TOGETHER = 50_000
+_ENTRY = np.dtype([("t", "<u4"), ("u", "u1"), ("c", "<u4"), ("v", "<u2"), ("doc", "<u2")])
 _DOCUMENT = np.dtype([("row", "<i8"), ("key", "<i8")])
 
 
@@ -61,7 +63,7 @@ def parse(data: bytes, length: int = LENGTH, trigger: int = TRIGGER) -> tuple[np
 
 def _entries(t: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     out = np.empty(len(t), _ENTRY)
-    out["t"], out["u"] = t & np.uint64(2**32 - 1), (t >> np.uint64(32)) & np.uint64(2**16 - 1)
+    out["t"], out["u"] = t & np.uint64(2**32 - 1), (t >> np.uint64(32)) & np.uint64(2**8 - 1)
     out["c"], out["v"] = c & np.uint64(2**32 - 1), (c >> np.uint64(32)) & np.uint64(2**16 - 1)
     out["doc"] = doc
     return out
@@ -81,13 +83,13 @@ def _dictionary(length: int, shards: int):
     earlier document of the batch holds are settled here and only passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, _TOGETHER) for b in batches for i in range(0, b.num_rows, _TOGETHER)):
             rows, keys, texts = (batch.column(x).to_pylist() for x in ("row", "key", "text"))
             order = sorted(range(len(rows)), key=lambda i: (rows[i], keys[i]))
             parts = []
             for d, i in enumerate(order):
                 t, c, _, _ = parse(_bytes(texts[i]), length)
-                pair = np.unique(np.stack([t & _LOW48, c & _LOW48, t >> np.uint64(48)], 1), axis=0) if len(t) else np.empty((0, 3), np.uint64)
+                pair = np.unique(np.stack([t & _LOW40, c & _LOW48, t >> np.uint64(40)], 1), axis=0) if len(t) else np.empty((0, 3), np.uint64)
                 parts.append((pair, np.full(len(pair), d, np.uint32)))
             if not parts:
                 continue
@@ -263,7 +265,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     document. Order of phrases and of suffixes inside them is the order of the corpus' suffixes as
     far as it matters here: strings of different triggers differ.
 
-    Phrases are told apart by 96 bits of hash of trigger and phrase; suffixes by their bytes.
+    Phrases are told apart by 88 bits of hash of trigger and phrase, besides the shard; suffixes by
+    their bytes.
     """
     spark = docs.sparkSession
     shards = partitions(spark)
