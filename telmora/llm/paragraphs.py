@@ -39,11 +39,13 @@ def tune(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tupl
     return hashes, 1
 
 
-def _ordered_hash(h: np.ndarray) -> int:
-    """Signed hash of a sequence of word hashes."""
+def _ordered_hashes(h: np.ndarray, cuts: np.ndarray) -> list[int]:
+    """Signed hashes of the sequences of word hashes between cuts."""
+    starts = cuts[:-1]
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(cuts)) + 1
     with np.errstate(over="ignore"):
-        x = _mix(h + np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    return int(x.view(np.int64)) if isinstance(x, np.uint64) else int(x)
+        x = _mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.add.reduceat(x, starts).view(np.int64).tolist()
 
 
 def _cuts(h: np.ndarray, least: int) -> np.ndarray:
@@ -65,14 +67,16 @@ _PARAGRAPH = "row long, key long, c long, fine boolean, w0 int, w1 int, b0 int,
 
 def _paragraphs(n: int, bands: int, rows: int):
     """Long lines with band keys, and pieces of the finer division. Offsets are words and bytes."""
-    seeds = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None]
+    # Shingle hashes are mixed already, so an odd factor and a shift of the origin permute them well enough.
+    numbers = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)
+    factors, origins = _mix(numbers * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1, 1)
+    factors = factors | np.uint64(1)
+    weights = factors[:rows, 0]
 
     def signature(s: np.ndarray) -> list[int]:
         with np.errstate(over="ignore"):
-            least = np.min(_mix(s[None, :] ^ seeds), axis=1).reshape(bands, rows)
-            keys = np.arange(bands, dtype=np.uint64)
-            for i in range(rows):
-                keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, i])
+            least = np.min(s[None, :] * factors + origins, axis=1).reshape(bands, rows)
+            keys = _mix((least * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
         return keys.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +93,9 @@ def _paragraphs(n: int, bands: int, rows: int):
                 if not spots:
                     continue
                 h = np.fromiter((words[raw[a:b]] for a, b in spots), np.uint64, len(spots))
-                for a, b in zip((cuts := _cuts(h, PIECE_WORDS).tolist()), cuts[1:]):
-                    out.append((row, key, _ordered_hash(h[a:b]), True, a, b, spots[a][0], spots[b - 1][1], None))
+                cuts = _cuts(h, PIECE_WORDS)
+                for c, a, b in zip(_ordered_hashes(h, cuts), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    out.append((row, key, c, True, a, b, spots[a][0], spots[b - 1][1], None))
                 at = start = 0
                 for line in raw.split(b"\n"):
                     k = at
