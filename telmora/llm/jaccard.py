@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     entries = checkpointed(postings.repartition(partitions(spark), "token", "salt").mapInArrow(_live, kind).drop("salt"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        fixed = [x + end for end in ("_a", "_b") for x in ("row", "n", "l")]
-        shared = pairs.groupBy("a", "b", *fixed).agg(F.count("*").alias("m"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
+        # A class has one n and l; its row depends on the task that an entry came from, and any will do.
+        least = [F.min(x + end).alias(x + end) for end in ("_a", "_b") for x in ("row", "n", "l", "pos")]
+        shared = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), *least)
         most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # from the first one they share
         enough = shared.where(F.col("m") >= F.least("l_a", "l_b")).where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         return _links(checkpointed(enough.select("a", "b", "row_a", "row_b")), texts, n, percent)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,27 @@ def test_many_copies_keep_every_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == roots(links, sets)
 
 
+def test_rows_of_a_class_may_differ_by_shingle(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    near = [*base[:60], "other", *base[61:]]
+    texts = dict(enumerate([" ".join(base), " ".join(near)] * 3 + [prose(rnd, 40) for _ in range(30)]))
+    live = jaccard._live
+
+    def shuffled(batches):
+        """Each shingle keeps the copy of a class that some other task sent."""
+        t = pa.Table.from_batches([*batches]).to_pylist()
+        t = [{**r, "row": r["row"] + 2 * (abs(r["token"]) % 3) if r["row"] < 2 else r["row"]} for r in t]
+        yield from live(pa.Table.from_pylist(t, KIND).to_batches())
+
+    KIND = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("row", pa.int64()), *[(x, pa.int32()) for x in ("n", "l", "pos")], ("weight", pa.int64())])
+    monkeypatch.setattr(jaccard, "_live", shuffled)
+    monkeypatch.setattr(jaccard, "MATCHES", 6)
+    monkeypatch.setattr(jaccard, "VERIFY_COST", 1e9)  # as many matches as possible
+    got = jaccard.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect() if r["doc_id"] < 6} == dict.fromkeys(range(6), 0)
+
+
 def test_substrings(docs, rows, none):
     first, want = {}, {}
     data = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t, *_ in rows]
