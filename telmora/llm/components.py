@@ -60,20 +60,21 @@ def linked_within(
     weight: long, and ``extra`` columns) would connect, without forming all pairs.
 
     ``compatible`` tells by the extra columns (whose names get the given endings) which rows can belong
-    to similar pairs. ``links_of`` reduces pairs (a, b, extra columns ending in _a, _b; a row for each
+    to similar pairs. ``links_of`` reduces pairs (a < b, extra columns ending in _a, _b; a row for each
     group they share) to the similar ones. ``entries`` should be a written table.
 
     First the members of each group are paired with its leader, the member of greatest weight: weights
     should be high for texts from which others in their groups were made. Similar ones form
     components. Then, in groups that still hold several components, members outside the group's
     largest component are paired with compatible members of other components: every pair not yet
-    connected that shares a group is among these, with a row for each group it shares.
+    connected that shares a group is among these, with a row for each group it shares. Which side comes
+    first there depends on the group's leader or largest component, so sides are put in order.
     """
     named = lambda df, end: df.select("token", *[F.col(x).alias(x + end) for x in ("c", *extra)])
     leaders = entries.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x"), F.count("*").alias("m"))
     leaders = checkpointed(named(leaders.where("m > 1").select("token", "x.*"), "_a"))
     stars = named(entries, "_b").join(leaders, "token").where("c_a <> c_b").where(compatible("_a", "_b"))
-    first = links_of(stars.withColumnsRenamed({"c_a": "a", "c_b": "b"}))
+    first = links_of(_in_order(stars, extra))
 
     placed = checkpointed(components(first).withColumnRenamed("node", "c"))
     color = F.coalesce("component", "c").alias("k")
@@ -87,5 +88,15 @@ def linked_within(
     others = open_.select("token", *[F.col(x).alias(x + "_a") for x in ("c", "k", *extra)])
     other = (F.col("k_a") != F.col("k_b")) & ((F.col("k_a") == F.col("main")) | (F.col("k_a") < F.col("k_b")))
     crossing = others.join(outside, "token").where(other & compatible("_a", "_b"))
-    second = links_of(crossing.drop("token", "main", "k_a", "k_b").withColumnsRenamed({"c_a": "a", "c_b": "b"}))
+    second = links_of(_in_order(crossing, extra))
     return first.unionByName(second)
+
+
+def _in_order(pairs: DataFrame, extra: list[str]) -> DataFrame:
+    """Pairs (c, extra columns; endings _a, _b) as a < b with their extra columns."""
+    def side(x: str, end: str, other: str) -> Column:
+        return F.when(F.col("c_a") < F.col("c_b"), F.col(x + end)).otherwise(F.col(x + other))
+
+    ordered = [(x, "a" if x == "c" else x + "_a", "b" if x == "c" else x + "_b") for x in ["c", *extra]]
+    columns = [c for x, a, b in ordered for c in (side(x, "_a", "_b").alias(a), side(x, "_b", "_a").alias(b))]
+    return pairs.select(*columns)

@@ -125,6 +125,24 @@ def test_rows_of_a_class_may_differ_by_shingle(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect() if r["doc_id"] < 6} == dict.fromkeys(range(6), 0)
 
 
+def test_pairs_across_components_are_counted_once(spark):
+    # 1, 2, 3 and 11, 12, 13 are components; 1 and 11 share tokens of which either may hold the main component.
+    held = {t: [1, 2, 3, 11] if t % 2 else [1, 11, 12, 13] for t in range(8)}
+    entries = spark.createDataFrame([(t, c, 100 * (c in (3, 13)), c * 10) for t, cs in held.items() for c in cs], "token long, c long, weight long, n int")
+    seen = []
+
+    def links_of(pairs):
+        rows = pairs.groupBy("a", "b", "n_a", "n_b").count().collect()
+        assert all((r["n_a"], r["n_b"]) == (10 * r["a"], 10 * r["b"]) for r in rows)
+        seen.append({(r["a"], r["b"]): r["count"] for r in rows})
+        same = [(r["a"], r["b"]) for r in rows if (r["a"] < 10) == (r["b"] < 10)]
+        return spark.createDataFrame(same, "a long, b long")
+
+    components.linked_within(entries, links_of, ["n"], lambda a, b: F.lit(True)).collect()
+    assert all(a < b for found in seen for a, b in found)
+    assert seen[1][1, 11] == 8
+
+
 def test_substrings(docs, rows, none):
     first, want = {}, {}
     data = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t, *_ in rows]
