@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import views as V
+from catalog.histograms import _PTS, _point_quantile
 from catalog.metrics import LOOKBACK, SERIES
 from catalog.registry import query, rounded, show
 from catalog.views import DAY_MS, GRID, HOUR_MS, latest, sql
@@ -244,6 +245,63 @@ query(
         "availability_tone",
     )
 )
+# The same key figures for every service over all events: requests are all events, errors the error events.
+_BY = ["service_name"]
+_SERVICE_RATES = (
+    "points as (select 'requests' as kind, service_name, us, value from ev union all select 'errors', service_name, us, value from ev where event_type = 'error'), "
+    "srates as (select kind, service_name, ts, greatest(0, value - pv) / ((ts - pts) / 1e9) as rate from (select kind, service_name, us * 1000 as ts, value, "
+    "lag(value) over w as pv, lag(us * 1000) over w as pts from points window w as (partition by kind, service_name order by us, value)) where ts - pts >= 1), "
+    "numbered as (select *, row_number() over (partition by kind, service_name order by ts) as rn from srates), "
+    "sratio as (select r.service_name, r.ts, r.rn as position, case when r.rate = 0 then 0 else least(1, greatest(0, e.rate / r.rate)) end as ratio "
+    "from numbered r join numbered e using (service_name, rn) where r.kind = 'requests' and e.kind = 'errors'), "
+    "sup as (select *, case when requests > 0 then least(1, greatest(0, 1 - errors / requests)) else 1 end as availability from "
+    "(select service_name, coalesce(arg_max(value, (us, value)) filter (where kind = 'requests'), 0) as requests, "
+    "coalesce(arg_max(value, (us, value)) filter (where kind = 'errors'), 0) as errors from points group by all))"
+)
+
+
+def _requests_and_errors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    points = _counter_points(spark, sf)
+    return points, points.where("event_type = 'error'")
+
+
+query(
+    "kpi_error_ratio_by_service",
+    sql("select service_name, ts as ts_unix_nano, position, round(ratio, 6) + 0.0 as ratio from sratio", "ev", _SERVICE_RATES),
+)(
+    lambda spark, sf: K.error_ratio(
+        *[K.neighbour_rate(p, _BY, _SPAN_NS) for p in _requests_and_errors(spark, sf)], _BY
+    ).select("service_name", "ts_unix_nano", F.col("position").cast("long").alias("position"), rounded(F.col("ratio")).alias("ratio"))
+)
+query(
+    "kpi_availability_by_service",
+    sql("select * replace (round(availability, 6) + 0.0 as availability) from sup", "ev", _SERVICE_RATES),
+)(
+    lambda spark, sf: K.availability(*_requests_and_errors(spark, sf), _BY).withColumn(
+        "availability", rounded(F.col("availability"))
+    )
+)
+query(
+    "kpi_dashboard_by_service",
+    sql(
+        "select service_name, round(coalesce(calls, 0), 6) + 0.0 as calls_per_s, round(coalesce(peak, 0), 6) + 0.0 as peak_calls_per_s, "
+        "round(coalesce(ratio, 0), 6) + 0.0 as error_ratio, requests, errors, round(availability, 6) + 0.0 as availability, "
+        "case when coalesce(ratio, 0) >= 0.05 then 'err' when coalesce(ratio, 0) >= 0.01 then 'warn' else 'ok' end as error_tone, "
+        "case when availability < 0.9 then 'err' when availability < 0.99 then 'warn' else 'ok' end as availability_tone, p50, p95, p99, "
+        "case when p95 >= 1 then 'err' when p95 >= 0.2 then 'warn' else 'ok' end as p95_tone from sup "
+        "left join (select service_name, arg_max(p50, (ts_ms, p50)) as p50, arg_max(p95, (ts_ms, p95)) as p95, arg_max(p99, (ts_ms, p99)) as p99 from "
+        f"(select event_type, service_name, ts_ms, {', '.join(f'{_point_quantile(q)} as p{q * 100:.0f}' for q in (0.5, 0.95, 0.99))} from pts group by all) group by all) using (service_name) "
+        "left join (select service_name, arg_max(rate, ts) as calls, max(rate) as peak from srates where kind = 'requests' group by all) using (service_name) "
+        "left join (select service_name, arg_max(ratio, ts) as ratio from sratio group by all) using (service_name)",
+        "ev",
+        "hist",
+        _PTS,
+        _SERVICE_RATES,
+    ),
+)(
+    lambda spark, sf: K.dashboard(*_requests_and_errors(spark, sf), V.histogram_points(spark, sf), _SPAN_NS, _BY)
+    .withColumns({c: rounded(F.col(c)) for c in ("calls_per_s", "peak_calls_per_s", "error_ratio", "availability", "p50", "p95", "p99")})
+)
 query(
     "series_split",
     sql(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +30,28 @@ def neighbour_rate(points: DataFrame, keys: Sequence[str], window_ns: int, clamp
     )
 
 
-def error_ratio(requests: DataFrame, errors: DataFrame) -> DataFrame:
-    """Position-wise errors / requests of two rate series, in [0, 1]; 0 without requests.
+def error_ratio(requests: DataFrame, errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Position-wise errors / requests of two rate series (of each key), in [0, 1]; 0 without requests.
 
-    Both are numbered in time order; surplus points of the longer one have no partner.
+    Both are numbered in time order; surplus points of the longer one have no partner. Null keys are
+    a key of their own.
     """
-    r = _numbered(requests, "ts_unix_nano", "rate").withColumnRenamed("rate", "req")
-    e = _numbered(errors, "__ts", "err")
+    r = _numbered(requests, keys, "ts_unix_nano", "rate").withColumnRenamed("rate", "req")
+    e = _numbered(errors, keys, "__ts", "err").withColumnsRenamed({k: f"__e_{k}" for k in keys} | {"position": "__position"})
+    same = F.col("position") == F.col("__position")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__e_{k}"))
     ratio = F.when(F.col("req") == 0, F.lit(0.0)).otherwise(F.col("err") / F.when(F.col("req") != 0, F.col("req")))
-    return r.join(e, ["__one", "position"]).select(
-        "ts_unix_nano", "position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)).alias("ratio")
+    return r.join(e, same).select(
+        *keys, "ts_unix_nano", "position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)).alias("ratio")
     )
 
 
-def _numbered(rates: DataFrame, ts: str, value: str) -> DataFrame:
+def _numbered(rates: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     rows = rates.select(
-        F.lit(1).alias("__one"), F.col("ts_unix_nano").alias(ts), F.col("rate").alias(value)
+        F.lit(1).alias("__one"), *keys, F.col("ts_unix_nano").alias(ts), F.col("rate").alias(value)
     )
-    return ranked(rows, ["__one"], [ts, value], "position")
+    return ranked(rows, ["__one", *keys], [ts, value], "position").drop("__one")
 
 
 def last_value(value: str = "value", ts: str = "ts_unix_nano") -> Column:
@@ -65,21 +70,28 @@ def reducers(value: str = "value", ts: str = "ts_unix_nano") -> list[Column]:
     ]
 
 
-def availability(requests: DataFrame, errors: DataFrame) -> DataFrame:
-    """1 − last errors / last requests within [0, 1]; 1 when nothing is known."""
-    def tagged(points: DataFrame, kind: str) -> DataFrame:
-        return points.select(F.lit(kind).alias("kind"), "ts_unix_nano", F.col("value").cast("double").alias("value"))
+def availability(requests: DataFrame, errors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """1 − last errors / last requests (of each key) within [0, 1]; 1 when nothing is known."""
+    both = _tagged(requests, keys, "requests").unionByName(_tagged(errors, keys, "errors"))
+    return both.groupBy(*keys).agg(_last("requests"), _last("errors")).withColumn("availability", _up())
 
-    def last(kind: str) -> Column:
-        newest = F.max(F.when(F.col("kind") == kind, F.struct("ts_unix_nano", "value")))
-        return F.coalesce(newest.getField("value"), F.lit(0.0)).alias(kind)
 
-    both = tagged(requests, "requests").unionByName(tagged(errors, "errors"))
+def _tagged(points: DataFrame, keys: Sequence[str], kind: str, value: str = "value") -> DataFrame:
+    return points.select(
+        *keys, F.lit(kind).alias("kind"), "ts_unix_nano", F.col(value).cast("double").alias("value")
+    )
+
+
+def _last(kind: str, name: str | None = None) -> Column:
+    """Aggregate over tagged points: value at the latest time, 0 without rows."""
+    newest = F.max(F.when(F.col("kind") == kind, F.struct("ts_unix_nano", "value")))
+    return F.coalesce(newest.getField("value"), F.lit(0.0)).alias(name or kind)
+
+
+def _up() -> Column:
     share = F.col("errors") / F.when(F.col("requests") > 0, F.col("requests"))
     up = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - share))
-    return both.agg(last("requests"), last("errors")).withColumn(
-        "availability", F.when(share.isNull(), F.lit(1.0)).otherwise(up)
-    )
+    return F.when(share.isNull(), F.lit(1.0)).otherwise(up)
 
 
 def latency_series(points: DataFrame, quantiles: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -116,28 +128,35 @@ def dashboard(
     errors: DataFrame,
     durations: DataFrame,
     window_ns: int,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One row with calls per second (last and peak), error ratio, availability, latest p50/p95/p99 and
-    their tones, from counter points of requests and errors and histogram points of durations."""
-    req_rate = neighbour_rate(requests, [], window_ns)
-    err_rate = neighbour_rate(errors, [], window_ns)
-    calls = req_rate.agg(
-        last_value("rate").alias("calls_per_s"), F.coalesce(F.max("rate"), F.lit(0.0)).alias("peak_calls_per_s")
-    )
-    ratio = error_ratio(req_rate, err_rate).agg(last_value("ratio").alias("error_ratio"))
-    up = availability(requests, errors)
-    lat = latency_series(durations, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).agg(
-        *[last_value(p).alias(p) for p in ("p50", "p95", "p99")]
-    )
-    # each of these is a single row
-    row = F.lit(1).alias("__row")
-    parts = [df.select("*", row) for df in (calls, ratio, up, lat)]
+    """One row (for each key) with calls per second (last and peak), error ratio, availability, latest
+    p50/p95/p99 and their tones, from counter points of requests and errors and histogram points of
+    durations. A key of any of the three has a row."""
+    req_rate = neighbour_rate(requests, keys, window_ns)
+    err_rate = neighbour_rate(errors, keys, window_ns)
+    lat = latency_series(durations, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys)
+    tagged = [
+        _tagged(requests, keys, "requests"),
+        _tagged(errors, keys, "errors"),
+        _tagged(req_rate, keys, "calls", "rate"),
+        _tagged(error_ratio(req_rate, err_rate, keys), keys, "ratio", "ratio"),
+        *[_tagged(lat, keys, p, p) for p in ("p50", "p95", "p99")],
+    ]
+    peak = F.max(F.when(F.col("kind") == "calls", F.col("value")))
     return (
-        parts[0]
-        .join(parts[1], "__row")
-        .join(parts[2], "__row")
-        .join(parts[3], "__row")
-        .drop("__row")
+        reduce(DataFrame.unionByName, tagged)
+        .groupBy(*keys)
+        .agg(
+            _last("calls", "calls_per_s"),
+            F.coalesce(peak, F.lit(0.0)).alias("peak_calls_per_s"),
+            _last("ratio", "error_ratio"),
+            *[_last(kind) for kind in ("requests", "errors", "p50", "p95", "p99")],
+        )
+        .select(
+            *keys, "calls_per_s", "peak_calls_per_s", "error_ratio", "requests", "errors",
+            _up().alias("availability"), "p50", "p95", "p99",
+        )
         .withColumn("error_tone", tone(F.col("error_ratio"), 0.01, 0.05))
         .withColumn(
             "availability_tone",

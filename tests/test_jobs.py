@@ -152,6 +152,22 @@ def test_kpis(spark):
     assert (d["calls_per_s"], d["peak_calls_per_s"], d["p50"], d["error_tone"], d["availability_tone"], d["p95_tone"]) == (20, 20, 1.5, "ok", "warn", "err")
 
 
+def test_kpis_per_key(spark):
+    kind = "service string, ts_unix_nano long, value double"
+    series = {"a": [0, 10, 30], "b": [0, 40, 40, 80], None: [0, 4]}
+    req = spark.createDataFrame([(k, i * SEC, float(v)) for k, vs in series.items() for i, v in enumerate(vs)], kind)
+    err = spark.createDataFrame([(k, i * SEC, float(v)) for k, vs in {"a": [0, 1], "b": [0, 8, 8], None: [0, 2], "c": [3]}.items() for i, v in enumerate(vs)], kind)
+    h = spark.createDataFrame([("b", 2, SEC, [0, 10, 0], [1.0, 2.0]), ("d", 2, SEC, [0, 10, 0], [1.0, 2.0])], "service string, type int, ts_unix_nano long, bucket_counts array<bigint>, explicit_bounds array<double>")
+    ratio = K.error_ratio(K.neighbour_rate(req, ["service"], 5 * SEC), K.neighbour_rate(err, ["service"], 5 * SEC), ["service"])
+    assert {(r["service"], r["position"]): r["ratio"] for r in ratio.collect()} == {("a", 1): 0.1, ("b", 1): 0.2, ("b", 2): 0, (None, 1): 0.5}
+    up = {r["service"]: r["availability"] for r in K.availability(req, err, ["service"]).collect()}
+    assert up == pytest.approx({"a": 1 - 1 / 30, "b": 0.9, None: 0.5, "c": 1})
+    rows = {r["service"]: r for r in K.dashboard(req, err, h, 5 * SEC, ["service"]).collect()}
+    assert {k: (r["calls_per_s"], r["peak_calls_per_s"], r["error_ratio"], r["p50"]) for k, r in rows.items()} == {
+        "a": (20, 20, 0.1, 0), "b": (40, 40, 0, 1.5), None: (4, 4, 0.5, 0), "c": (0, 0, 0, 0), "d": (0, 0, 0, 1.5)
+    }
+
+
 def test_panels(spark):
     v = vector(spark, [(fp(__name__="m", a="1"), 5), (fp(__name__="m", b="2"), math.inf), (fp(__name__="m", a="2"), 8)])
     steps = [(None, "green"), (6.0, "#E0B400"), (8.0, "dark-red")]
