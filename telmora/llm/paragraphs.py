@@ -14,11 +14,11 @@ from telmora.llm.common import checkpointed, row_key
 from telmora.llm.components import components, linked_within
 from telmora.llm.jaccard import N, PERCENT, _mix, _Words, set_hash, shingles
 
-#: Lines of at least so many words are paragraphs.
-LINE_WORDS = 20
+#: Lines, and blocks of lines between blank ones, of at least so many words are paragraphs.
+LEAST_WORDS = 5
 #: Words between two cuts of the finer division at least.
 PIECE_WORDS = 6
-#: Repeated runs of fewer words stay.
+#: Repeated runs of fewer words stay, unless they hold a paragraph.
 RUN_WORDS = 16
 #: Hashes that the bands may use, and the share of pairs at the threshold that they must find.
 HASHES = 84
@@ -66,7 +66,7 @@ _PARAGRAPH = "row long, key long, c long, fine boolean, w0 int, w1 int, b0 int,
 
 
 def _paragraphs(n: int, bands: int, rows: int):
-    """Long lines with band keys, and pieces of the finer division. Offsets are words and bytes."""
+    """Lines and blocks of lines with band keys, and pieces of the finer division. Offsets are words and bytes."""
     # Shingle hashes are mixed already, so an odd factor and a shift of the origin permute them well enough.
     numbers = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)
     factors, origins = _mix(numbers * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1, 1)
@@ -96,15 +96,24 @@ def _paragraphs(n: int, bands: int, rows: int):
                 cuts = _cuts(h, PIECE_WORDS)
                 for c, a, b in zip(_ordered_hashes(h, cuts), cuts[:-1].tolist(), cuts[1:].tolist()):
                     out.append((row, key, c, True, a, b, spots[a][0], spots[b - 1][1], None))
-                at = start = 0
-                for line in raw.split(b"\n"):
+                at = start = block = lines = 0
+                units = []
+                for line in [*raw.split(b"\n"), b""]:
                     k = at
                     while k < len(spots) and spots[k][0] < start + len(line):
                         k += 1
-                    if k - at >= LINE_WORDS:
-                        s = shingles(line.decode("utf-8", "surrogatepass"), n, words)
-                        out.append((row, key, set_hash(s), False, at, k, spots[at][0], spots[k - 1][1], signature(s)))
+                    if k > at:
+                        block, lines = (block, lines + 1) if lines else (at, 1)
+                        units.append((at, k))
+                    else:
+                        if lines > 1:  # a single line is there already
+                            units.append((block, at))
+                        lines = 0
                     at, start = k, start + len(line) + 1
+                for a, b in units:
+                    if b - a >= LEAST_WORDS:
+                        s = shingles(raw[spots[a][0] : spots[b - 1][1]].decode("utf-8", "surrogatepass"), n, words)
+                        out.append((row, key, set_hash(s), False, a, b, spots[a][0], spots[b - 1][1], signature(s)))
                 if len(out) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                     out = []
@@ -146,13 +155,16 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     """One row per passage to remove: ``doc_id``, ``start`` and ``end`` (bytes of the text, UTF-8),
     ``n_words``, ``keep_doc_id`` (least document that holds it), ``text_key``.
 
-    Paragraphs are lines of ``LINE_WORDS`` words or more, compared by the sets of their ``n``-word
-    shingles. As passages are also set inside other lines, the words of a document are divided once
+    Paragraphs are lines, and blocks of lines between blank ones, of ``LEAST_WORDS`` words or more,
+    compared by the sets of their ``n``-word shingles. As passages are also set inside other lines, the words of a document are divided once
     more into short pieces at places that depend on nearby words only; those are compared as they
-    are. Equal sets or pieces are one class. Lines collide if a band of their MinHash agrees; bands
+    are. Equal sets or pieces are one class. Paragraphs collide if a band of their MinHash agrees; bands
     are tuned for recall at the threshold. Colliding classes are verified by exact Jaccard, and
     components of classes that lie in several documents stay in the first document only. Touching
-    removals are joined, and runs of fewer than ``RUN_WORDS`` words stay.
+    removals are joined, and runs of fewer than ``RUN_WORDS`` words that hold no paragraph stay.
+
+    Passages inside longer lines go by whole pieces only: their words before the first and after the
+    last piece that both texts hold stay, and a short passage without such a piece is not found.
 
     Null and empty texts have no paragraphs. Rows with the same doc_id count as one document, so
     repeated rows lose nothing to each other. A null doc_id is the greatest. Other columns are
@@ -188,9 +200,9 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     owners = rooted.groupBy("root", "fine").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
     doomed = checkpointed(rooted.join(checkpointed(owners), ["root", "fine"]).select("c", "fine", "keep"))
     lost = found.drop("bands").join(doomed, ["c", "fine"]).where("row <> keep")
-    per_doc = lost.groupBy("row", "key").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "b0", "b1", "keep"))).alias("all"))
+    per_doc = lost.groupBy("row", "key").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "b0", "b1", "keep", (~F.col("fine")).alias("whole")))).alias("all"))
     run = F.explode(_joined(F.col("all")))
-    runs = per_doc.select("row", "key", run.alias("r")).where(F.col("r.w1") - F.col("r.w0") >= RUN_WORDS)
+    runs = per_doc.select("row", "key", run.alias("r")).where((F.col("r.w1") - F.col("r.w0") >= RUN_WORDS) | F.col("r.whole"))
     back = lambda x: F.nullif(x, none)
     return runs.select(
         back(F.col("row")).alias("doc_id"), F.col("r.b0").alias("start"), F.col("r.b1").alias("end"),
@@ -200,13 +212,14 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
 
 def _joined(spans: Column) -> Column:
     """Runs of sorted spans that overlap or touch in words, with the least document that holds a part."""
-    kind = "array<struct<w0:int,w1:int,b0:int,b1:int,keep:long>>"
+    kind = "array<struct<w0:int,w1:int,b0:int,b1:int,keep:long,whole:boolean>>"
 
     def step(done: Column, x: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
         longer = F.struct(
             last["w0"].alias("w0"), F.greatest(last["w1"], x["w1"]).alias("w1"), last["b0"].alias("b0"),
             F.greatest(last["b1"], x["b1"]).alias("b1"), F.least(last["keep"], x["keep"]).alias("keep"),
+            (last["whole"] | x["whole"]).alias("whole"),
         )
         grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
         return F.when((F.size(done) > 0) & (x["w0"] <= last["w1"]), grown).otherwise(F.concat(done, F.array(x)))

@@ -336,6 +336,21 @@ def test_repeated_paragraphs(docs, rows, none):
     assert paragraphs.repeated_paragraphs(none).count() == 0
 
 
+def test_short_lines_and_wrapped_paragraphs(spark):
+    rnd = random.Random(21)
+    word = lambda: f"u{rnd.randint(0, 10**9)}"
+    long = [word() for _ in range(80)]
+    edited = [w + "x" if i == 40 else w for i, w in enumerate(long)]
+    wrapped = "\n".join(" ".join(edited[i : i + 8]) for i in range(0, 80, 8))
+    short, tiny = " ".join(word() for _ in range(5)), " ".join(word() for _ in range(4))
+    own = [" ".join(word() for _ in range(30)) for _ in range(5)]
+    texts = [" ".join(long), f"{own[0]}\n\n{wrapped}\n\n{own[1]}", f"{own[2]}\n{short}\n{tiny}", f"{tiny}\n{short}\n{own[3]}", f"{own[4]} {short}"]
+    rest = paragraphs.remove_repeated(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"].split() for r in rest.collect()}
+    want = [texts[0], f"{own[0]} {own[1]}", texts[2], f"{tiny} {own[3]}", texts[4]]
+    assert got == {i: t.split() for i, t in enumerate(want)}
+
+
 def test_bands_find_pairs_at_the_threshold():
     bands, k = paragraphs.tune(0.8)
     assert 1 - (1 - 0.8**k) ** bands >= paragraphs.RECALL and bands * k <= paragraphs.HASHES
