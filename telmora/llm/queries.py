@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import chat, decontam, jaccard, knn, lines, packing, paragraphs, sharding, substrings, toxicity
+from telmora.llm import chat, codes, decontam, jaccard, knn, lines, packing, paragraphs, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,3 +194,41 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """The assignments and means written out round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} as materialized (select x.vec_id, x.p, e.i, sum((x.x - e.c) * (x.x - e.c))::bigint as d from x join e{r} e using (p, q) group by all),
+a{r} as materialized (select vec_id, p, arg_min(i, d::hugeint * 16 + i) as i, min(d) as d from d{r} group by all)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as materialized (select x.p, a.i, x.q, sum(x.x)::bigint as s, count(*) as n from a{r} a join x using (vec_id, p) group by all),
+e{r + 1} as materialized (select p, i, q, coalesce((s - ((s % n) + n) % n) // n, c) as c from e{r} left join m{r} using (p, i, q))""")
+    chain = ",".join(steps)
+    return f"""
+with k as materialized (select vec_id, label, embedding from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select max(len(embedding)) // 8 as w from k),
+x as materialized (select vec_id, t // w as p, t % w as q, floor(4096 * embedding[t + 1]::double)::bigint as x
+  from (select vec_id, embedding, unnest(range(len(embedding))) as t from k), w),
+e0 as materialized (select p, i, q, x as c from x
+  join (select vec_id, row_number() over (order by vec_id) - 1 as i from k order by vec_id limit 16) using (vec_id)),{chain},
+s as (select sha256(string_agg(c::varchar, ',' order by p, i, q)) as codebooks_sha256 from e{rounds}),
+f as (select vec_id, string_agg(printf('%02x', i), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by all)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from f join k using (vec_id), s
+"""
+
+
+@_query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in eight parts of sixteen entries, and their squared errors by label."""
+    found = codes.encode(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", keep=["vec_id", "label"])
+    digits = F.transform("codes", lambda i: F.lower(F.lpad(F.hex(i), 2, "0")))
+    return codes.label_errors(found.rows, F.col("label")).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", F.col("label_error").cast("long").alias("label_error"),
+        F.lit(codes.codebook_digest(found.entries)).alias("codebooks_sha256"),
+    )
