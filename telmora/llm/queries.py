@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import chat, codes, decontam, jaccard, knn, lines, packing, paragraphs, sharding, substrings, toxicity
+from telmora.llm import chat, codes, decontam, jaccard, knn, lines, packing, paragraphs, phrases, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,3 +232,35 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.array_join(digits, "").alias("code"), "error", F.col("label_error").cast("long").alias("label_error"),
         F.lit(codes.codebook_digest(found.entries)).alias("codebooks_sha256"),
     )
+
+
+_OP13_SQL = r"""
+with pieces as materialized (select lang, unnest(list_transform(string_split_regex(t, '[.,;:!?\x0A-\x0D]'),
+    lambda p: list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> ''))) as w
+  from (select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)),
+n as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+grams as materialized (select lang, m, p, count(*) as f from (
+    select lang, 1 as m, unnest(w) as p from pieces
+    union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from pieces
+    union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from pieces)
+  group by all),
+cand as materialized (select lang, m, p, f as a, string_split(p, ' ') as w from grams where m >= 2 and f >= 10),
+parts as materialized (select lang, p, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from (select *, unnest(range(1, m)) as k from cand)),
+cuts as (select c.lang, c.p, c.a, k, l.f as l, r.f as r, ((1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f))::bigint as score
+  from parts c join grams l on l.lang = c.lang and l.p = c.head join grams r on r.lang = c.lang and r.p = c.tail),
+best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+inner_p as (select lang, p, max(a) as longer from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as p from cand where m = 3) group by all),
+kept as (select b.* from best b left join inner_p i using (lang, p) where i.longer is null or 100 * i.longer < 50 * b.a)
+select lang, rank::bigint as rank, p as phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, p) as rank from kept) join n using (lang)
+where rank <= 2000
+"""
+
+
+@_query("op13_collocations", _OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
