@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telmora.llm import chat, codes, decontam, jaccard, knn, lines, packing, paragraphs, phrases, sharding, substrings, toxicity
+from telmora.llm import chat, codes, decontam, jaccard, knn, lines, lm, packing, paragraphs, phrases, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,3 +264,14 @@ where rank <= 2000
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two and three words of each language."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_lm_scores")
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under context-tree weighting and under word frequencies."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_crc(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    found = lm.score_texts(docs.withColumn("held_out", held_out), ~F.col("held_out"))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    )
