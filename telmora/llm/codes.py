@@ -391,6 +391,6 @@ def label_errors(coded: DataFrame, label: Column) -> DataFrame:
     small = hinted(totals, n)
     if small is totals:
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64("codes", "error"), F.lit(SALTS)))
-        small = totals.withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        small = totals.withColumn("__salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         match = match & (F.col("__salt") == F.col("__salted"))
     return rows.join(small, match).drop("__label", "__of", "__salt", "__salted")
