@@ -6,7 +6,7 @@ from importlib import import_module
 
 from catalog import registry
 
-_MODULES = ("metrics", "histograms", "traces", "logs", "discovery", "reports", "jobs")
+_MODULES = ("metrics", "histograms", "traces", "logs", "discovery", "reports", "jobs", "stored")
 
 
 def load() -> tuple[dict[str, registry.Query], dict[str, str]]:

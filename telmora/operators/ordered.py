@@ -9,6 +9,7 @@ Exact quantiles narrow down to the value range that holds the wanted rank before
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,6 +149,17 @@ def _value_bucket(value: Column) -> Column:
     )
 
 
+#: Parts of a value bucket. A bucket spans less than a thousandth of its values, so it has under 2^43 doubles,
+#: and a part under 2^24.
+PARTS = 1 << 20
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Number of the equal part of [low, high] that holds the value; it never decreases with the value."""
+    place = F.floor((value - low) / (high - low) * (PARTS - 1)).cast("int")
+    return F.when((high > low) & ~F.isnan(value), place).otherwise(F.lit(0))
+
+
 def _rank_bounds(rule: str, q: float, n: Column) -> tuple[Column, Column, Column]:
     """1-based lower rank, upper rank and weight of the upper one."""
     one = F.lit(1).cast("long")
@@ -186,7 +198,8 @@ def exact_quantiles(
 
     1. Equal values are counted together, which collapses heavy hitters before the shuffle.
     2. Counts per coarse value bucket tell, per key, which buckets hold the wanted ranks.
-    3. Only those buckets are kept, and only they are sorted.
+    3. Only those buckets are kept, and cut into up to a million equal parts. Counts per part tell which ones
+       hold the wanted ranks; only these are sorted, so no task sorts a whole bucket, however close the values are.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
@@ -200,33 +213,40 @@ def exact_quantiles(
     upto = Window.partitionBy(*keys).orderBy("__b")
     buckets = (
         counted.groupBy(*keys, "__b")
-        .agg(F.sum("__c").alias("__bc"))
+        .agg(F.sum("__c").alias("__bc"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
         .withColumn("__end", F.sum("__bc").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("n", F.sum("__bc").over(Window.partitionBy(*keys)))
     )
     start = F.col("__end") - F.col("__bc")
     ranks = {name: _rank_bounds(rule, q, F.col("n")) for name, q in quantiles.items()}
-    holds = F.lit(False)
-    for low, high, _ in ranks.values():
-        for r in (low, high):
-            holds = holds | ((r > start) & (r <= F.col("__end")))
-    wanted = buckets.where(holds).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__b").alias("__wb"),
-        start.alias("__start"),
-        "n",
+
+    def holds_rank(first: Column, last: Column) -> Column:
+        bounds = [r for low, high, _ in ranks.values() for r in (low, high)]
+        return reduce(lambda a, b: a | b, [(r > first) & (r <= last) for r in bounds], F.lit(False))
+
+    names = [f"__k{i}" for i in range(len(keys))]
+    wanted = buckets.where(holds_rank(start, F.col("__end"))).select(
+        *[F.col(k).alias(k2) for k, k2 in zip(keys, names)], F.col("__b").alias("__wb"), start.alias("__start"), "__low", "__high", "n"
     )
     on = F.col("__b") == F.col("__wb")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(F.isnan("__v").desc(), F.col("__v"))
+    for k, k2 in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(k2))
+    inside = counted.join(wanted, on, "inner").withColumn("__s", _part(F.col("__v"), F.col("__low"), F.col("__high")))
+    inside = inside.select(*keys, "__b", "__s", "__v", "__c", "__start", "n")
+    # The parts of a bucket that hold a wanted rank; at most PARTS rows meet in a window.
+    before = Window.partitionBy(*keys, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = inside.groupBy(*keys, "__b", "__s", "__start", "n").agg(F.sum("__c").alias("__sc"))
+    totals = totals.withColumn("__upto", F.col("__start") + F.sum("__sc").over(before))
+    parts = totals.where(holds_rank(F.col("__upto") - F.col("__sc"), F.col("__upto"))).select(
+        *[F.col(k).alias(k2) for k, k2 in zip(keys, names)],
+        F.col("__b").alias("__wb"), F.col("__s").alias("__ws"), (F.col("__upto") - F.col("__sc")).alias("__from"),
+    )
+    order = Window.partitionBy(*keys, "__b", "__s").orderBy(F.isnan("__v").desc(), F.col("__v"))
     placed = (
-        counted.join(wanted, on, "inner")
-        .select(*keys, "__b", "__v", "__c", "__start", "n")
+        inside.join(parts, on & (F.col("__s") == F.col("__ws")), "inner")
+        .select(*keys, "__b", "__s", "__v", "__c", "__from", "n")
         .withColumn(
-            "__hi",
-            F.col("__start")
-            + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "__hi", F.col("__from") + F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         )
         .withColumn("__lo", F.col("__hi") - F.col("__c"))
     )

@@ -347,20 +347,30 @@ def remove_orphans(spark: SparkSession, path: str, *facts: DataFrame) -> int:
     return sum(per_bucket.values())
 
 
-def append_new_spans(
-    spans: DataFrame, path: str, keys: str, arrival: str = "ingest_seq", buckets: int = KEY_BUCKETS
-) -> int:
+def spans_not_stored(spans: DataFrame, keys: str, arrival: str = "ingest_seq", buckets: int = KEY_BUCKETS) -> DataFrame:
+    """The first arrival of each (trace_id, span_id) whose ids the table at ``keys`` lacks.
+
+    ``keys`` holds the ids stored so far, cut by a hash of the trace id and sorted by it. Only its buckets with
+    traces of this batch are read, and no stored span of any day.
+    """
+    batch = checkpointed(_bucketed(TB.new_spans(spans, None, arrival), ["trace_id"], buckets))
+    return checkpointed(_only_new(spans.sparkSession, batch, keys, ["trace_id", "span_id"])).drop("bucket")
+
+
+def remember_spans(spans: DataFrame, keys: str, buckets: int = KEY_BUCKETS) -> None:
+    """Add the ids of spans that were just stored."""
+    ids = _bucketed(spans.select("trace_id", "span_id"), ["trace_id"], buckets)
+    _append_buckets(ids, keys, ["trace_id", "span_id"])
+
+
+def append_new_spans(spans: DataFrame, path: str, keys: str, arrival: str = "ingest_seq") -> int:
     """Append spans, first write wins per (trace_id, span_id); returns how many were appended.
 
-    ``keys`` is a table of the ids stored so far, cut by a hash of the trace id and sorted by it. Only its buckets
-    with traces of this batch are read, and no span of any earlier day. The ids are written after the spans: a
-    job that fails between the two is repeated with ``restore_keys``.
+    The ids are written after the spans: a job that fails between the two is mended with ``restore_keys``.
     """
-    spark = spans.sparkSession
-    batch = _bucketed(TB.new_spans(spans, None, arrival), ["trace_id"], buckets)
-    fresh = checkpointed(_only_new(spark, checkpointed(batch), keys, ["trace_id", "span_id"]))
-    TB.append_spans(fresh.drop("bucket"), path, None, arrival)
-    _append_buckets(fresh.select("bucket", "trace_id", "span_id"), keys, ["trace_id", "span_id"])
+    fresh = spans_not_stored(spans, keys, arrival)
+    TB.append_spans(fresh, path, None, arrival)
+    remember_spans(fresh, keys)
     return fresh.count()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,9 @@ def _ensure_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="telmora-checkpoint-")
     sc.setCheckpointDir(folder)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for tables of one job, beside the checkpoints, where driver and executors see it."""
+    _ensure_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"

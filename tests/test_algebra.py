@@ -317,3 +317,28 @@ def test_running_total_and_rank_match_plain_windows(spark):
     assert n == {k: c for k, (_, c) in want.items()}
     s = {r["id"]: r["n"] for r in O.ranked(df, ["k"], ["ts", "id"], "n", "v").collect()}
     assert s == {k: c for k, (c, _) in want.items()}
+
+
+@pytest.mark.parametrize("base,step", [(1.7e12, 1.0), (1.7e12, 2.0**-11), (-5.0, 2.0**-50), (0.0, 1.0)])
+def test_quantiles_of_values_close_together(spark, base, step):
+    """Values of one bucket are told apart by parts of it, not by sorting the bucket."""
+    from telmora.operators.ordered import exact_quantiles
+
+    n = 20_000
+    df = spark.range(n).select(F.lit("k").alias("k"), (F.lit(base) + ((F.col("id") * 7919) % n) * step).alias("v"))
+    got = exact_quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, "r7").first()
+    values = sorted(r["v"] for r in df.collect())
+    for name, q in (("a", 0.0), ("b", 0.37), ("c", 0.5), ("d", 1.0)):
+        pos = q * (n - 1)
+        low, high, frac = values[math.floor(pos)], values[math.ceil(pos)], pos - math.floor(pos)
+        assert got[name] == (low if frac == 0 else low * (1 - frac) + high * frac)
+    assert got["n"] == n
+
+
+def test_no_window_holds_a_whole_value_bucket(spark):
+    from telmora.operators.ordered import exact_quantiles
+
+    df = spark.range(1000).select(F.lit("k").alias("k"), (F.lit(1.7e12) + F.col("id")).alias("v"))
+    plan = exact_quantiles(df, ["k"], "v", {"a": 0.5}, "r7")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("__v" not in x or "__s#" in x.split("windowspecdefinition")[1] for x in windows)
