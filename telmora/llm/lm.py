@@ -93,12 +93,18 @@ def grams(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 
     ``starts`` are the places where documents begin; what lies before them counts as the byte 0xFE.
     """
-    since = np.arange(len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
-    out = np.zeros(len(text), np.uint64)
-    for back in range(1, depth + 1):
-        earlier = np.concatenate([np.full(min(back, len(text)), _BEFORE, np.uint8), text[:-back]])[: len(text)]
-        out = (out << np.uint64(8)) | np.where(since >= back, earlier, np.uint8(_BEFORE)).astype(np.uint64)
-    return (out << np.uint64(8)) | text
+    data = np.full(len(text) + len(starts) * depth + 8, _BEFORE, np.uint8)
+    gaps = np.zeros(len(text), bool)
+    gaps[starts] = True
+    at = np.arange(len(text)) + depth * np.cumsum(gaps)
+    data[at] = text
+    # Eight bytes from ``depth`` before each byte on: read low end first, the most recent byte of the context is the highest.
+    windows = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = windows[at - depth]
+    out &= np.uint64((1 << (8 * depth)) - 1)
+    out <<= np.uint64(8)
+    out |= text
+    return out
 
 
 def _cell(g: np.ndarray, depth: int) -> np.ndarray:
@@ -114,7 +120,8 @@ class Block:
     def __init__(self, texts: list[bytes], train: np.ndarray):
         self.train = train
         self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        self.data = np.frombuffer(b"".join(t + bytes([_END]) for t in texts), np.uint8)
+        end = bytes([_END])
+        self.data = np.frombuffer(end.join([*texts, b""]), np.uint8)
         self.ends = np.cumsum(self.sizes)
 
     def slices(self) -> Iterator[tuple[int, int]]:
@@ -127,36 +134,52 @@ class Block:
             first = last
 
     def contexts(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-        """Per slice: grams, the documents they belong to, and the slice's bounds."""
+        """Per slice: grams, where its documents start in them, and the slice's bounds."""
         for first, last in self.slices():
             base = int(self.ends[first] - self.sizes[first])
             starts = self.ends[first:last] - self.sizes[first:last] - base
-            g = grams(self.data[base : self.ends[last - 1]], starts, depth)
-            yield g, np.repeat(np.arange(first, last), self.sizes[first:last]), first, last
+            yield grams(self.data[base : self.ends[last - 1]], starts, depth), starts, first, last
 
     def gram_counts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams, sorted, and how often each occurs in documents to learn from."""
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for g, doc, _, _ in self.contexts(depth):
-            codes, distinct = pd.factorize(g)
-            n = np.bincount(codes, weights=self.train[doc], minlength=len(distinct)).astype(np.int64)
-            keys, counts = _summed([(keys, counts), (np.asarray(distinct, np.uint64), n)])
-        return keys, counts
+        return _total(self._slice_counts(g, first, last) for g, _, first, last in self.contexts(depth))
+
+    def _slice_counts(self, g: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        codes, distinct = pd.factorize(g)
+        learns = np.repeat(self.train[first:last], self.sizes[first:last])
+        return np.asarray(distinct, np.uint64), np.bincount(codes[learns], minlength=len(distinct))
+
+    def words(self) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """Hashes of the distinct words, sorted by bucket and hash; per slice the numbers and documents of its words."""
+        parts = [self._slice_words(first, last) for first, last in self.slices()]
+        every, _ = _total((p[0], np.zeros(len(p[0]), np.int64)) for p in parts)
+        order = np.argsort(every["h"] % np.uint64(WORD_BUCKETS), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        numbered = ((place[_places(every, hashes)][ids], doc) for hashes, ids, doc in parts)
+        return every[order], numbered
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the distinct words, sorted by bucket and hash; per word of the block its number and document."""
-        inside = ~(_SPACE[self.data] | (self.data == _END))
+    def _slice_words(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        base = int(self.ends[first] - self.sizes[first])
+        data = self.data[base : self.ends[last - 1]]
+        inside = ~(_SPACE[data] | (data == _END))
         edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[inside])])
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
         coded = flat.dictionary_encode()
         digests = [xxhash.xxh3_128_intdigest(w) for w in coded.dictionary.to_pylist()]
         hashes = np.array([(x & (2**64 - 1), (x >> 64) & (2**32 - 1)) for x in digests], _WORD)
-        order = np.lexsort((hashes["g"], hashes["h"], hashes["h"] % np.uint64(WORD_BUCKETS)))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return hashes[order], place[coded.indices.to_numpy().astype(np.int64)], np.searchsorted(self.ends, starts, side="right")
+        doc = first + np.searchsorted(self.ends[first:last] - base, starts, side="right")
+        return hashes, coded.indices.to_numpy().astype(np.int32), doc.astype(np.int32)
+
+
+def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where words are among the sorted ``keys``, which hold them all."""
+    at = np.searchsorted(np.ascontiguousarray(keys["h"]), np.ascontiguousarray(asked["h"]))
+    while (wrong := keys["g"][at] != asked["g"]).any():  # equal 64 bits, other 32
+        at[wrong] += 1
+    return at
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +189,12 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
         return keys, counts
     order = np.lexsort((keys["g"], keys["h"])) if keys.dtype == _WORD else np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new = np.ones(len(keys), bool)
+    if keys.dtype == _WORD:
+        new[1:] = (keys["h"][1:] != keys["h"][:-1]) | (keys["g"][1:] != keys["g"][:-1])
+    else:
+        new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
     return keys[first], np.add.reduceat(counts, first)
 
 
@@ -212,14 +240,16 @@ def _read(batches: Iterator[pa.RecordBatch], depth: int):
 
     def block_rows(number: int, table: pa.Table) -> Iterator[tuple]:
         block = _block(table)
-        hashes, of_word, doc_of_word = block.words()
-        train = block.train
+        hashes, slices = block.words()
+        n, learnt = np.zeros(len(hashes), np.int64), int(block.train.sum())
+        for number_of, doc in slices:
+            learns = block.train[doc]
+            n += np.bincount(number_of[learns], minlength=len(hashes))
+            learnt += int(learns.sum())
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
             out.write_table(table)
-        learnt = int(train[doc_of_word].sum() + train.sum())
         yield number, -1, _TEXT, sink.getvalue().to_pybytes(), learnt
-        n = np.bincount(of_word, weights=train[doc_of_word], minlength=len(hashes)).astype(np.int64)
         for bucket, a, b in _pieces((hashes["h"] % np.uint64(WORD_BUCKETS)).astype(np.int64)):
             yield number, _WORDS + bucket, _ASK, _pack_words(hashes[a:b], n[a:b]), None
         keys, counts = block.gram_counts(depth)
@@ -327,7 +357,7 @@ def _total(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
         if size > 2 * merged + 1_000_000:
             held = [_summed(held)]
             size = merged = len(held[0][0])
-    return _summed(held)
+    return _summed(held) if held else (np.empty(0, _WORD), np.empty(0, np.int64))
 
 
 def _build(depth: int):
@@ -404,12 +434,7 @@ def _answer(roots: dict[int, np.ndarray]):
                 keys, counts = np.frombuffer(data, _WORD, n), np.frombuffer(data, "<i8", n, n * _WORD.itemsize)
                 continue
             asked, _ = _unpack_words(data)
-            at = np.searchsorted(keys["h"], asked["h"])
-            wrong = keys[at] != asked
-            while wrong.any():  # equal 64 bits, other 32
-                at[wrong] += 1
-                wrong = keys[at] != asked
-            yield block, cell, _ANSWER, _squeezed(counts[at].tobytes()), None
+            yield block, cell, _ANSWER, _squeezed(counts[_places(keys, asked)].tobytes()), None
 
     def contexts(rows: Iterator[tuple[int, int, bytes]], cell: int) -> Iterator[tuple]:
         top, keys, logs = None, None, None
@@ -445,16 +470,19 @@ def _block_scores(table: pa.Table, counts: np.ndarray, keys: np.ndarray, logs: n
     """Per document: tokens, known tokens, bytes, base score and score."""
     block = _block(table)
     docs = len(block.sizes)
-    _, number, doc = block.words()
-    c = counts[number] if len(number) else np.empty(0, np.int64)
-    n_tokens = np.bincount(doc, minlength=docs) + 1
-    known = np.bincount(doc, weights=c > 0, minlength=docs).astype(np.int64) + (end > 0)
-    base = np.bincount(doc, weights=np.log10(c + 1.0), minlength=docs) + np.log10(end + 1.0) - n_tokens * np.log10(n + v + 1.0)
+    n_tokens, known = np.ones(docs, np.int64), np.full(docs, int(end > 0))
+    base = np.full(docs, np.log10(end + 1.0))
+    for number, doc in block.words()[1]:
+        c = counts[number]
+        n_tokens += np.bincount(doc, minlength=docs)
+        known += np.bincount(doc[c > 0], minlength=docs)
+        base += np.bincount(doc, weights=np.log10(c + 1.0), minlength=docs)
+    base -= n_tokens * np.log10(n + v + 1.0)
     score = np.zeros(docs)
-    for g, of, first, last in block.contexts(depth):
+    for g, starts, first, last in block.contexts(depth):
         codes, distinct = pd.factorize(g)
-        found = logs[np.searchsorted(keys, np.asarray(distinct, np.uint64))].astype(np.float64)[codes]
-        score[first:last] = np.bincount(of - first, weights=found, minlength=last - first)
+        found = logs[np.searchsorted(keys, np.asarray(distinct, np.uint64))].astype(np.float64)
+        score[first:last] = np.add.reduceat(found[codes], starts)
     return [n_tokens, known, block.sizes, base, score]
 
 
