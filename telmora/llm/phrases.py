@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from telmora.llm.common import ascii_lower, checkpointed, partitions
 BLOCK_WORDS = 1_000_000
 #: Entries (distinct phrases of a block) that meet in one bucket of a shard, about.
 BUCKET_ENTRIES = 2_000_000
-#: Bits of the filter that holds the phrases found frequent so far. It goes to all tasks, so its size is fixed:
-#: 32 MB. It only saves work; what passes wrongly is told apart by text in the last count.
-FILTER_BITS = 1 << 28
+#: Bits of the filter for each phrase found frequent so far, and the most bits it may have. It goes to all tasks and
+#: never takes more than 32 MB. It only saves work; what passes wrongly is told apart by text in the last count.
+BITS_EACH, FILTER_BITS = 16, 1 << 28
 SEED = 42
 
 _CUT, _GAP = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -56,8 +57,10 @@ class BitSet:
         self.bits, self.size = bits, size
 
     @classmethod
-    def of(cls, hashes: DataFrame, size: int) -> BitSet:
+    def of(cls, hashes: DataFrame) -> BitSet:
         """From the column ``h``; the bits are set on the executors, and segments of 4 KB reach the driver."""
+        most = max(1 << 15, BITS_EACH * hashes.count())
+        size = min(1 << most.bit_length(), FILTER_BITS)
         at = F.pmod("h", F.lit(size)) + 1
         rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
         bits = np.zeros(max(size // 8, 4096), np.uint8)
@@ -126,16 +129,16 @@ def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(distinct, np.uint64), np.bincount(codes, minlength=len(distinct))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, _Words]]:
-    """Texts of a task as blocks of words of one language and one shard."""
+def _blocks(batches: Iterator[pa.RecordBatch], sharded: bool = False) -> Iterator[tuple[str, int, _Words]]:
+    """Texts of a task as blocks of words of one language, and of one shard if ``sharded``."""
     held: dict[tuple[str, int], list[bytes]] = {}
     size = 0
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("lang", "shard")]
         for lang, shard, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
-            held.setdefault((lang, shard), []).append(text)
+            held.setdefault((lang, shard if sharded else 0), []).append(text)
             size += len(text)
-            if size > 8 * BLOCK_WORDS:
+            if size > 12 * BLOCK_WORDS:
                 yield from ((*key, _Words.of(key[0], texts)) for key, texts in held.items())
                 held, size = {}, 0
     yield from ((*key, _Words.of(key[0], texts)) for key, texts in held.items())
@@ -153,7 +156,7 @@ def _mine(length: int, known: list[BitSet], shards: int, buckets: int):
     """Distinct phrases of each block with their counts, packed by shard and bucket of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, shard, words in _blocks(batches):
+        for _, shard, words in _blocks(batches, sharded=True):
             h, n = _counted(words.phrases(length, known)[1])
             bucket = (h >> np.uint64(32)).astype(np.int64) % buckets
             order = np.lexsort((h, bucket))
@@ -222,12 +225,8 @@ def _count_candidates(known: list[BitSet], longest: int):
                 changed = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0).any(0)])) if len(at) else np.zeros(0, np.int64)
                 n = np.diff(np.append(changed, len(at)))
                 names = words.names.cast(pa.binary()).cast(pa.string())
-                columns = [names.take(pa.array(ids[m][changed])) for m in range(length)]
-                missing = [pa.nulls(len(changed), pa.string())] * (longest - length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(changed), pa.string()), *columns, *missing, pa.array(n)],
-                    ["lang", *[f"w{m}" for m in range(longest)], "c"],
-                )
+                texts = pc.binary_join_element_wise(*[names.take(pa.array(ids[m][changed])) for m in range(length)], " ")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(changed), pa.string()), texts, pa.array(n)], ["lang", "phrase", "c"])
 
     return run
 
@@ -237,7 +236,7 @@ def _words_of(texts: DataFrame) -> DataFrame:
 
 
 def count_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words, phrases and totals of each language: (lang, word, f), (lang, w0, w1, ..., f) and (lang, n).
+    """Words, phrases and totals of each language: (lang, word, f), (lang, phrase, f, w), with w its words, and (lang, n).
 
     Words are counted first, exactly. Documents are dealt by hash to min_count / 2 shards of equal weight, so a phrase
     that occurs ``min_count`` times does so at least min_count / shards times in one of them: the local
@@ -259,16 +258,14 @@ def count_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3) -> tup
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, partitions(docs.sparkSession), -(-n_words // BUCKET_ENTRIES))
 
-    known = [BitSet.of(words.select(word_hash(F.col("lang"), F.col("word")).alias("h")), FILTER_BITS)]
+    known = [BitSet.of(words.select(word_hash(F.col("lang"), F.col("word")).alias("h")))]
     for length in range(2, longest + 1):
         cells = texts.mapInArrow(_mine(length, known, shards, buckets), "cell long, hashes binary, counts binary")
         found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_frequent(support), "h long")
-        known.append(BitSet.of(found, FILTER_BITS))
-    names = [f"w{m}" for m in range(longest)]
-    schema = "lang string, " + ", ".join(f"{w} string" for w in names) + ", c long"
-    exact = texts.mapInArrow(_count_candidates(known, longest), schema)
-    phrases = exact.groupBy("lang", *names).agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-    return words, checkpointed(phrases), totals
+        known.append(BitSet.of(checkpointed(found)))
+    exact = texts.mapInArrow(_count_candidates(known, longest), "lang string, phrase string, c long")
+    phrases = exact.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
+    return words, checkpointed(phrases.withColumn("w", F.split("phrase", " "))), totals
 
 
 def _exact_score(a: Column, lower: Column, rest: Column) -> Column:
@@ -292,13 +289,10 @@ def collocations(
     empty table give no rows. Only text and lang are read, so other columns may have any names. Arithmetic is exact up to counts of 10^15.
     """
     words, phrases, totals = count_phrases(docs, min_count, longest)
-    names = [f"w{m}" for m in range(longest)]
-    text = lambda cols: F.concat_ws(" ", *cols)
     counts = words.select("lang", F.col("word").alias("part"), F.col("f").alias("part_f")).unionByName(
-        phrases.select("lang", text(names).alias("part"), F.col("f").alias("part_f"))
+        phrases.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     )
-    length = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    rows = phrases.select("lang", text(names).alias("phrase"), F.array_compact(F.array(*names)).alias("w"), length.alias("len"), F.col("f").alias("a"))
+    rows = phrases.select("lang", "phrase", "w", F.size("w").alias("len"), F.col("f").alias("a"))
     cuts = rows.select(
         "lang", "phrase", "a",
         F.explode(
