@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telmora.llm.common import ascii_lower, checkpointed, partitions
+from telmora.llm.common import ascii_lower, checkpointed
+from telmora.operators.ordered import top_per_group
 
 #: Words that a task gathers before it counts their phrases.
 BLOCK_WORDS = 1_000_000
@@ -256,7 +257,8 @@ def count_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3) -> tup
     totals = counted.where("word is null").select("lang", F.col("f").alias("n"))
     words = counted.where("word is not null")
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, partitions(docs.sparkSession), -(-n_words // BUCKET_ENTRIES))
+    # Buckets follow the data and not the cluster: each block sends one row to each bucket it has phrases for.
+    buckets = max(1, -(-n_words // BUCKET_ENTRIES))
 
     known = [BitSet.of(words.select(word_hash(F.col("lang"), F.col("word")).alias("h")))]
     for length in range(2, longest + 1):
@@ -331,7 +333,8 @@ def collocations(
     kept = best.join(covering, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)
     )
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(order))
-    first = ranked.where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    scores = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    first = top_per_group(scores, ["lang"], order, top, "phrase")  # a language meets in one task only as ``top`` of each slice
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
