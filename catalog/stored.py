@@ -116,8 +116,8 @@ def _appended(spark, sf) -> DataFrame:
     failed = F.col("status_code") == 2
     added = []
     for batch in (spans.where(failed), spans.where(~failed)):
-        added.append(J.spans_not_stored(batch, keys))
-        J.remember_spans(added[-1], keys)
+        added.append(J.spans_not_stored(batch, keys, buckets=16))
+        J.remember_spans(added[-1], keys, 16)
     return added[0].unionByName(added[1]).select("trace_id", "span_id", "status_code", "start_unix_nano")
 
 
