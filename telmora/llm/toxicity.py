@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the training sample: rows of labels in hash order, and bytes of their texts.
+#: Bounds of the training sample: rows of labels in hash order, and bytes of their texts. A text longer
+#: than what is left of the bytes is passed over, so very long texts may be missing from the sample.
 SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 40_000_000
+#: Words whose marginals are computed at once while learning; bounds memory, not the result.
+CHUNK_WORDS = 200_000
+#: The chain learns from longer texts in pieces of so many words, all of them; texts are scored whole.
+PIECE_WORDS = 500
+#: Score of every text if nothing can be learnt: no usable label, or labels of one kind only.
+UNLEARNT = 0.1
 #: A feature is kept if so many sampled documents hold it; the most frequent ones up to the bound.
 LEAST_DOCS = 3
 MAX_FEATURES = 200_000
@@ -113,91 +120,130 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], labels: list[int]) -> Chain:
+@dataclass
+class Words:
+    """Documents as numbers: kinds of words in order of first sight, and each document's run of kinds."""
+
+    kinds: list[str]
+    tokens: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str]) -> Words:
+        number: dict[str, int] = {}
+        tokens = array("i")
+        ends = array("q")
+        for text in texts:
+            tokens.extend([number.setdefault(w, len(number)) for w in text.split()])
+            ends.append(len(tokens))
+        return cls(list(number), np.array(tokens, np.int32), np.array(ends, np.int64))
+
+    def document(self, i: int) -> np.ndarray:
+        return self.tokens[self.ends[i - 1] if i else 0 : self.ends[i]]
+
+    def chunks(self, docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The documents in groups of some ``CHUNK_WORDS`` words: ids, word kinds, and numbers of words."""
+        sizes = np.diff(self.ends, prepend=0)[docs]
+        group = np.cumsum(sizes) // CHUNK_WORDS
+        for part in np.split(docs, np.flatnonzero(np.diff(group)) + 1):
+            held = [self.document(i) for i in part]
+            yield part, np.concatenate([*held, np.empty(0, np.int32)]), np.array([len(x) for x in held], np.int64)
+
+
+@dataclass
+class FeatureLists:
+    """Feature numbers of each kind of word, one after another."""
+
+    names: list[str]
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, kinds: list[str]) -> FeatureLists:
+        number: dict[str, int] = {}
+        flat, sizes = array("i"), array("i")
+        for w in kinds:
+            own = features(w)
+            flat.extend([number.setdefault(f, len(number)) for f in own])
+            sizes.append(len(own))
+        return cls(list(number), np.array(flat, np.int32), np.array(sizes, np.int64))
+
+    def of_kinds(self, kinds: np.ndarray) -> np.ndarray:
+        """Distinct features of some kinds."""
+        sizes = self.sizes[kinds]
+        first = (np.cumsum(self.sizes) - self.sizes)[kinds] - (np.cumsum(sizes) - sizes)
+        return np.unique(self.flat[np.repeat(first, sizes) + np.arange(sizes.sum())])
+
+    def only(self, chosen: np.ndarray) -> FeatureLists:
+        """With the chosen features alone, numbered in their order."""
+        new = np.full(len(self.names), -1, np.int32)
+        new[chosen] = np.arange(len(chosen), dtype=np.int32)
+        kept = new[self.flat] >= 0
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[kept]
+        sizes = np.bincount(owner, minlength=len(self.sizes))
+        return FeatureLists([self.names[i] for i in chosen], new[self.flat][kept], sizes)
+
+
+def train(texts: Sequence[str], labels: Sequence[int]) -> Chain:
     """Learn from documents: two thirds give word labels and the chain, the rest the document score.
 
     Words are labelled through their documents: in a toxic one, a word with a feature that is far
-    likelier in toxic documents is toxic, all other words are not. With one class only, the score is
-    the same for all texts.
+    likelier in toxic documents is toxic, all other words are not. Without documents of both labels
+    nothing can be learnt: no word is toxic, and every text scores ``UNLEARNT``, below one half, so that
+    a filter keeps all documents.
     """
     y = np.array(labels, float)
-    words = [t.split() for t in texts]
-    docs = range(len(texts))
-    fit = [i for i in docs if i % 3 != 0] if min(y.sum(), (1 - y).sum()) >= 6 else list(docs)
-    score = [i for i in docs if i % 3 == 0] if len(fit) < len(texts) else fit
-    held: dict[str, list[str]] = {}
-    for i in docs:
-        for w in words[i]:
-            if w not in held:
-                held[w] = features(w)
-    every, toxic = Counter(), Counter()
+    if not 0 < y.sum() < len(y):
+        return Chain({}, -30.0, np.zeros((2, 2)), np.array([np.log(UNLEARNT / (1 - UNLEARNT)), 0, 0, 0, 0, 0]))
+    words = Words.of(texts)
+    docs = np.arange(len(texts))
+    both = min(y.sum(), (1 - y).sum()) >= 6
+    fit, score = (docs[docs % 3 != 0], docs[docs % 3 == 0]) if both else (docs, docs)
+    lists = FeatureLists.of(words.kinds)
+    every, toxic = np.zeros(len(lists.names), np.int64), np.zeros(len(lists.names), np.int64)
     for i in fit:
-        own = set().union(*[held[w] for w in set(words[i])]) if words[i] else set()
-        every.update(own)
+        own = lists.of_kinds(np.unique(words.document(i)))
+        every[own] += 1
         if y[i]:
-            toxic.update(own)
-    number = {f: i for i, (f, n) in enumerate(every.most_common(MAX_FEATURES)) if n >= LEAST_DOCS}
-    n_toxic = sum(y[i] for i in fit)
-    n_clean = len(fit) - n_toxic
-
-    def telling(f: str) -> bool:
-        t, c = toxic[f], every[f] - toxic[f]
-        return t >= TOXIC_DOCS and np.log((t + 0.1) / (n_toxic + 0.2)) - np.log((c + 0.1) / (n_clean + 0.2)) >= LOG_ODDS
-
-    tells = {f for f in toxic if telling(f)}
-    kind: dict[str, int] = {}
-    lists: list[list[int]] = []
-    marked: list[bool] = []
-    tokens, truth, lengths = [], [], []
-    for i in fit:
-        for w in words[i]:
-            k = kind.get(w)
-            if k is None:
-                k = kind[w] = len(lists)
-                lists.append([number[f] for f in held[w] if f in number])
-                marked.append(any(f in tells for f in held[w]))
-            tokens.append(k)
-            truth.append(bool(y[i]) and marked[k])
-        lengths.append(len(words[i]))
-    trans, weights, bias = np.zeros((2, 2)), np.zeros(len(number)), 0.0
-    if tokens:
-        weights, bias, trans = _fit(lists, np.array(tokens), np.array(truth, float), np.array(lengths, np.int64), len(number))
-    chain = Chain({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-4}, bias, trans, np.zeros(6))
-    if len(texts):
-        scorer = Scorer(chain)
-        p, n = scorer.words([words[i] for i in score])
-        chain.document = _logistic(_document_features(p, n), y[score])
-    return chain
-
-
-def _fit(lists: list[list[int]], tokens: np.ndarray, truth: np.ndarray, lengths: np.ndarray, size: int):
+            toxic[own] += 1
+    n_toxic = y[fit].sum()
+    clean = every - toxic
+    odds = np.log((toxic + 0.1) / (n_toxic + 0.2)) - np.log((clean + 0.1) / (len(fit) - n_toxic + 0.2))
+    telling = (toxic >= TOXIC_DOCS) & (odds >= LOG_ODDS)
+    owner = np.repeat(np.arange(len(words.kinds)), lists.sizes)
+    marked = np.bincount(owner, telling[lists.flat], len(words.kinds)) > 0
+    chosen = np.argsort(-every, kind="stable")[:MAX_FEATURES]
+    lists = lists.only(chosen[every[chosen] >= LEAST_DOCS])
+    weights, bias, trans = _fit(lists, words, fit, y, marked)
+    known = {f: w for f, w in zip(lists.names, weights.tolist()) if abs(w) > 1e-4}
+    emission = _by_kind(lists, weights) + bias
+    seen = [_document_features(marginals(emission[t], n, trans)[0], n) for _, t, n in words.chunks(score)]
+    return Chain(known, bias, trans, _logistic(np.concatenate(seen), y[score]))
+
+
+def _by_kind(lists: FeatureLists, weights: np.ndarray) -> np.ndarray:
+    """Sum of the features' weights of each kind of word."""
+    return np.bincount(np.repeat(np.arange(len(lists.sizes)), lists.sizes), weights[lists.flat], len(lists.sizes))
+
+
+def _fit(lists: FeatureLists, words: Words, fit: np.ndarray, y: np.ndarray, marked: np.ndarray):
     """Adaptive gradient steps on the chain's likelihood. Words share emissions, so gradients are
-    summed by word first."""
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.array(x, np.int64) for x in lists] + [np.empty(0, np.int64)])
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    summed by word first; documents go through in chunks, which add up to the same gradient."""
+    size, kinds, n_docs = len(lists.names), len(lists.sizes), len(fit)
+    owner = np.repeat(np.arange(kinds), lists.sizes)
     weights, bias, trans = np.zeros(size), -3.0, np.array([[0.0, -1.0], [-1.0, 0.0]])
     seen, seen_bias, seen_trans = np.full(size, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(tokens), bool)
-    inner[ends[lengths > 0] - 1] = False
-    at = np.flatnonzero(inner)
-    y0, y1 = truth[at], truth[at + 1]
-    real = np.array([[0, ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
     for _ in range(EPOCHS):
-        word = np.bincount(owner, weights[flat], len(lists)) + bias
-        e = word[tokens]
-        p, r, b = marginals(e, lengths, trans)
-        gap = p - truth
-        by_word = np.bincount(tokens, gap, len(lists))
-        g = np.bincount(flat, by_word[owner], size) / len(lengths) + PENALTY * weights
-        after = e[at + 1] + b[at + 1]
-        logs = [np.zeros(len(at)), trans[0, 1] + after, trans[1, 0] + r[at], trans[1, 1] + r[at] + after]
-        top = np.maximum.reduce(logs) if len(at) else np.zeros(0)
-        parts = [np.exp(x - top) for x in logs]
-        norm = sum(parts)
-        expected = np.array([[0, (parts[1] / norm).sum()], [(parts[2] / norm).sum(), (parts[3] / norm).sum()]])
-        g_trans, g_bias = (expected - real) / len(lengths), gap.sum() / len(lengths)
+        word = _by_kind(lists, weights) + bias
+        by_word, total, moves = np.zeros(kinds), 0.0, np.zeros((2, 2))
+        for part, tokens, lengths in words.chunks(fit):
+            truth = marked[tokens] & np.repeat(y[part] > 0, lengths)
+            gap, gap_moves = _gaps(word[tokens], _pieces(lengths), trans, truth.astype(float))
+            by_word += np.bincount(tokens, gap, kinds)
+            total += gap.sum()
+            moves += gap_moves
+        g = np.bincount(lists.flat, by_word[owner], size) / n_docs + PENALTY * weights
+        g_trans, g_bias = moves / n_docs, total / n_docs
         seen, seen_trans, seen_bias = seen + g * g, seen_trans + g_trans**2, seen_bias + g_bias**2
         weights -= STEP * g / np.sqrt(seen)
         trans = trans - STEP * 0.3 * g_trans / np.sqrt(seen_trans)
@@ -206,6 +252,35 @@ def _fit(lists: list[list[int]], tokens: np.ndarray, truth: np.ndarray, lengths:
     return weights, float(bias), trans
 
 
+def _pieces(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of the pieces of texts of the given lengths, in order."""
+    n = -(-lengths // PIECE_WORDS)
+    out = np.full(n.sum(), PIECE_WORDS)
+    out[np.cumsum(n)[n > 0] - 1] = (lengths - (n - 1) * PIECE_WORDS)[n > 0]
+    return out
+
+
+def _gaps(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected less true labels of each word, and of each kind of transition."""
+    p, r, b = marginals(e, lengths, trans)
+    inner = np.ones(len(e), bool)
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    at = np.flatnonzero(inner)
+    y0, y1 = truth[at], truth[at + 1]
+    after = e[at + 1] + b[at + 1]
+    logs = [np.zeros(len(at)), trans[0, 1] + after, trans[1, 0] + r[at], trans[1, 1] + r[at] + after]
+    top = np.maximum.reduce(logs)
+    odds = [np.exp(x - top) for x in logs]
+    norm = sum(odds)
+    moves = np.array(
+        [
+            [0, (odds[1] / norm - (1 - y0) * y1).sum()],
+            [(odds[2] / norm - y0 * (1 - y1)).sum(), (odds[3] / norm - y0 * y1).sum()],
+        ]
+    )
+    return p - truth, moves
+
+
 class Scorer:
     """Scores texts; keeps the emissions of words it has met."""
 
@@ -256,7 +331,11 @@ def _runs(text: str, bad: np.ndarray) -> list[dict]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of the training sample; held-out ids are not in it."""
+    """Texts and labels of the training sample; held-out ids are not in it.
+
+    Null labels and ids don't count, a document with several labels is toxic if one says so, and of
+    several texts of an id the greatest counts. No usable label gives an empty sample.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     drawn = one.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
@@ -270,9 +349,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     if not ids:
         return [], []
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "chosen long"))
-    rows = met.join(few, F.col("__id") == F.col("chosen")).groupBy("__id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["__id"])
-    return [r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows]
+    chosen = met.join(few, F.col("__id") == F.col("chosen")).groupBy("__id")
+    rows = chosen.agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).toArrow().sort_by("__id")
+    return [t or "" for t in rows["text"].to_pylist()], [int(x > 0) for x in rows["toxic"].to_pylist()]
 
 
 def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
