@@ -399,7 +399,27 @@ def test_toxicity(spark, docs, none):
     assert odd.count() == docs.count() and odd.where("toxicity between 0 and 1").count() == docs.count()
     assert toxicity.score_toxicity(none, chain).count() == 0
     empty = toxicity.train(*toxicity.sample(none, marks))
-    assert toxicity.score_toxicity(docs, empty).select("toxicity").distinct().count() == 1
+    same = [r["toxicity"] for r in toxicity.score_toxicity(docs, empty).collect()]
+    assert same == pytest.approx([toxicity.UNLEARNT] * docs.count())
+
+
+@pytest.mark.parametrize("labels", [[], [0] * 9, [1] * 9, [None] * 9])
+def test_toxicity_without_both_labels_keeps_everything(spark, docs, labels):
+    marks = spark.createDataFrame([(i + 1, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    chain = toxicity.train(*toxicity.sample(docs, marks))
+    got = toxicity.score_toxicity(docs, chain)
+    assert got.where("toxicity < 0.5 and size(toxic_spans) = 0").count() == docs.count()
+
+
+def test_toxicity_in_chunks_and_pieces(monkeypatch):
+    rnd = random.Random(4)
+    texts = [prose(rnd, rnd.choice([0, 3, 40])) + (" vile" if i % 3 == 1 else "") for i in range(90)]
+    labels = [int(i % 3 == 1) for i in range(90)]
+    whole = toxicity.train(texts, labels)
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 50)
+    parts = toxicity.train(texts, labels)
+    assert parts.document == pytest.approx(whole.document) and parts.weights == pytest.approx(whole.weights)
+    assert toxicity._pieces(np.array([0, 1, 500, 501, 1200])).tolist() == [1, 500, 500, 1, 500, 500, 200]
 
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"
