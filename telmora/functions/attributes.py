@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Iterable, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,13 +103,19 @@ def searchable(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{Co}]+", " ")), F.lit(" "))
 
 
-# Accented Latin letters and the plain letters they are compared as.
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+@cache
+def _accented() -> tuple[str, str]:
+    """Lower-case letters whose canonical decomposition is a letter from a to z and marks, and those letters."""
+    plain: dict[str, str] = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        whole = unicodedata.normalize("NFD", c)
+        if whole[0] in string.ascii_lowercase and len(whole) > 1 and all(map(unicodedata.combining, whole[1:])):
+            plain[c] = whole[0]
+    return "".join(plain), "".join(plain.values())
 
 
 def _fold(text: Column) -> Column:
-    return F.translate(text, _ACCENTED, _PLAIN)
+    return F.translate(text, *_accented())
 
 
 def contains_phrase(text: Column, phrase: str) -> Column:

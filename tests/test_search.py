@@ -76,6 +76,23 @@ def test_phrase_ignores_case_and_accents(spark):
     assert df.where(A.contains_phrase(F.col("t"), "große cafe")).count() == 1
 
 
+def test_phrase_finds_every_latin_letter_with_marks(spark):
+    import unicodedata
+
+    lower = [c for c in map(chr, range(0x80, 0x3000)) if c == c.lower() and unicodedata.name(c, "").startswith("LATIN SMALL LETTER")]
+    marked = [(c, unicodedata.normalize("NFD", c)) for c in lower if len(unicodedata.normalize("NFD", c)) > 1]
+    marked = [(c, d) for c, d in marked if d[0].isascii()]
+    assert len(marked) > 200
+    rows = [(c.upper() if len(c.upper()) == 1 else c, d, d[0]) for c, d in marked]
+    df = spark.createDataFrame(rows, "whole string, apart string, plain string")
+    for c in ("whole", "apart"):
+        assert df.where(A.searchable(F.col(c)) != A.searchable(F.col("plain"))).count() == 0
+    words = spark.createDataFrame([("das ṣaḥīḥ Buch",), ("Tiếng Việt",), ("Straße",)], "t string")
+    for phrase in ("sahih", "tieng viet", "TIẾNG viet", "straße"):
+        assert words.where(A.contains_phrase(F.col("t"), phrase)).count() == 1
+    assert words.where(A.contains_phrase(F.col("t"), "strase")).count() == 0
+
+
 def test_line_and_stream_filters(spark):
     l = logs(spark, LOGS)
     assert bodies(LG.match_logs(l, lines=[("|=", "for"), ("!=", "bob")])) == [1]
