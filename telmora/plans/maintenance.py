@@ -73,8 +73,15 @@ def _combine(rows: DataFrame, order: Column, keys: list[str] | None = None) -> D
     added = _added_buckets(rows.where(hist & delta), keys)
     on = [basic[k].eqNullSafe(added[f"__k_{k}"]) for k in keys]
     both = basic.join(added, on, "left")
-    return both.select(
-        *keys,
+    return both.select(*keys, *rolled_values())
+
+
+def rolled_values() -> list[Column]:
+    """The values of a roll-up row by its type, from the last point (``__last``), the totals (``__value``,
+    ``__sum``, ``__count``), the added ``__buckets`` and the columns that combine alike for all types."""
+    hist = F.col("type") == TYPE_HISTOGRAM
+    delta = F.col("temporality") == TEMP_DELTA
+    return [
         F.when(hist, F.when(delta, F.col("__sum")).otherwise(F.coalesce("__last.sum", F.lit(0.0))))
         .when((F.col("type") == TYPE_SUM) & delta, F.col("__value"))
         .otherwise(F.col("__last.value"))
@@ -87,7 +94,7 @@ def _combine(rows: DataFrame, order: Column, keys: list[str] | None = None) -> D
             "bucket_counts"
         ),
         F.when(hist, F.col("explicit_bounds")).alias("explicit_bounds"),
-    )
+    ]
 
 
 def _added_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telmora.functions.integers import floor_div
+from telmora.plans.maintenance import ROLLUP_COLUMNS, rolled_values
 from telmora.schema import TEMP_DELTA, TYPE_GAUGE, TYPE_HISTOGRAM, TYPE_SUM
 from telmora.sources.tables import day_of
 
@@ -47,7 +48,7 @@ def first_spans(spans: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def rollup(metrics: DataFrame, raw_delay: str = "7 days", resolution: str = "60 seconds") -> DataFrame:
     """Closed buckets of gauges and sums, and the totals of histograms, in append mode. A point later
-    than the watermark is dropped and counted by Spark; bucket arrays are combined by the batch job."""
+    than the watermark is dropped and counted by Spark. ``rollup_full`` keeps distributions too."""
     delta = F.col("temporality") == TEMP_DELTA
     newest = F.max_by(F.col("value"), F.col("ts_unix_nano"))
     keep_last = (F.col("type") == TYPE_GAUGE) | ((F.col("type") == TYPE_SUM) & ~delta) | (
@@ -76,6 +77,62 @@ def rollup(metrics: DataFrame, raw_delay: str = "7 days", resolution: str = "60
     )
 
 
+def rollup_full(metrics: DataFrame, raw_delay: str = "7 days", resolution_s: int = 60) -> DataFrame:
+    """Closed buckets with the columns and values of the batch roll-up, bucket arrays included, in append mode.
+
+    Arrays are added position by position in a first stateful aggregation, so its state is one number for
+    each position and not the points of a bucket; a second one puts the positions of a series together.
+    Values that belong to a whole point travel with its first position. Arrays of another length than
+    the earliest are left out.
+    """
+    size = f"{resolution_s} seconds"
+    o = F.col("ts_unix_nano")
+    arrays = (F.col("type") == TYPE_HISTOGRAM) & (F.col("temporality") == TEMP_DELTA)
+    points = metrics.withColumns({
+        "event_time": event_time(o),
+        "__len": F.when(arrays, F.size("bucket_counts")),
+        "__entries": F.when(arrays, F.col("bucket_counts")),
+    })
+    one_each = points.withWatermark("event_time", raw_delay).select(
+        "*", F.posexplode_outer("__entries").alias("__pos", "__entry")
+    )
+    whole = F.coalesce(F.col("__pos"), F.lit(0)) == 0
+
+    def once(c: Column | str) -> Column:
+        return F.when(whole, F.col(c) if isinstance(c, str) else c)
+
+    positions = one_each.groupBy(F.window("event_time", size), *_SERIES, "__len", "__pos").agg(
+        F.max(once(F.struct(o.alias("o"), "value", "sum", "count", "bucket_counts"))).alias("__last"),
+        F.sum(once("value")).alias("__value"),
+        F.sum(once(F.coalesce("sum", F.lit(0.0)))).alias("__sum"),
+        F.sum(once(F.coalesce("count", F.lit(0)))).alias("__count"),
+        F.min(once("min")).alias("min"),
+        F.max(once("max")).alias("max"),
+        F.min(F.when(whole & F.col("explicit_bounds").isNotNull(), F.struct(o.alias("o"), "explicit_bounds"))).alias("__bounds"),
+        F.min(o).alias("__o"),
+        F.sum("__entry").alias("__entry"),
+    )
+    entry = F.when(F.col("__pos").isNotNull(), F.struct("__o", "__len", "__pos", "__entry"))
+    series = positions.groupBy(F.window(F.window_time("window"), size), *_SERIES).agg(
+        F.max("__last").alias("__last"),
+        *[F.sum(c).alias(c) for c in ("__value", "__sum", "__count")],
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.min("__bounds").alias("__bounds"),
+        F.array_sort(F.collect_list(entry)).alias("__all"),  # one entry for each length and position
+    )
+    length = F.get("__all", F.lit(0))["__len"]
+    chosen = F.array_sort(F.transform(F.filter("__all", lambda e: e["__len"] == length), lambda e: F.struct(e["__pos"], e["__entry"])))
+    return series.select(
+        *_SERIES,
+        (F.unix_micros(F.col("window.start")) * 1000).alias("bucket_start"),
+        F.col("__last"), "__value", "__sum", "__count", "min", "max",
+        F.col("__bounds.explicit_bounds").alias("explicit_bounds"),
+        F.when(F.size("__all") > 0, F.transform(chosen, lambda e: e["__entry"])).alias("__buckets"),
+        F.lit(resolution_s).alias("resolution_seconds"),
+    ).select(*_SERIES, "bucket_start", "resolution_seconds", *rolled_values()).select(*ROLLUP_COLUMNS)
+
+
 def volume(
     spans: DataFrame, logs: DataFrame, metrics: DataFrame, delay: str = "10 minutes", bucket: str = "1 minute"
 ) -> DataFrame:

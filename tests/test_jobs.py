@@ -356,6 +356,31 @@ def test_streaming_dedup_volume_rollup(spark, tmp_path):
     assert sorted((r["labels_fp"], r["t_ms"]) for r in slide.collect()) == [(n, t) for n in "cgh" for t in (2000, 3000)]
 
 
+def test_streaming_rollup_with_distributions_matches_batch(spark, tmp_path):
+    cols = [c.split()[0] for c in METRICS.replace(", ", ",").split(",")]
+    sets = [
+        hist(spark, 1), hist(spark, 2).withColumn("name", F.lit("c")),
+        points(spark, 0, 0).withColumn("name", F.lit("g")), points(spark, 1, 1).withColumn("name", F.lit("d")),
+        points(spark, 1, 2).withColumn("name", F.lit("t")),
+        hist(spark, 1).withColumns({"name": F.lit("e"), "bucket_counts": F.array().cast("array<bigint>")}),
+        hist(spark, 1).withColumns({"name": F.lit("n"), "bucket_counts": F.lit(None).cast("array<bigint>")}),
+        hist(spark, 1).withColumn("ts_unix_nano", F.col("ts_unix_nano") + 60 * SEC),
+    ]
+    rows = sets[0]
+    for df in sets[1:]:
+        rows = rows.unionByName(df)
+    closing = points(spark, 0, 0, values=(1.0,), base=10_000 * SEC)
+    src = str(tmp_path / "points")
+    rows.select(*cols).coalesce(1).write.parquet(src)
+    closing.select(*cols).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = run_memory(J.rollup_full(stream, "10 seconds"), "roll_full")
+    want = M.roll_up(rows, 1000 * SEC)
+    assert want.count() == 8
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.where("name = 'm' and bucket_counts = array(5, 7, 9)").count() == 2
+
+
 def test_streaming_alerts_match_batch(spark, tmp_path):
     from telmora.streaming.alerts import state_stream
 
