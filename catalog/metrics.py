@@ -205,6 +205,19 @@ query(
     )
 )
 
+for _name, _aggregate in [("sum", F.sum), ("max", F.max), ("count", F.count)]:
+    query(
+        f"frame_{_name}_at_samples",
+        sql(
+            f"select event_type, service_name, ts_ms as t_ms, ({_name}(cents) over (partition by event_type, service_name "
+            f"order by ts_ms range between {HOUR_MS} preceding and current row))::double as value from ev",
+            "ev",
+        ),
+    )(
+        lambda spark, sf, aggregate=_aggregate: show(R.frame_over_time(V.delta(spark, sf), HOUR_MS, aggregate), SERIES)
+        .withColumn("value", F.col("value").cast("double"))
+    )
+
 
 # --- aggregation --------------------------------------------------------------------------------
 

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telmora.functions import ieee
 from telmora.functions import labels as L
+from telmora.functions.integers import floor_div
 from telmora.operators.ordered import CHUNK_COLUMN, exact_quantiles, with_previous
 from telmora.operators.selectors import Grid, RangeVector
 
 # Up to this many steps per sample, samples are spread directly.
 _DIRECT_STEPS = 3
+# Length of a chunk of trailing frames, in ranges: one sample in so many is sent twice.
+CHUNK_RANGES = 8
 
 
 def _vector(rv: RangeVector, df: DataFrame, value: Column) -> DataFrame:
@@ -304,3 +307,21 @@ def idelta(rv: RangeVector) -> DataFrame:
     """Last − previous; a single point yields its value."""
     value = F.when(F.col("two"), F.col("lv") - F.col("pv")).otherwise(F.col("lv"))
     return _vector(rv, _last_two(rv), value)
+
+
+def frame_over_time(samples: DataFrame, range_ms: int, aggregate: Callable[[Column], Column]) -> DataFrame:
+    """``aggregate`` of the values in ``[ts − range, ts]`` at every sample's own time, as ``labels_fp, t_ms, value``.
+
+    Equal times of a series see each other, and each of their rows stays. A series is cut into chunks of
+    time; a chunk begins with the last range of the one before it, so no series meets in one task and
+    rows are shuffled once. Samples without a time fall out.
+    """
+    width = max(CHUNK_RANGES * range_ms, 1)
+    own = floor_div(F.col("ts_ms"), width)
+    until = floor_div(F.col("ts_ms") + F.lit(range_ms), width)  # the next chunk, where that sees the sample
+    rows = samples.where("ts_ms is not null").select(
+        "labels_fp", "ts_ms", "value", own.alias("__own"), F.explode(F.sequence(own, until)).alias("__chunk")
+    )
+    frame = Window.partitionBy("labels_fp", "__chunk").orderBy("ts_ms").rangeBetween(-range_ms, 0)
+    seen = rows.withColumn("__value", aggregate(F.col("value")).over(frame)).where(F.col("__own") == F.col("__chunk"))
+    return seen.select("labels_fp", F.col("ts_ms").alias("t_ms"), F.col("__value").alias("value"))

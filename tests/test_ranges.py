@@ -154,3 +154,16 @@ def test_shape_is_one_row_per_series_and_step(spark):
     s = samples(spark, COUNTER)
     rows = range_select(s, Grid(0, 3000, 1000), 1000).rows()
     assert rows.groupBy("t_ms").agg(F.count("*").alias("n")).orderBy("t_ms").collect()[1]["n"] == 2
+
+
+def test_trailing_frames_at_sample_times(spark):
+    rnd = random.Random(6)
+    rows = [(s, rnd.randint(-40, 300), rnd.randint(0, 9)) for s in "ab" for _ in range(80)]
+    df = samples(spark, rows)
+    for range_ms in (0, 1, 7, 50, 1000):
+        got = sorted(map(tuple, R.frame_over_time(df, range_ms, F.sum).collect()))
+        want = sorted((s, t, sum(w for r, u, w in rows if r == s and t - range_ms <= u <= t)) for s, t, _ in rows)
+        assert got == want
+    assert R.frame_over_time(df.where("false"), 5, F.sum).count() == 0
+    nulls = df.select("labels_fp", F.lit(None).cast("long").alias("ts_ms"), "value")
+    assert R.frame_over_time(nulls, 5, F.max).count() == 0
