@@ -72,15 +72,15 @@ def kd_shards(rows: DataFrame, weight: str, axes: list[str], leaves: int) -> Dat
     span = {n: max((total[f"high{n}"] or 0.0) - (total[f"low{n}"] or 0.0), 0.0) or 1.0 for n in names}
     floor = {n: (total[f"low{n}"] or 0.0) - span[n] / 100 for n in names}
     table = table.withColumns({n: F.greatest(F.col(n), F.lit(floor[n])) for n in names})
-    placed = table
+    placed = table.select("__box", "__weight", "__row", "__tie", *names)
     open_boxes = [_Box(0, leaves)] if leaves > 1 and total["w"] is not None else []
     while open_boxes:
         _find_cuts(placed, open_boxes, span, TOLERANCE * total["w"] / leaves)
-        placed = _apply_cuts(placed, open_boxes, names)
+        placed = checkpointed(_apply_cuts(placed, open_boxes, names))
         halves = [(_Box(b.first, b.leaves // 2), _Box(b.first + b.leaves // 2, b.leaves - b.leaves // 2)) for b in open_boxes]
         open_boxes = [b for pair in halves for b in pair if b.leaves > 1]
-    out = _slots(placed.withColumnRenamed("__box", "shard"))
-    return out.drop("__weight", "__row", "__tie", *names)
+    slots = _slots(placed.select(F.col("__box").alias("shard"), "__row"))
+    return table.drop("__weight", "__tie", "__box", *names).join(slots, "__row").drop("__row")
 
 
 def _on_axis(names: list[str]) -> Column:
