@@ -1,8 +1,10 @@
 """Functions over range vectors.
 
 Samples that are seen by exactly the same steps share one (first step, last step) pair. Mergeable
-functions aggregate per such class first and spread the few class rows over the steps, so a long range
-on a fine grid does not multiply the samples. The metric name is dropped from the result.
+functions aggregate per such class first and spread the few class rows over the steps. Where a range covers
+many steps, time is cut into blocks of one range: the window of a step is then the end of one block and the
+beginning of the next, which running aggregates give, so the work follows the number of samples and steps and
+not their product. The metric name is dropped from the result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from telmora.operators.selectors import Grid, RangeVector
 
 # Up to this many steps per sample, samples are spread directly.
 _DIRECT_STEPS = 3
+# From this many steps per sample on, windows are put together from blocks.
+_BLOCK_STEPS = 8
 # Length of a chunk of trailing frames, in ranges: one sample in so many is sent twice.
 CHUNK_RANGES = 8
 
@@ -44,27 +48,77 @@ def _by_class(rv: RangeVector) -> bool:
     return rv.eval_grid.steps > 1 and rv.range_ms // rv.eval_grid.step_ms + 1 > _DIRECT_STEPS
 
 
-def _mergeable(
-    rv: RangeVector,
-    partial: list[Column],
-    merge: list[Column],
-    value: Column,
-) -> DataFrame:
-    rows = rv.located()
-    if _by_class(rv):
-        rows = rows.groupBy("labels_fp", "__a", "__b").agg(*partial)
-        rows = _spread(rows).groupBy("labels_fp", "__i").agg(*merge)
+def _steps_per_range(rv: RangeVector) -> int:
+    """Steps that see a sample, or one less."""
+    return rv.range_ms // rv.eval_grid.step_ms
+
+
+def _celled(rv: RangeVector) -> DataFrame:
+    """Visible samples, shuffled by series and block, with the first step ``__c`` that sees them (negative before
+    the grid), their block ``__k`` of as many steps as a range has, and whether one step more sees them."""
+    g, width = rv.eval_grid, _steps_per_range(rv)
+    since = F.col("ts_ms") + F.lit(rv.offset_ms - g.start_ms)
+    cell = floor_div(since + F.lit(g.step_ms - 1), g.step_ms)
+    rows = rv.visible().withColumn("__c", cell).withColumn("__k", floor_div(F.col("__c"), width))
+    long = since + F.lit(rv.range_ms) >= (F.col("__c") + F.lit(width)) * F.lit(g.step_ms)
+    return rows.withColumn("__long", long).repartition("labels_fp", "__k")
+
+
+def _slide(rv: RangeVector, rows: DataFrame, running: dict[str, Column], longs: DataFrame) -> DataFrame:
+    """Up to three parts per (series, step) that together hold the step's window once.
+
+    Step ``i`` sees the cells from ``i - width + 1`` to ``i``: the beginning of its own block and the end of the
+    block before. ``longs`` (``labels_fp, __c`` and the columns of ``running``) adds the samples of cell
+    ``i - width`` that reach one step further.
+    """
+    width = _steps_per_range(rv)
+    last_step = F.lit(rv.eval_grid.steps - 1).cast("long")
+    start = F.col("__k") * F.lit(width)
+
+    def part(order: Column, first: Column, last: Column) -> DataFrame:
+        w = Window.partitionBy("labels_fp", "__k").orderBy(order)
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = rows.select(
+            "labels_fp", "__k", "__c", F.lead("__c").over(w).alias("__next"),
+            *[agg.over(frame).alias(name) for name, agg in running.items()],
+        )
+        whole = seen.where(F.col("__next").isNull() | (F.col("__next") != F.col("__c")))
+        return whole.select("labels_fp", "__k", first.alias("__a"), last.alias("__b"), *running)
+
+    begin = part(F.col("__c").asc(), F.col("__c"), F.coalesce(F.col("__next"), start + width) - 1)
+    following = F.greatest(F.coalesce(F.col("__next"), start), start) + width
+    end = part(F.col("__c").desc(), following, F.col("__c") + (width - 1))
+    more = longs.select(
+        "labels_fp", F.col("__k"), (F.col("__c") + width).alias("__a"), (F.col("__c") + width).alias("__b"), *running
+    )
+    parts = begin.unionByName(end).unionByName(more)
+    clipped = parts.withColumn("__a", F.greatest("__a", F.lit(0).cast("long"))).withColumn("__b", F.least("__b", last_step))
+    return _spread(clipped.where(F.col("__a") <= F.col("__b"))).drop("__a", "__b")
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
+def _mergeable(rv: RangeVector, partial: dict[str, Column], merge: dict[str, Column], value: Column) -> DataFrame:
+    if rv.eval_grid.steps > 1 and _steps_per_range(rv) >= _BLOCK_STEPS:
+        cells = _celled(rv).groupBy("labels_fp", "__k", "__c", "__long").agg(*_named(partial))
+        whole = cells.groupBy("labels_fp", "__k", "__c").agg(*_named(merge))
+        rows = _slide(rv, whole, merge, cells.where("__long")).groupBy("labels_fp", "__i").agg(*_named(merge))
+    elif _by_class(rv):
+        rows = rv.located().groupBy("labels_fp", "__a", "__b").agg(*_named(partial))
+        rows = _spread(rows).groupBy("labels_fp", "__i").agg(*_named(merge))
     else:
-        rows = _spread(rows).groupBy("labels_fp", "__i").agg(*partial)
+        rows = _spread(rv.located()).groupBy("labels_fp", "__i").agg(*_named(partial))
     return _vector(rv, rows, value)
 
 
 def sum_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(rv, [F.sum("value").alias("s")], [F.sum("s").alias("s")], F.col("s"))
+    return _mergeable(rv, {"s": F.sum("value")}, {"s": F.sum("s")}, F.col("s"))
 
 
 def count_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(rv, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], F.col("n"))
+    return _mergeable(rv, {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, F.col("n"))
 
 
 def present_over_time(rv: RangeVector) -> DataFrame:
@@ -73,69 +127,94 @@ def present_over_time(rv: RangeVector) -> DataFrame:
 
 
 def avg_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(
-        rv,
-        [F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")],
-        [F.sum("s").alias("s"), F.sum("n").alias("n")],
-        F.col("s") / F.col("n"),
-    )
+    partial = {"s": F.sum("value"), "n": F.count(F.lit(1))}
+    return _mergeable(rv, partial, {"s": F.sum("s"), "n": F.sum("n")}, F.col("s") / F.col("n"))
 
 
 def max_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(
-        rv, [ieee.max_skip_nan(F.col("value")).alias("m")], [F.max("m").alias("m")], F.col("m")
-    )
+    return _mergeable(rv, {"m": ieee.max_skip_nan(F.col("value"))}, {"m": F.max("m")}, F.col("m"))
 
 
 def min_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(
-        rv, [ieee.min_skip_nan(F.col("value")).alias("m")], [F.min("m").alias("m")], F.col("m")
-    )
+    return _mergeable(rv, {"m": ieee.min_skip_nan(F.col("value"))}, {"m": F.min("m")}, F.col("m"))
 
 
 def last_over_time(rv: RangeVector) -> DataFrame:
-    return _mergeable(
-        rv,
-        [F.max(F.struct("ts_ms", "value")).alias("l")],
-        [F.max("l").alias("l")],
-        F.col("l.value"),
-    )
+    newest = F.max(F.struct("ts_ms", "value"))
+    return _mergeable(rv, {"l": newest}, {"l": F.max("l")}, F.col("l.value"))
+
+
+def _moment_aggregates() -> dict[str, Column]:
+    """Count, means and centred second moments of time (x, seconds) and value, and the earliest and latest x."""
+    return {
+        "n": F.count(F.lit(1)), "mx": F.avg("x"), "my": F.avg("value"), "vx": F.var_pop("x"),
+        "vxy": F.covar_pop("x", "value"), "vy": F.var_pop("value"), "lo": F.min("x"), "hi": F.max("x"),
+    }
+
+
+def _total(over: Callable[[Column], Column]) -> Column:
+    return F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + over(p))
 
 
-def _direct(rv: RangeVector, aggs: list[Column], value: Column, keep: Column | None = None) -> DataFrame:
-    """One aggregation over spread samples; ``x`` is the sample time in seconds after the first step,
-    which keeps least squares well conditioned."""
-    rows = _spread(rv.located()).withColumn(
-        "x", (F.col("ts_ms") + F.lit(rv.offset_ms) - rv.eval_grid.time(F.col("__i"))) / F.lit(1000.0)
+def _moments(rv: RangeVector) -> DataFrame:
+    """``n, mx, my, vx, vxy, vy, lo, hi`` per (series, step); x counts from the step, shifted back by the offset.
+
+    Running moments are updated sample by sample around their mean, and the (up to three) parts of a window are
+    merged by their means, so no large sums are subtracted from each other.
+    """
+    g = rv.eval_grid
+    shifted = F.col("ts_ms") + F.lit(rv.offset_ms)
+    if not _by_class(rv):
+        rows = _spread(rv.located()).withColumn("x", (shifted - g.time(F.col("__i"))) / F.lit(1000.0))
+        return rows.groupBy("labels_fp", "__i").agg(*_named(_moment_aggregates()))
+    # inside a block, time counts from the block's first step
+    block_ms = _steps_per_range(rv) * g.step_ms
+    origin = F.lit(g.start_ms).cast("long") + F.col("__k") * F.lit(block_ms)
+    rows = _celled(rv).withColumn("x", (shifted - origin) / F.lit(1000.0))
+    longs = rows.where("__long").groupBy("labels_fp", "__k", "__c").agg(*_named(_moment_aggregates()))
+    spread = _slide(rv, rows, _moment_aggregates(), longs)
+    move = (origin - g.time(F.col("__i"))) / F.lit(1000.0)
+    for name in ("mx", "lo", "hi"):
+        spread = spread.withColumn(name, F.col(name) + move)
+    merged = spread.groupBy("labels_fp", "__i").agg(F.collect_list(F.struct(*_moment_aggregates())).alias("parts"))
+    n = _total(lambda p: p["n"])
+    means = merged.select(
+        "labels_fp", "__i", "parts", n.alias("n"),
+        (_total(lambda p: p["n"] * p["mx"]) / n).alias("mx"), (_total(lambda p: p["n"] * p["my"]) / n).alias("my"),
     )
-    out = rows.groupBy("labels_fp", "__i").agg(*aggs)
-    return _vector(rv, out if keep is None else out.where(keep), value)
+    dx, dy = (lambda p: p["mx"] - F.col("mx")), (lambda p: p["my"] - F.col("my"))
+    return means.select(
+        "labels_fp", "__i", "n", "mx", "my",
+        (_total(lambda p: p["n"] * (p["vx"] + dx(p) * dx(p))) / F.col("n")).alias("vx"),
+        (_total(lambda p: p["n"] * (p["vxy"] + dx(p) * dy(p))) / F.col("n")).alias("vxy"),
+        (_total(lambda p: p["n"] * (p["vy"] + dy(p) * dy(p))) / F.col("n")).alias("vy"),
+        F.array_min("parts.lo").alias("lo"), F.array_max("parts.hi").alias("hi"),
+    )
+
+
+def _slope() -> Column:
+    """Least-squares slope; 0 without spread in time."""
+    return F.when(F.col("hi") > F.col("lo"), F.col("vxy") / F.col("vx")).otherwise(F.lit(0.0))
 
 
 def stddev_over_time(rv: RangeVector) -> DataFrame:
-    return _direct(rv, [F.stddev_pop("value").alias("d")], F.col("d"))
+    return _vector(rv, _moments(rv), F.sqrt("vy"))
 
 
 def stdvar_over_time(rv: RangeVector) -> DataFrame:
-    return _direct(rv, [F.var_pop("value").alias("d")], F.col("d"))
+    return _vector(rv, _moments(rv), F.col("vy"))
 
 
 def deriv(rv: RangeVector) -> DataFrame:
     """Least-squares slope per second; 0 with fewer than two points or no spread in time."""
-    return _direct(rv, [F.regr_slope("value", "x").alias("k")], F.coalesce(F.col("k"), F.lit(0.0)))
+    return _vector(rv, _moments(rv), _slope())
 
 
 def predict_linear(rv: RangeVector, seconds: float) -> DataFrame:
     """Value of the least-squares line ``seconds`` after the evaluation time; needs two points."""
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.regr_slope("value", "x"), F.lit(0.0)).alias("k"),
-        F.avg("value").alias("my"),
-        F.avg("x").alias("mx"),
-    ]
     # x is relative to the step; the evaluation time is the step itself, shifted back by the offset
-    line = F.col("my") + F.col("k") * (F.lit(float(seconds)) + F.lit(rv.offset_ms / 1000.0) - F.col("mx"))
-    return _direct(rv, aggs, line, F.col("n") >= 2)
+    line = F.col("my") + _slope() * (F.lit(float(seconds)) + F.lit(rv.offset_ms / 1000.0) - F.col("mx"))
+    return _vector(rv, _moments(rv).where("n >= 2"), line)
 
 
 def quantile_over_time(q: float, rv: RangeVector) -> DataFrame:

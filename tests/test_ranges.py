@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from helpers import at, fp, one, samples, values
 from pyspark.sql import functions as F
@@ -138,6 +139,36 @@ def test_against_brute_force(spark, name, step, range_ms, offset):
         assert (math.isnan(v) and math.isnan(got[k])) or got[k] == pytest.approx(v, abs=1e-6), k
 
 
+@pytest.mark.parametrize("name", ["deriv", "stdvar", "avg"])
+def test_large_values_lose_no_digits_in_blocks(spark, name):
+    """A counter of epoch size with a spike in the same block: moments are merged, never subtracted."""
+    rnd = random.Random(3)
+    points = [("a", t, 1.7e9 + t / 1000 + rnd.random() + (1e9 if t == 30_000 else 0)) for t in range(0, 60_000, 500)]
+    grid = Grid(0, 60_000, 1000)
+    mine, _ = CASES[name]
+    exact = {
+        "deriv": lambda w, _: float(np.polyfit([(t - w[0][0]) / 1000 for t, _ in w], [v - 1.7e9 for _, v in w], 1)[0]) if len(w) > 1 else 0.0,
+        "stdvar": lambda w, _: float(np.var([v - 1.7e9 for _, v in w])),
+        "avg": lambda w, _: float(np.mean([v - 1.7e9 for _, v in w])) + 1.7e9,
+    }[name]
+    got = values(mine(range_select(samples(spark, points), grid, 10_000)))
+    want = brute(points, grid, 10_000, exact)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-6, abs=1e-5), k
+
+
+def test_blocks_give_three_parts_per_step_however_long_the_range(spark):
+    """A range of 2,000 steps: the rows merged per step don't grow with it."""
+    points = [("a", t, float(t % 7)) for t in range(0, 4_000_000, 1000)]
+    rv = range_select(samples(spark, points), Grid(0, 4_000_000, 1000), 2_000_500)
+    cells = R._celled(rv).groupBy("labels_fp", "__k", "__c", "__long").agg(F.count("*").alias("n"))
+    whole = cells.groupBy("labels_fp", "__k", "__c").agg(F.sum("n").alias("n"))
+    parts = R._slide(rv, whole, {"n": F.sum("n")}, cells.where("__long"))
+    assert parts.count() <= 3 * 4001
+    assert values(R.count_over_time(rv))[("a", 4_000_000)] == 2000
+
+
 def test_predict_linear(spark):
     s = samples(spark, [("", t, 2 * t / 1000 + 1) for t in range(0, 10_000, 1000)])
     assert one(R.predict_linear(range_select(s, at(9000), 9000), 10)) == pytest.approx(39)
