@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telmora.functions.integers import floor_div
 from telmora.operators.logs import search_logs
 from telmora.operators.traces import trace_summaries
+from telmora.runtime import checkpointed
 from telmora.schema import NS_PER_S
 
-# The state machine travels with its code, so workers need not have this package installed.
+# On streams ``advance`` runs on workers; it travels with its code, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Alert states.
@@ -128,34 +129,138 @@ def state_history(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     """Run the state machine over the ticks of each rule; one row per tick that stores a state.
 
     ``ticks``: ``rule_id, t_ms, firing, value`` — one row per rule and evaluation. ``rules``: ``rule_id,
-    enabled, for_s, every_s``. Ticks are distributed by rule and sorted on Spark; a task then streams
-    them batch by batch and keeps only the current rule's state.
+    enabled, for_s, every_s``. Gives what ``advance`` gives tick by tick from an unknown state, so a disabled
+    rule stores nothing. Of ticks of a rule at one time the one with the greatest (firing, value) counts; a
+    null condition does not fire; ticks without a rule or time, or of unknown rules, fall out.
+
+    States follow from runs of equal conditions: the first tick of a firing run is Pending, later ones are Firing
+    once ``for_s`` have passed since; the first quiet tick after Firing is Resolved. A rule's time is cut into
+    chunks. What a chunk must know of the ones before it is one row of a small table (last condition, start of
+    the run, when it fired), composed over chunks in two rounds, so no rule meets in one task.
     """
-    rows = (
-        ticks.select("rule_id", "t_ms", "firing", F.col("value").cast("double").alias("value"))
-        .join(rules.select("rule_id", "enabled", "for_s", "every_s"), "rule_id")
-        .repartition("rule_id")
-        .sortWithinPartitions("rule_id", "t_ms")
+    settings = rules.where("enabled").select(
+        "rule_id", (F.col("for_s") * F.lit(1000).cast("long")).alias("for_ms"), (F.col("every_s") * F.lit(1000).cast("long")).alias("every_ms")
     )
-    return rows.mapInPandas(_fold, HISTORY)
+    best = F.max(F.struct(F.coalesce("firing", F.lit(False)).alias("firing"), F.col("value").cast("double").alias("value")))
+    one = (
+        ticks.where("rule_id is not null and t_ms is not null")
+        .groupBy("rule_id", "t_ms").agg(best.alias("x"))
+        .select("rule_id", "t_ms", "x.firing", "x.value")
+        .join(settings, "rule_id")
+    )
+    return _states(_evaluated(one, settings))
+
 
+def _evaluated(ticks: DataFrame, settings: DataFrame) -> DataFrame:
+    """Ticks that are at least ``every_ms`` after the evaluated one before; the first one always is.
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rule, s = None, RuleState()
-    for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.rule_id != rule:
-                rule, s = r.rule_id, RuleState()
-            step = advance(s, r.t_ms, r.firing, r.value, r.enabled, r.for_s, r.every_s)
-            if step is not None:
-                s, notify = step
-                out.append((rule, r.t_ms, s.state, s.since_ms, s.notified_ms, s.last_value, r.value, notify))
-        frame = pd.DataFrame(out, columns=_HISTORY_COLUMNS)
-        yield frame.astype({"notified_ms": "Int64", "since_ms": "Int64", "t_ms": "Int64"})
+    Every tick points to the one that would follow it. The ticks reached from the first are found by doubling
+    the pointers, so rounds grow with the logarithm of the number of evaluations. Only rules with a pause take part.
+    """
+    if settings.where("every_ms > 0").isEmpty():
+        return ticks
+    paced = ticks.where("every_ms > 0")
+    at = paced.select("rule_id", "t_ms", F.col("t_ms").alias("at"), F.lit(1).alias("is_tick"))
+    due = paced.select("rule_id", "t_ms", (F.col("t_ms") + F.col("every_ms")).alias("at"), F.lit(0).alias("is_tick"))
+    chunk = floor_div(F.col("at"), CHUNK_MS)
+    both = at.unionByName(due).withColumn("chunk", chunk).repartition("rule_id", "chunk")
+    later = Window.partitionBy("rule_id").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy("rule_id", "chunk").agg(F.min(F.when(F.col("is_tick") == 1, F.col("at"))).alias("first"))
+    following = firsts.withColumn("after", F.min("first").over(later)).select("rule_id", "chunk", "after")
+    # backwards in time, a due time follows the ticks at or after it
+    backwards = Window.partitionBy("rule_id", "chunk").orderBy(F.col("at").desc(), F.col("is_tick").desc())
+    seen = F.min(F.when(F.col("is_tick") == 1, F.col("at"))).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("next", seen).where("is_tick = 0").join(following, ["rule_id", "chunk"], "left")
+    jumps = checkpointed(
+        found.select("rule_id", "t_ms", F.coalesce("next", "after").alias("next")).where("next is not null")
+    )
+    reached = paced.groupBy("rule_id").agg(F.min("t_ms").alias("t_ms"))
+    while not jumps.isEmpty():  # ``jumps`` leads 2^k evaluations ahead, ``reached`` holds the first 2^k ones
+        ahead = reached.join(jumps, ["rule_id", "t_ms"]).select("rule_id", F.col("next").alias("t_ms"))
+        reached = checkpointed(reached.unionByName(ahead))
+        on = jumps.select("rule_id", F.col("t_ms").alias("next"), F.col("next").alias("next2"))
+        jumps = checkpointed(jumps.join(on, ["rule_id", "next"]).select("rule_id", "t_ms", F.col("next2").alias("next")))
+    return ticks.where("every_ms <= 0").unionByName(paced.join(reached, ["rule_id", "t_ms"], "left_semi").select(*ticks.columns))
+
+
+#: Length of a chunk of a rule's ticks; a chunk and the table of a rule's chunks fit a task.
+CHUNK_MS = 86_400_000
+
+
+def _states(ticks: DataFrame) -> DataFrame:
+    keys = ["rule_id", "chunk"]
+    rows = ticks.withColumn("chunk", floor_div(F.col("t_ms"), CHUNK_MS)).repartition(*keys)
+    w = Window.partitionBy(*keys).orderBy("t_ms")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    chunks = Window.partitionBy("rule_id").orderBy("chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    sofar = chunks.rowsBetween(Window.unboundedPreceding, 0)
+
+    # Round one: the tick before, the start of the run, the last firing value.
+    firing_at = F.when(F.col("firing"), F.col("t_ms"))
+    edge = F.when(F.col("firing") != F.lag("firing").over(w), F.col("t_ms"))
+    local = rows.withColumn("edge", edge)
+    ends = (
+        local.groupBy(*keys)
+        .agg(
+            F.min(F.struct("t_ms", "firing", "value")).alias("first"), F.max(F.struct("t_ms", "firing")).alias("last"), F.max("edge").alias("edge"),
+            F.max(F.struct(firing_at.alias("t"), F.col("value").alias("v"))).alias("fired"),
+        )
+        .withColumn("before", F.lag("last").over(chunks))
+        .withColumn("opens", F.coalesce(F.col("before.firing") != F.col("first.firing"), F.lit(True)))
+        .withColumn("own_start", F.coalesce("edge", F.when(F.col("opens"), F.col("first.t_ms"))))
+        .withColumn("start", F.last("own_start", ignorenulls=True).over(sofar))
+        .withColumn("fired", F.last(F.when(F.col("fired.t").isNotNull(), F.col("fired")), ignorenulls=True).over(earlier))
+        .withColumn("origin", F.first("first").over(sofar))
+        .select(
+            *keys, "before", F.when(F.col("opens"), F.col("first.t_ms")).otherwise(F.lag("start").over(chunks)).alias("start0"),
+            F.lag("start").over(chunks).alias("start_before"), "fired", "origin",
+        )
+    )
+    known = rows.join(ends, keys)
+    first_in_chunk = F.lag("t_ms").over(w).isNull()
+    known = (
+        known.withColumn("prev_t", F.when(first_in_chunk, F.col("before.t_ms")).otherwise(F.lag("t_ms").over(w)))
+        .withColumn("prev_firing", F.when(first_in_chunk, F.col("before.firing")).otherwise(F.lag("firing").over(w)))
+        .withColumn("edge", F.when(F.col("firing") != F.lag("firing").over(w), F.col("t_ms")))
+        .withColumn("start", F.coalesce(F.max("edge").over(upto), F.col("start0")))
+        .withColumn("prev_start", F.when(first_in_chunk, F.col("start_before")).otherwise(F.lag("start").over(w)))
+        .withColumn("last_fired", F.coalesce(F.max(F.when(F.col("firing"), F.struct(F.col("t_ms").alias("t"), F.col("value").alias("v")))).over(upto), F.col("fired")))
+        .withColumn("last_value", F.when(F.col("last_fired").isNull(), F.col("origin.value")).otherwise(F.col("last_fired.v")))
+    )
 
+    def up(firing: str, t: str, start: str) -> Column:
+        """Whether a tick is in state Firing."""
+        return F.coalesce(F.col(firing) & (F.col(t) > F.col(start)) & (F.col(t) - F.col(start) >= F.col("for_ms")), F.lit(False))
+
+    known = known.withColumn("up", up("firing", "t_ms", "start")).withColumn("prev_up", up("prev_firing", "prev_t", "prev_start"))
+    resolved = ~F.col("firing") & F.col("prev_up")
+    # the tick after Resolved
+    after_quiet = ~F.col("firing") & (F.col("prev_firing") == F.lit(False)) & (F.col("prev_t") == F.col("start"))
+    marked = known.withColumn("fire", F.when(F.col("up") & ~F.col("prev_up"), F.col("t_ms"))).select(
+        *keys, "t_ms", "firing", "value", "last_value", "start", "up", resolved.alias("resolved"), "fire",
+        F.when(after_quiet, F.col("t_ms")).alias("ok_after"),
+        F.when(resolved, F.col("t_ms")).alias("down"),
+    )
 
-_HISTORY_COLUMNS = ["rule_id", "t_ms", "state", "since_ms", "notified_ms", "last_value", "value", "notify"]
+    # Round two: the latest of each of these events before a chunk.
+    events = ["fire", "ok_after", "down"]
+    carried = marked.groupBy(*keys).agg(*[F.max(e).alias(e) for e in events])
+    carried = carried.select(*keys, *[F.max(e).over(earlier).alias(f"{e}0") for e in events])
+    full = marked.join(carried, keys).select(
+        "*", *[F.coalesce(F.max(e).over(upto), F.col(f"{e}0")).alias(f"{e}_t") for e in events]
+    )
+    state = (
+        F.when(F.col("up"), FIRING).when(F.col("firing"), PENDING).when(F.col("resolved"), RESOLVED).otherwise(OK)
+    )
+    # a quiet run that began with Resolved is Ok since its second tick, others since their first
+    was_down = F.coalesce(F.col("down_t") == F.col("start"), F.lit(False))
+    since = F.when(F.col("firing") | F.col("resolved") | ~was_down, F.col("start")).otherwise(F.col("ok_after_t"))
+    notify = F.when(F.col("fire").isNotNull(), FIRING).when(F.col("resolved"), RESOLVED)
+    return full.select(
+        "rule_id", "t_ms", state.alias("state"), since.alias("since_ms"),
+        F.when(F.col("up") | F.col("resolved"), F.col("fire_t")).alias("notified_ms"), "last_value", "value", notify.alias("notify"),
+    )
 
 
 def transitions(history: DataFrame) -> DataFrame:

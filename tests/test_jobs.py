@@ -1,4 +1,5 @@
 import json
+import random
 import math
 
 import pytest
@@ -392,3 +393,33 @@ def test_streaming_alerts_match_batch(spark, tmp_path):
     stream = spark.readStream.schema(t.schema).parquet(src)
     got = states(run_memory(state_stream(stream), "alerts"))
     assert got == states(AL.state_history(ticks(spark, flags), rules(spark)))
+
+
+def test_state_history_equals_the_machine_tick_by_tick(spark, monkeypatch):
+    """Random rules over many chunks, with pauses, gaps, repeated times and a disabled rule."""
+    monkeypatch.setattr(AL, "CHUNK_MS", 7_000)
+    rnd = random.Random(11)
+    settings, data = [], []
+    for i in range(24):
+        rule = f"r{i}"
+        settings.append((rule, i != 5, rnd.choice([0, 1, 3, 10]), rnd.choice([0, 0, 2, 5, 30])))
+        t, flag = rnd.randrange(5_000), False
+        for _ in range(60):
+            flag = flag if rnd.random() < (0.8 if i % 2 else 0.5) else not flag
+            data.append((rule, t, flag, float(rnd.randrange(100))))
+            t += rnd.choice([200, 1000, 1000, 3000, 40_000 if rnd.random() < 0.1 else 500])
+    want = []
+    for rule, enabled, for_s, every_s in settings:
+        s = AL.RuleState()
+        for _, t, f, v in [d for d in data if d[0] == rule]:
+            step = AL.advance(s, t, f, v, enabled, for_s, every_s)
+            if step is not None:
+                s, notify = step
+                want.append((rule, t, s.state, s.since_ms, s.notified_ms, s.last_value, v, notify))
+    extra = [(None, 1, True, 1.0), ("r0", None, True, 1.0), ("unknown", 3, True, 1.0), data[0], data[-1]]
+    df = spark.createDataFrame(data + extra, "rule_id string, t_ms long, firing boolean, value double").repartition(7)
+    rule_table = spark.createDataFrame(settings, "rule_id string, enabled boolean, for_s int, every_s int")
+    got = AL.state_history(df, rule_table)
+    assert got.columns == [c.split()[0] for c in AL.HISTORY.split(", ")]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    assert AL.state_history(df.limit(0), rule_table).count() == 0
