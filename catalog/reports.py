@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import views as V
@@ -176,37 +176,46 @@ query(
 )
 
 
-def _one_series(spark, sf, kind: str) -> DataFrame:
-    """Requests = purchases, errors = error events, all of service svc-1."""
-    return _counter_points(spark, sf).where((F.col("event_type") == kind) & (F.col("service_name") == "svc-1"))
+# Key figures of every service: requests are the events of one kind or all events, errors the error events.
+_BY = ["service_name"]
 
 
-_RATIO = (
-    "ratio as (select r.ts, r.rn as position, case when r.rate = 0 then 0 else least(1, greatest(0, e.rate / r.rate)) end as ratio from "
-    "(select *, row_number() over (order by ts) as rn from rates where event_type = 'purchase' and service_name = 'svc-1') r join "
-    "(select *, row_number() over (order by ts) as rn from rates where event_type = 'error' and service_name = 'svc-1') e using (rn))"
-)
+def _service_rates(requests: str) -> str:
+    return (
+        f"points as (select 'requests' as kind, service_name, us, value from ev where {requests} union all select 'errors', service_name, us, value from ev where event_type = 'error'), "
+        "srates as (select kind, service_name, ts, greatest(0, value - pv) / ((ts - pts) / 1e9) as rate from (select kind, service_name, us * 1000 as ts, value, "
+        "lag(value) over w as pv, lag(us * 1000) over w as pts from points window w as (partition by kind, service_name order by us, value)) where ts - pts >= 1), "
+        "numbered as (select *, row_number() over (partition by kind, service_name order by ts) as rn from srates), "
+        "sratio as (select r.service_name, r.ts, r.rn as position, case when r.rate = 0 then 0 else least(1, greatest(0, e.rate / r.rate)) end as ratio "
+        "from numbered r join numbered e using (service_name, rn) where r.kind = 'requests' and e.kind = 'errors'), "
+        "sup as (select *, case when requests > 0 then least(1, greatest(0, 1 - errors / requests)) else 1 end as availability from "
+        "(select service_name, coalesce(arg_max(value, (us, value)) filter (where kind = 'requests'), 0) as requests, "
+        "coalesce(arg_max(value, (us, value)) filter (where kind = 'errors'), 0) as errors from points group by all))"
+    )
 
 
-def _rates(spark, sf, kind: str) -> DataFrame:
-    return K.neighbour_rate(_one_series(spark, sf, kind), [], _SPAN_NS)
+_SERVICE_RATES = _service_rates("true")
+_PURCHASES = _service_rates("event_type = 'purchase'")
+
+
+def _purchases_and_errors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    points = _counter_points(spark, sf)
+    return points.where("event_type = 'purchase'"), points.where("event_type = 'error'")
 
 
 query(
     "kpi_error_ratio",
-    sql("select ts as ts_unix_nano, position, round(ratio, 6) + 0.0 as ratio from ratio", "ev", _RATES, _RATIO),
+    sql("select service_name, ts as ts_unix_nano, position, round(ratio, 6) + 0.0 as ratio from sratio", "ev", _PURCHASES),
 )(
-    lambda spark, sf: K.error_ratio(_rates(spark, sf, "purchase"), _rates(spark, sf, "error")).select(
-        "ts_unix_nano", F.col("position").cast("long").alias("position"), rounded(F.col("ratio")).alias("ratio")
-    )
-)
-_LAST = "(select arg_max(value, us) from ev where event_type = '{}' and service_name = 'svc-1')"
-_AVAIL = (
-    "select *, round(case when requests > 0 then least(1, greatest(0, 1 - errors / requests)) else 1 end, 6) + 0.0 as availability "
-    f"from (select {_LAST.format('purchase')} as requests, {_LAST.format('error')} as errors)"
+    lambda spark, sf: K.error_ratio(
+        *[K.neighbour_rate(p, _BY, _SPAN_NS) for p in _purchases_and_errors(spark, sf)], _BY
+    ).select("service_name", "ts_unix_nano", F.col("position").cast("long").alias("position"), rounded(F.col("ratio")).alias("ratio"))
 )
-query("kpi_availability", sql(_AVAIL, "ev"))(
-    lambda spark, sf: K.availability(_one_series(spark, sf, "purchase"), _one_series(spark, sf, "error")).withColumn(
+query(
+    "kpi_availability",
+    sql("select * replace (round(availability, 6) + 0.0 as availability) from sup", "ev", _PURCHASES),
+)(
+    lambda spark, sf: K.availability(*_purchases_and_errors(spark, sf), _BY).withColumn(
         "availability", rounded(F.col("availability"))
     )
 )
@@ -225,39 +234,23 @@ query(
 query(
     "kpi_dashboard",
     sql(
-        "select round((select arg_max(rate, ts) from rates where event_type = 'purchase' and service_name = 'svc-1'), 6) + 0.0 as calls_per_s, "
-        "round((select max(rate) from rates where event_type = 'purchase' and service_name = 'svc-1'), 6) + 0.0 as peak_calls_per_s, "
-        "round((select arg_max(ratio, ts) from ratio), 6) + 0.0 as error_ratio, availability, "
-        "case when availability < 0.9 then 'err' when availability < 0.99 then 'warn' else 'ok' end as availability_tone "
-        f"from ({_AVAIL})",
+        "select service_name, round(coalesce(calls, 0), 6) + 0.0 as calls_per_s, round(coalesce(peak, 0), 6) + 0.0 as peak_calls_per_s, "
+        "round(coalesce(ratio, 0), 6) + 0.0 as error_ratio, round(availability, 6) + 0.0 as availability, "
+        "case when availability < 0.9 then 'err' when availability < 0.99 then 'warn' else 'ok' end as availability_tone from sup "
+        "left join (select service_name, arg_max(rate, ts) as calls, max(rate) as peak from srates where kind = 'requests' group by all) using (service_name) "
+        "left join (select service_name, arg_max(ratio, ts) as ratio from sratio group by all) using (service_name)",
         "ev",
-        _RATES,
-        _RATIO,
+        _PURCHASES,
     ),
 )(
     lambda spark, sf: K.dashboard(
-        _one_series(spark, sf, "purchase"),
-        _one_series(spark, sf, "error"),
-        V.histogram_points(spark, sf).where("event_type = 'purchase' and service_name = 'svc-1'"),
-        _SPAN_NS,
+        *_purchases_and_errors(spark, sf), V.histogram_points(spark, sf).where("event_type = 'purchase'"), _SPAN_NS, _BY
     ).select(
+        "service_name",
         *[rounded(F.col(c)).alias(c) for c in ("calls_per_s", "peak_calls_per_s", "error_ratio", "availability")],
         "availability_tone",
     )
 )
-# The same key figures for every service over all events: requests are all events, errors the error events.
-_BY = ["service_name"]
-_SERVICE_RATES = (
-    "points as (select 'requests' as kind, service_name, us, value from ev union all select 'errors', service_name, us, value from ev where event_type = 'error'), "
-    "srates as (select kind, service_name, ts, greatest(0, value - pv) / ((ts - pts) / 1e9) as rate from (select kind, service_name, us * 1000 as ts, value, "
-    "lag(value) over w as pv, lag(us * 1000) over w as pts from points window w as (partition by kind, service_name order by us, value)) where ts - pts >= 1), "
-    "numbered as (select *, row_number() over (partition by kind, service_name order by ts) as rn from srates), "
-    "sratio as (select r.service_name, r.ts, r.rn as position, case when r.rate = 0 then 0 else least(1, greatest(0, e.rate / r.rate)) end as ratio "
-    "from numbered r join numbered e using (service_name, rn) where r.kind = 'requests' and e.kind = 'errors'), "
-    "sup as (select *, case when requests > 0 then least(1, greatest(0, 1 - errors / requests)) else 1 end as availability from "
-    "(select service_name, coalesce(arg_max(value, (us, value)) filter (where kind = 'requests'), 0) as requests, "
-    "coalesce(arg_max(value, (us, value)) filter (where kind = 'errors'), 0) as errors from points group by all))"
-)
 
 
 def _requests_and_errors(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -493,6 +486,34 @@ query(
         "rule_id", "t_ms", "notify"
     )
 )
+_EVERY_S = 50_000
+
+
+def _paced_rules(spark, sf) -> DataFrame:
+    """Evaluated every 50,000 seconds at most, firing after twelve hours; those of clicks are disabled."""
+    return _rules(spark, sf).withColumn("every_s", F.lit(_EVERY_S)).withColumn("enabled", F.col("rule_id") != "click")
+
+
+query(
+    "alert_paced_rules",
+    sql(
+        "select rule_id, t_ms, state, notify, value, max(case when edge_down then t_ms end) over w as resolved_ms from (select *, notify = 'Resolved' as edge_down from history) "
+        "window w as (partition by rule_id order by t_ms)",
+        "steps",
+        "gauge",
+        latest("gauge", LOOKBACK),
+        f"every_tick as (select rule_id, t_ms, v > 250 as firing, round(v, 6) as value from ({_RULE}) where rule_id <> 'click')",
+        "walk(rule_id, t_ms) as (select rule_id, min(t_ms) from every_tick group by rule_id union all "
+        f"select w.rule_id, min(k.t_ms) from walk w join every_tick k on k.rule_id = w.rule_id and k.t_ms >= w.t_ms + {_EVERY_S * 1000} group by w.rule_id, w.t_ms)",
+        _HISTORY.replace(_HISTORY[: _HISTORY.index("edges as")], "ticks as (select * from every_tick join walk using (rule_id, t_ms)), "),
+    ),
+)(
+    lambda spark, sf: AL.state_history(_ticks(spark, sf), _paced_rules(spark, sf)).select(
+        "rule_id", "t_ms", "state", "notify", "value",
+        F.max(F.when(F.col("notify") == AL.RESOLVED, F.col("t_ms")))
+        .over(Window.partitionBy("rule_id").orderBy("t_ms")).alias("resolved_ms"),
+    )
+)
 _LATEST = "latest as (select rule_id, arg_max(state, t_ms) as state from history group by all)"
 query(
     "alert_overview",
