@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed
+from telmora.operators.ordered import sliced_join
 
 _TYPES = {
     "string": lambda x: isinstance(x, str),
@@ -24,15 +27,46 @@ _TYPES = {
 }
 
 
-def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
+#: Arguments nested deeper are refused: nothing here may run out of stack.
+MAX_DEPTH = 100
+#: Conversations with at most so many calls and dependencies are ordered in one go, larger ones by rounds.
+GROUP_ENTRIES = 200_000
+
+
+def check_schema(schema: Any, at: str = "$") -> None:
+    """A schema with a type that does not exist is the caller's error."""
+    if not isinstance(schema, dict):
+        return
+    kind = schema.get("type") or []
+    for k in kind if isinstance(kind, list) else [kind]:
+        if k not in _TYPES:
+            raise ValueError(f"{at}: unknown type {k!r}")
+    for name, part in schema.get("properties", {}).items():
+        check_schema(part, f"{at}.{name}")
+    check_schema(schema.get("items"), f"{at}[]")
+
+
+def too_deep(value: Any) -> bool:
+    """Whether arrays and objects are nested more than ``MAX_DEPTH`` times."""
+    level = [value]
+    for _ in range(MAX_DEPTH + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
+def violations(value: Any, schema: Any, at: str = "$") -> list[str]:
     """Where a value breaks a JSON schema: type, enum, required, properties, additionalProperties,
-    items, minimum, maximum, minLength, maxLength."""
+    items, minimum, maximum, minLength, maxLength; true and false allow everything and nothing."""
     out: list[str] = []
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kind = schema.get("type")
     kinds = kind if isinstance(kind, list) else [kind] if kind else []
     if kinds and not any(_TYPES[k](value) for k in kinds):
         return [f"{at}: not {'|'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in {canonical(x) for x in schema["enum"]}:
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -54,8 +88,14 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def escaped(text: str) -> str:
+    """Half surrogate pairs, which no encoding holds, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    """Sorted keys, no spaces, whole numbers without a fraction; NaN and infinities become null."""
+    """Sorted keys, no spaces, whole numbers without a fraction; NaN and infinities become null, halves of
+    surrogate pairs are escaped."""
 
     def plain(x: Any) -> Any:
         if isinstance(x, dict):
@@ -66,7 +106,7 @@ def canonical(value: Any) -> str:
             return None if not math.isfinite(x) else int(x) if x.is_integer() and abs(x) < 2**53 else x
         return x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def _written(schemas: dict[str, dict]):
@@ -77,8 +117,13 @@ def _written(schemas: dict[str, dict]):
             value = json.loads(arguments) if arguments is not None else None
         except ValueError:
             found, value = ["$: not JSON"], arguments
+        except RecursionError:
+            found, value = ["$: too deep"], arguments
         else:
-            found = violations(value, schemas[name]) if name in schemas else ["$: no schema"]
+            if too_deep(value):
+                found, value = ["$: too deep"], arguments
+            else:
+                found = [escaped(x) for x in violations(value, schemas[name])] if name in schemas else ["$: no schema"]
         call = {"id": call_id, "type": "function", "function": {"name": name, "arguments": value}}
         message = {"call": call, "result": {"tool_call_id": call_id, "content": content} if linked else None}
         return found, canonical(message)
@@ -93,13 +138,70 @@ def _written(schemas: dict[str, dict]):
     return run
 
 
+def _settle(depends_on: dict[str, list[str]]) -> dict[str, int]:
+    """Levels of the calls of one conversation; those on or behind a cycle are missing."""
+    open_, users = {}, defaultdict(list)
+    for call, on in depends_on.items():
+        wanted = {x for x in on if x in depends_on}
+        open_[call] = len(wanted)
+        for x in wanted:
+            users[x].append(call)
+    found, ready, level = {}, [c for c, n in open_.items() if n == 0], 0
+    while ready:
+        following = []
+        for call in ready:
+            found[call] = level
+            for user in users[call]:
+                open_[user] -= 1
+                if open_[user] == 0:
+                    following.append(user)
+        ready, level = following, level + 1
+    return found
+
+
+def _settle_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``conv_id, call_id, level`` of rows that come sorted by conversation; only one is held at a time."""
+    conv, group = None, {}
+
+    def done() -> pd.DataFrame:
+        found = _settle(group)
+        return pd.DataFrame({"conv_id": conv, "call_id": list(group), "level": pd.array([found.get(c) for c in group], dtype="Int32")})
+
+    for f in frames:
+        out = []
+        for conv_id, call_id, on in zip(f["conv_id"], f["call_id"], f["depends_on"]):
+            if conv_id != conv:
+                if group:
+                    out.append(done())
+                conv, group = conv_id, {}
+            group[call_id] = list(on)
+        if out:
+            yield pd.concat(out)
+    if group:
+        yield done()
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id``, ``level``: 0 without dependencies, else one more than the deepest
     dependency; null for calls on or behind a cycle. Unknown dependencies are ignored.
 
-    Each round settles the calls whose dependencies are all settled, so rounds equal the depth.
-    ``calls`` has one row for each (conv_id, call_id), with ``depends_on`` (array of ids).
+    ``calls`` has one row for each (conv_id, call_id), with ``depends_on`` (array of ids). A conversation of up to
+    ``GROUP_ENTRIES`` calls and dependencies is ordered by one task, however long its chains are. Larger
+    ones are never gathered: they go by rounds over all their calls.
     """
+    slim = calls.select("conv_id", "call_id", F.array_compact(F.array_distinct("depends_on")).alias("depends_on"))
+    sizes = slim.groupBy("conv_id").agg(F.sum(F.size("depends_on") + 1).alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > GROUP_ENTRIES).select("conv_id"))
+    schema = "conv_id long, call_id string, level int"
+    if large.isEmpty():
+        return slim.repartition("conv_id").sortWithinPartitions("conv_id").mapInPandas(_settle_sorted, schema)
+    small = sliced_join(slim, large, ["conv_id"], "call_id", "left_anti")
+    settled = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInPandas(_settle_sorted, schema)
+    return settled.unionByName(levels_by_rounds(sliced_join(slim, large, ["conv_id"], "call_id", "left_semi")))
+
+
+def levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """The same, each round settling the calls whose dependencies are all settled, so rounds equal the depth."""
     ids = checkpointed(calls.select("conv_id", "call_id"))
     wanted = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on"))
     known = ids.withColumnRenamed("call_id", "on")
@@ -129,8 +231,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     call_id, turn, content. They meet in a hash join on (conv_id, call_id). Of repeated calls or
     results of an id the one of the earliest turn counts. Rows without conv_id or call_id take part
     in nothing; results without a call are dropped. Null or broken arguments are errors, and so are
-    names without a schema. No group of a conversation is formed, so it may be of any size.
+    arguments nested more than ``MAX_DEPTH`` times and names without a schema. A schema with an unknown type
+    is a ValueError. Conversations may be of any size (see ``levels``). Rows stay one per call: a whole
+    conversation's messages are not written into one text.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     keyed = "conv_id is not null and call_id is not null"
     firsts = F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("x")
     one_call = checkpointed(calls.where(keyed).groupBy("conv_id", "call_id").agg(firsts).select("conv_id", "call_id", "x.*"))

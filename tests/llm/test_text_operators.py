@@ -449,6 +449,43 @@ def test_tool_calls(spark):
     assert empty.count() == 0
 
 
+def test_tool_calls_with_odd_arguments(spark):
+    deep = lambda n: "[" * n + "]" * n
+    arguments = {
+        "deep": deep(100_000), "nested": deep(3000), "limit": deep(chat.MAX_DEPTH), "over": deep(chat.MAX_DEPTH + 2), "half": '{"\\ud800": "\\udc00x"}',
+        "pair": '"\\ud83d\\ude00"', "digits": "1" * 5000, "true": "true", "nan": "NaN",
+    }
+    calls = [(1, k, i, "f", v, None) for i, (k, v) in enumerate(arguments.items())]
+    no_results = spark.createDataFrame([], RESULTS)
+    frame = spark.createDataFrame(calls, CALLS)
+    got = {r["call_id"]: r for r in chat.link_tool_calls(frame, no_results, {"f": {"additionalProperties": False}}).collect()}
+    errors = {k: r["errors"] for k, r in got.items()}
+    assert errors == {
+        "deep": ["$: too deep"], "nested": ["$: too deep"], "limit": [], "over": ["$: too deep"], "half": ["$.\\ud800: unknown"], "pair": [],
+        "digits": ["$: not JSON"], "true": [], "nan": [],
+    }
+    read = {k: json.loads(r["json"])["call"]["function"]["arguments"] for k, r in got.items()}
+    assert read["half"] == {"\ud800": "\udc00x"} and read["pair"] == "\U0001f600" and read["deep"] == arguments["deep"] and read["nan"] is None
+    assert chat.violations(True, {"enum": [1]}) == ["$: not in enum"] and chat.violations(1.0, {"enum": [1]}) == []
+    assert chat.violations({"a": 1}, {"properties": {"a": False}}) == ["$.a: not allowed"]
+    with pytest.raises(ValueError, match="unknown type 'text'"):
+        chat.link_tool_calls(frame, no_results, {"f": {"properties": {"a": {"type": "text"}}}})
+
+
+def test_levels_of_long_chains_and_of_large_conversations(spark, monkeypatch):
+    """A chain of 1,000 calls takes one pass; rounds and one pass give the same levels, cycles included."""
+    schema = "conv_id long, call_id string, depends_on array<string>"
+    chain = [(1, f"c{i}", [f"c{i - 1}", None, "gone"] if i else []) for i in range(1000)]
+    assert {r["call_id"]: r["level"] for r in chat.levels(spark.createDataFrame(chain, schema)).collect()} == {f"c{i}": i for i in range(1000)}
+    rnd = random.Random(5)
+    rows = [(c, f"{i}", [str(rnd.randrange(0, i + 1 + (rnd.random() < 0.05) * 3)) for _ in range(rnd.randrange(3))]) for c in range(9) for i in range(3 + 2 * c)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    whole = sorted(map(tuple, chat.levels(df).collect()), key=str)
+    monkeypatch.setattr(chat, "GROUP_ENTRIES", 20)
+    assert sorted(map(tuple, chat.levels(df).collect()), key=str) == whole
+    assert len(whole) == len(rows) and any(r[2] is None for r in whole) and any(r[2] for r in whole)
+
+
 def test_queries_with_sql_agree(spark):
     import duckdb
 
