@@ -160,25 +160,33 @@ def _settle(depends_on: dict[str, list[str]]) -> dict[str, int]:
 
 
 def _settle_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``conv_id, call_id, level`` of rows that come sorted by conversation; only one is held at a time."""
+    """``conv_id, call_id, level`` of rows that come sorted by conversation; besides a batch, only one conversation
+    is held at a time."""
     conv, group = None, {}
+    convs, ids, found = [], [], []
 
-    def done() -> pd.DataFrame:
-        found = _settle(group)
-        return pd.DataFrame({"conv_id": conv, "call_id": list(group), "level": pd.array([found.get(c) for c in group], dtype="Int32")})
+    def close() -> None:
+        level = _settle(group)
+        convs.extend([conv] * len(group))
+        ids.extend(group)
+        found.extend(map(level.get, group))
+
+    def written() -> pd.DataFrame:
+        out = pd.DataFrame({"conv_id": pd.array(convs, dtype="Int64"), "call_id": ids, "level": pd.array(found, dtype="Int32")})
+        convs.clear(), ids.clear(), found.clear()
+        return out
 
     for f in frames:
-        out = []
-        for conv_id, call_id, on in zip(f["conv_id"], f["call_id"], f["depends_on"]):
+        for conv_id, call_id, on in zip(f["conv_id"].tolist(), f["call_id"].tolist(), f["depends_on"].tolist()):
             if conv_id != conv:
-                if group:
-                    out.append(done())
+                close()
                 conv, group = conv_id, {}
             group[call_id] = list(on)
-        if out:
-            yield pd.concat(out)
-    if group:
-        yield done()
+        if ids:
+            yield written()
+    close()
+    if ids:
+        yield written()
 
 
 def levels(calls: DataFrame) -> DataFrame:
