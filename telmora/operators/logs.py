@@ -65,12 +65,13 @@ def search_logs(
 
 
 def log_page(
-    logs: DataFrame, sort: str = "time", direction: str = "desc", limit: int = 100, offset: int = 0, ties=()
+    logs: DataFrame, sort: str = "time", direction: str = "desc", limit: int | None = None, offset: int = 0, ties=()
 ) -> DataFrame:
-    """A page sorted by time or severity."""
+    """Logs sorted by time or severity; a page of them where a limit or offset is given."""
     column = F.col("severity" if sort.lower() == "severity" else "ts_unix_nano")
     out = logs.orderBy(column.asc() if direction.lower() == "asc" else column.desc(), *ties)
-    return (out.offset(offset) if offset else out).limit(limit)
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
 
 
 def latest_error_logs(logs: DataFrame, limit: int = 5, ties=()) -> DataFrame:

@@ -1,6 +1,6 @@
 import json
-import random
 import math
+import random
 
 import pytest
 from helpers import fp, vector

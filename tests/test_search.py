@@ -105,6 +105,8 @@ def test_line_and_stream_filters(spark):
 def test_log_pages_and_groups(spark):
     l = LG.search_logs(logs(spark, LOGS))
     assert [r["ts_unix_nano"] for r in LG.log_page(l, "severity", "asc", 2, 1, ["ts_unix_nano"]).collect()] == [1, 2]
+    many = spark.range(150).select(F.col("id").alias("ts_unix_nano"), F.lit(9).alias("severity"))
+    assert [r["ts_unix_nano"] for r in LG.log_page(many).collect()] == list(range(149, -1, -1))  # no limit unless asked for
     grouped = LG.group_by_service(l).collect()
     assert [(r["service_group"], r["ts_unix_nano"]) for r in grouped] == [("(none)", 4), ("shop", 3), ("shop", 1), ("billing", 2)]
     assert bodies(LG.latest_error_logs(logs(spark, LOGS), 1)) == [3]
