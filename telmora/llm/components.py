@@ -55,6 +55,7 @@ def linked_within(
     links_of: Callable[[DataFrame], DataFrame],
     extra: list[str],
     compatible: Callable[[str, str], Column],
+    first_shared: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c,
     weight: long, and ``extra`` columns) would connect, without forming all pairs.
@@ -69,12 +70,18 @@ def linked_within(
     largest component are paired with compatible members of other components: every pair not yet
     connected that shares a group is among these, with a row for each group it shares. Which side comes
     first there depends on the group's leader or largest component, so sides are put in order.
+
+    ``first_shared`` is a stricter condition that every similar pair meets in one of its groups at least. Then
+    pairs have ``shared`` besides, the number of groups that a row stands for (1 in the first round), and the second
+    round has only pairs that meet the condition somewhere, each once, with all their common groups counted; members
+    must come once in a group.
     """
     named = lambda df, end: df.select("token", *[F.col(x).alias(x + end) for x in ("c", *extra)])
     leaders = entries.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x"), F.count("*").alias("m"))
     leaders = checkpointed(named(leaders.where("m > 1").select("token", "x.*"), "_a"))
     stars = named(entries, "_b").join(leaders, "token").where("c_a <> c_b").where(compatible("_a", "_b"))
-    first = links_of(_in_order(stars, extra))
+    stars = _in_order(stars, extra)
+    first = links_of(stars.withColumn("shared", F.lit(1)) if first_shared else stars)
 
     placed = checkpointed(components(first).withColumnRenamed("node", "c"))
     color = F.coalesce("component", "c").alias("k")
@@ -87,11 +94,24 @@ def linked_within(
     outside = checkpointed(outside.select("token", "main", *[F.col(x).alias(x + "_b") for x in ("c", "k", *extra)]))
     others = open_.select("token", *[F.col(x).alias(x + "_a") for x in ("c", "k", *extra)])
     other = (F.col("k_a") != F.col("k_b")) & ((F.col("k_a") == F.col("main")) | (F.col("k_a") < F.col("k_b")))
-    crossing = others.join(outside, "token").where(other & compatible("_a", "_b"))
-    second = links_of(_in_order(crossing, extra))
+    crossing = others.join(outside, "token").where(other & (first_shared or compatible)("_a", "_b"))
+    crossing = _in_order(crossing, extra)
+    second = links_of(_counted(crossing, open_) if first_shared else crossing)
     return first.unionByName(second)
 
 
+def _counted(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each of ``pairs`` (a, b, ...) once, with the least of its other columns, and ``shared``, the number of
+    groups of ``entries`` (token, c) that hold both."""
+    least = [F.min(x).alias(x) for x in pairs.columns if x not in ("a", "b")]
+    once = checkpointed(pairs.groupBy("a", "b").agg(*least))
+    wanted = checkpointed(once.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    held = checkpointed(entries.join(wanted, "c", "left_semi").groupBy("c").agg(F.collect_set("token").alias("tokens")))
+    of = lambda x: held.select(F.col("c").alias(x), F.col("tokens").alias("of_" + x))
+    both = F.size(F.array_intersect("of_a", "of_b")).alias("shared")
+    return once.join(of("a"), "a").join(of("b"), "b").select(*once.columns, both)
+
+
 def _in_order(pairs: DataFrame, extra: list[str]) -> DataFrame:
     """Pairs (c, extra columns; endings _a, _b) as a < b with their extra columns."""
     def side(x: str, end: str, other: str) -> Column:

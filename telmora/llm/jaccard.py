@@ -243,6 +243,18 @@ def _reachable(percent: int):
     return condition
 
 
+def _first_shared(percent: int):
+    """Whether a shared shingle can be the first one that a similar pair shares: the whole overlap lies
+    in what remains of both from there on."""
+
+    def condition(a: str, b: str) -> Column:
+        n_a, n_b = F.col("n" + a), F.col("n" + b)
+        most = F.least(n_a - F.col("pos" + a), n_b - F.col("pos" + b))
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+
+    return condition
+
+
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``class_id`` (least
     doc_id with the same set), ``component_id`` (least doc_id reachable by links), ``text_key``.
@@ -255,7 +267,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     Candidates are found in two rounds (see ``linked_within``), so that groups of copies don't become
     all their pairs: classes with the leader of each shingle they share, then what is still apart.
     Pairs with too few matches in the first round come again in the second, where all are counted. A
-    shared shingle's places in both prefixes bound the overlap. Both rounds verify the exact similarity on the texts.
+    shared shingle's places in both prefixes bound the overlap; in the second round only shingles that can
+    be a similar pair's first shared one make pairs, so that near copies below the threshold, which share
+    common shingles only, are not compared with each other. Both rounds verify the exact similarity on the texts.
 
     Texts without words (null, empty) have no shingles and no links. Repeated rows and equal texts
     are one class, also under the same doc_id. A null doc_id counts as the greatest id. An empty
@@ -281,12 +295,12 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     def links_of(pairs: DataFrame) -> DataFrame:
         # A class has one n and l; its row depends on the task that an entry came from, and any will do.
         least = [F.min(x + end).alias(x + end) for end in ("_a", "_b") for x in ("row", "n", "l", "pos")]
-        shared = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), *least)
+        shared = pairs.groupBy("a", "b").agg(F.sum("shared").alias("m"), *least)
         most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # from the first one they share
         enough = shared.where(F.col("m") >= F.least("l_a", "l_b")).where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
         return _links(checkpointed(enough.select("a", "b", "row_a", "row_b")), texts, n, percent)
 
-    links = linked_within(entries, links_of, ["row", "n", "l", "pos"], _reachable(percent))
+    links = linked_within(entries, links_of, ["row", "n", "l", "pos"], _reachable(percent), _first_shared(percent))
 
     linked = components(links).withColumnsRenamed({"node": "c", "component": "root"})
     named = classes.join(linked, "c", "left").withColumn("root", F.coalesce("root", "c"))

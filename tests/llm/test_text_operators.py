@@ -523,3 +523,39 @@ def test_pipeline(spark):
     digest = hashlib.sha256("".join(sorted(str(r["ids_crc32"]) for r in out["packing"])).encode()).hexdigest()
     ran = corpus_pipeline.run(spark, sf).collect()
     assert digest == hashlib.sha256("".join(sorted(str(r["ids_crc32"]) for r in ran)).encode()).hexdigest()
+
+
+def test_near_copies_below_the_threshold_are_not_paired_with_each_other(spark, monkeypatch):
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    rnd = random.Random(4)
+    for d in range(60):  # words of its own each: most pairs are just below the threshold
+        words = list(base)
+        for j in rnd.sample(range(150), 4):
+            words[j] = f"own{d}x{j}"
+        texts[d] = " ".join(words)
+    texts[100] = texts[7].replace("own7x", "other")
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    seen = []
+    in_order = components._in_order
+    monkeypatch.setattr(components, "_in_order", lambda pairs, *x: seen.append(pairs.count()) or in_order(pairs, *x))
+    got = jaccard.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == roots(links, sets)
+    assert seen[1] <= 2 * len(texts)
+
+
+def test_groups_of_pairs_that_meet_once_are_all_counted(spark):
+    # 2 and 12 share four groups; only the first meets the stricter condition.
+    rows = [(t, c, 100 * (c in (1, 11)), t) for t in range(4) for c in (1, 2, 11, 12)]
+    entries = spark.createDataFrame(rows, "token long, c long, weight long, pos int")
+    seen = []
+
+    def links_of(pairs):
+        found = pairs.groupBy("a", "b").agg(F.sum("shared").alias("m"), F.count("*").alias("rows")).collect()
+        seen.append({(r["a"], r["b"]): (r["m"], r["rows"]) for r in found})
+        return spark.createDataFrame([(a, b) for a, b in seen[-1] if (a < 10) == (b < 10)], "a long, b long")
+
+    first = lambda a, b: (F.col("pos" + a) == 0) & (F.col("pos" + b) == 0)
+    components.linked_within(entries, links_of, ["pos"], lambda a, b: F.lit(True), first).collect()
+    assert seen[1] and set(seen[1].values()) == {(4, 1)}
