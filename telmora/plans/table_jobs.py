@@ -301,13 +301,18 @@ def _bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
-def _only_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are not in the bucketed table at ``path``; reads only the buckets that occur in ``rows``."""
+def _stored_keys(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """Keys of the bucketed table at ``path`` in the buckets that occur in ``rows``; None if there is no table."""
     if not exists(spark, f"{path}/_SUCCESS"):
-        return rows
+        return None
     buckets = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
-    known = spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select("bucket", *keys)
-    return rows.join(known, ["bucket", *keys], "left_anti")
+    return spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select("bucket", *keys)
+
+
+def _only_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not in the bucketed table at ``path``; reads only the buckets that occur in ``rows``."""
+    known = _stored_keys(spark, rows, path, keys)
+    return rows if known is None else rows.join(known, ["bucket", *keys], "left_anti")
 
 
 def _append_buckets(rows: DataFrame, path: str, sort: Sequence[str]) -> None:
@@ -351,10 +356,12 @@ def spans_not_stored(spans: DataFrame, keys: str, arrival: str = "ingest_seq", b
     """The first arrival of each (trace_id, span_id) whose ids the table at ``keys`` lacks.
 
     ``keys`` holds the ids stored so far, cut by a hash of the trace id and sorted by it. Only its buckets with
-    traces of this batch are read, and no stored span of any day.
+    traces of this batch are read, and no stored span of any day. Whole spans are dealt out once, by both ids, and
+    written once; the buckets come from the trace ids alone.
     """
-    batch = checkpointed(_bucketed(TB.new_spans(spans, None, arrival), ["trace_id"], buckets))
-    return checkpointed(_only_new(spans.sparkSession, batch, keys, ["trace_id", "span_id"])).drop("bucket")
+    ids = ["trace_id", "span_id"]
+    known = _stored_keys(spans.sparkSession, _bucketed(spans.select("trace_id"), ["trace_id"], buckets), keys, ids)
+    return checkpointed(TB.new_spans(spans, None if known is None else known.drop("bucket"), arrival))
 
 
 def remember_spans(spans: DataFrame, keys: str, buckets: int = KEY_BUCKETS) -> None:

@@ -162,3 +162,17 @@ def test_spans_are_appended_once_over_days_and_batches(spark, tmp_path):
     TB.append_spans(spark.createDataFrame([("t4", "b", 6 * DAY, "x", 6)], schema), spans)  # a job that failed before its keys
     assert J.restore_keys(spark, spans, keys, 6 * DAY, 7 * DAY) == 1
     assert J.append_new_spans(spark.createDataFrame([("t4", "b", 6 * DAY, "x", 6)], schema), spans, keys) == 0
+
+
+def test_spans_not_stored_are_written_once(spark, tmp_path, monkeypatch):
+    schema = "trace_id string, span_id string, start_unix_nano long, name string, ingest_seq long"
+    keys, written = str(tmp_path / "keys"), []
+    checkpointed = J.checkpointed
+    monkeypatch.setattr(J, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    one = spark.createDataFrame([("t1", "a", 0, "x", 2), ("t1", "a", 0, "y", 1), (None, "b", 0, "z", 3)], schema)
+    first = J.spans_not_stored(one, keys, buckets=4)
+    assert sorted(r["name"] for r in first.collect()) == ["y", "z"] and first.columns == one.columns
+    J.remember_spans(first, keys, 4)
+    two = spark.createDataFrame([("t1", "a", DAY, "x", 4), ("t1", "c", DAY, "w", 5), (None, "b", 0, "z", 6)], schema)
+    assert sorted(r["name"] for r in J.spans_not_stored(two, keys, buckets=4).collect()) == ["w", "z"]
+    assert len(written) == 2
