@@ -153,7 +153,7 @@ class Block:
         """Hashes of the distinct words, sorted by bucket and hash; per slice the numbers and documents of its words."""
         parts = [self._slice_words(first, last) for first, last in self.slices()]
         every, _ = _total((p[0], np.zeros(len(p[0]), np.int64)) for p in parts)
-        order = np.argsort(every["h"] % np.uint64(WORD_BUCKETS), kind="stable")
+        order = np.argsort((every["h"] % np.uint64(WORD_BUCKETS)).astype(np.uint16), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         numbered = ((place[_places(every, hashes)][ids], doc) for hashes, ids, doc in parts)
@@ -168,8 +168,9 @@ class Block:
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
         coded = flat.dictionary_encode()
-        digests = [xxhash.xxh3_128_intdigest(w) for w in coded.dictionary.to_pylist()]
-        hashes = np.array([(x & (2**64 - 1), (x >> 64) & (2**32 - 1)) for x in digests], _WORD)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").reshape(-1, 2)
+        hashes = np.empty(len(digests), _WORD)
+        hashes["h"], hashes["g"] = digests[:, 1], digests[:, 0] & np.uint64(2**32 - 1)
         doc = first + np.searchsorted(self.ends[first:last] - base, starts, side="right")
         return hashes, coded.indices.to_numpy().astype(np.int32), doc.astype(np.int32)
 
@@ -182,12 +183,21 @@ def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return at
 
 
+def _sorted_words(keys: np.ndarray) -> np.ndarray:
+    """Order of words by both parts of their hash; equal words in any order."""
+    order = np.argsort(np.ascontiguousarray(keys["h"]))
+    h, g = keys["h"][order], keys["g"][order]
+    if ((h[1:] == h[:-1]) & (g[1:] != g[:-1])).any():  # equal 64 bits, other 32
+        return np.lexsort((keys["g"], keys["h"]))
+    return order
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their counts added."""
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     if not len(keys):
         return keys, counts
-    order = np.lexsort((keys["g"], keys["h"])) if keys.dtype == _WORD else np.argsort(keys, kind="stable")
+    order = _sorted_words(keys) if keys.dtype == _WORD else np.argsort(keys)
     keys, counts = keys[order], counts[order]
     new = np.ones(len(keys), bool)
     if keys.dtype == _WORD:
@@ -498,7 +508,7 @@ def _score(depth: int, n: int, v: int, end: int, names: list[str]):
             keys.append(np.cumsum(np.frombuffer(raw, np.uint64, m), dtype=np.uint64))
             logs.append(np.frombuffer(raw, "<f4", m, 8 * m))
         k, p = np.concatenate(keys), np.concatenate(logs)
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         columns = _block_scores(table, counts, k[order], p[order], depth, n, v, end)
         kept = [table.column(c).combine_chunks() for c in names]
         return pa.RecordBatch.from_arrays([*kept, *map(pa.array, columns)], [*names, "n_tokens", "n_known", "n_bytes", "base_score", "score"])

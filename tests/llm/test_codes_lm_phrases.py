@@ -263,3 +263,17 @@ def test_word_hashes_agree_with_the_functions_of_spark(spark):
     assert spark_side == words.hashes.tolist()
     assert words.piece.tolist() == [0, 0, 1]
     assert isinstance(pd.factorize(words.hashes), tuple)
+
+
+def test_words_are_sorted_by_both_parts_of_their_hash():
+    rnd = np.random.default_rng(1)
+    keys = np.zeros(400, lm._WORD)
+    keys["h"], keys["g"] = rnd.integers(0, 90, 400), rnd.integers(0, 4, 400)
+    counts = rnd.integers(0, 9, 400)
+    want = Counter()
+    for k, n in zip(keys.tolist(), counts.tolist()):
+        want[k] += n
+    found, sums = lm._summed([(keys[:150], counts[:150]), (keys[150:], counts[150:])])
+    assert dict(zip(found.tolist(), sums.tolist())) == want and found.tolist() == sorted(want)
+    alone = np.unique(keys["h"]).astype(lm._WORD)
+    assert lm._sorted_words(alone[::-1]).tolist() == list(range(len(alone)))[::-1]
