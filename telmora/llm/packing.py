@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,10 @@ END_ID = 1
 #: Words whose ids a task keeps; the store is emptied when it is full.
 WORDS_KEPT = 800_000
 
-_SPACE_ENDS = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER_ASCII = [c for c in _OTHER if c.isascii()]
+_ODD = re.compile(r"\A\s|\s\Z|[ \n]\s|\s[ \n]")
 
 
 class Encoder:
@@ -37,58 +41,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_rank = _rank_encoding(ranks) if ranks else None
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
+        self.first, self.later = _Ids(self._word, ""), _Ids(self._word, " ")
         self.newline = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _word(self, word: str) -> bytes:
         if self.by_rank is None:
-            return self._whole(words)
-        encode = self.by_rank.encode_ordinary
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(encode, words)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Words with the space before them and line breaks; None if the text must stay whole."""
-        out: list[str] = []
-        for line in text.split("\n"):
-            if not line or line[0] in _SPACE_ENDS or line[-1] in _SPACE_ENDS:
-                return None
-            if out:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            for w in rest:
-                if not w or w[0] in _SPACE_ENDS or w[-1] in _SPACE_ENDS:
-                    return None
-                out.append(" " + w)
-            if not first or first[-1] in _SPACE_ENDS:
-                return None
-        return out
+            return self._whole([word])[0]
+        ids = self.by_rank.encode_ordinary(word)
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self.known["\n"] = self.newline
-        whole, cut = {}, {}
+        if len(self.first) + len(self.later) > WORDS_KEPT:
+            self.first.clear()
+            self.later.clear()
+        whole, cut = [], {}
         for i, text in enumerate(texts):
-            pieces = None if any(s in text for s in self.specials) else self._pieces(text)
-            if pieces is None:
-                whole[i] = text
+            if any(s in text for s in self.specials) or not _single_spaced(text):
+                whole.append(i)
             else:
-                cut[i] = pieces
-        new = [w for w in set().union(*cut.values()) if w not in self.known]
-        self.known.update(zip(new, self._words(new)))
-        known = self.known
-        out = dict(zip(whole, self._whole(list(whole.values()))))
-        for i, pieces in cut.items():
-            out[i] = b"".join([known[w] for w in pieces])
+                cut[i] = [line.split(" ") for line in text.split("\n")]
+        out = dict(zip(whole, self._whole([texts[i] for i in whole])))
+        first, later = self.first.__getitem__, self.later.__getitem__
+        for i, lines in cut.items():
+            out[i] = self.newline.join([b"".join([first(words[0]), *map(later, words[1:])]) for words in lines])
         return [out[i] for i in range(len(texts))]
 
 
+class _Ids(dict):
+    """Ids of words with what comes before them, kept as they are met."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(self.before + word)
+        return ids
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether no space or line break is at an end of the text or beside other white space."""
+    if any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER)):
+        return not _ODD.search(text)
+    ends = " \n"
+    return text != "" and text[0] not in ends and text[-1] not in ends and not any(c in text for c in _DOUBLE)
+
+
 def _rank_encoding(path: str):
     import base64
 

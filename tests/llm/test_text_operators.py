@@ -559,3 +559,20 @@ def test_groups_of_pairs_that_meet_once_are_all_counted(spark):
     first = lambda a, b: (F.col("pos" + a) == 0) & (F.col("pos" + b) == 0)
     components.linked_within(entries, links_of, ["pos"], lambda a, b: F.lit(True), first).collect()
     assert seen[1] and set(seen[1].values()) == {(4, 1)}
+
+
+def test_texts_are_cut_unless_white_space_meets_and_words_encoded_once(monkeypatch):
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+    def cuttable(text):
+        lines = [line.split(" ") for line in text.split("\n")]
+        return all(w and not w[0].isspace() and not w[-1].isspace() for words in lines for w in words)
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["a", "é", " ", "\n", rnd.choice(spaces)]) for _ in range(rnd.randint(0, 8))) for _ in range(3000)]
+    assert [packing._single_spaced(t) for t in texts] == [cuttable(t) for t in texts]
+    encoder, met = packing.Encoder(*queries.tokenizer_files()), []
+    encode = encoder._word
+    encoder.first.encode = encoder.later.encode = lambda word: met.append(word) or encode(word)
+    encoder.encode(["one two two\ntwo one", "two one"])
+    assert sorted(met) == [" one", " two", "one", "two"]
