@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     for r in added.toLocalIterator():
         sketch[4 * _SLICE * r["slice"] : 4 * _SLICE * (r["slice"] + 1)] = r["counts"]
     sketch_everywhere = spark.sparkContext.broadcast(bytes(sketch))
+    del sketch
 
     every = described.where("slice is null").select("row", "key", F.col("set_hash").alias("c"), "n")
     classes = every.groupBy("c").agg(F.min("row").alias("class_id"))

@@ -144,7 +144,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.train(*toxicity.sample(docs, _table(spark, sf_dir, "labels")))
+    chain = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, chain).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -330,12 +331,8 @@ def _runs(text: str, bad: np.ndarray) -> list[dict]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of the training sample; held-out ids are not in it.
-
-    Null labels and ids don't count, a document with several labels is toxic if one says so, and of
-    several texts of an id the greatest counts. No usable label gives an empty sample.
-    """
+def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """``__id``, ``toxic`` and ``text`` of the training sample, a row for each id; None if it is empty."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     drawn = one.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
@@ -347,13 +344,43 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
             left -= r["n"]
             ids.append((r["__id"],))
     if not ids:
-        return [], []
+        return None
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "chosen long"))
     chosen = met.join(few, F.col("__id") == F.col("chosen")).groupBy("__id")
-    rows = chosen.agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).toArrow().sort_by("__id")
+    return chosen.agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+
+
+def _texts_and_labels(rows: pa.Table) -> tuple[list[str], list[int]]:
+    rows = rows.sort_by("__id")
     return [t or "" for t in rows["text"].to_pylist()], [int(x > 0) for x in rows["toxic"].to_pylist()]
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+    """Texts and labels of the training sample; held-out ids are not in it.
+
+    Null labels and ids don't count, a document with several labels is toxic if one says so, and of
+    several texts of an id the greatest counts. No usable label gives an empty sample.
+    """
+    rows = _sampled(docs, labels)
+    return ([], []) if rows is None else _texts_and_labels(rows.toArrow())
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Chain:
+    """``train`` on ``sample``, in one task: the sample has a fixed size, and the driver gets the learnt weights only."""
+    rows = _sampled(docs, labels)
+    if rows is None:
+        return train([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            chain = train(*_texts_and_labels(pa.Table.from_batches(held)))
+            learnt = pickle.dumps((chain.weights, chain.bias, chain.trans, chain.document))
+            yield pa.RecordBatch.from_arrays([pa.array([learnt], pa.binary())], ["chain"])
+
+    return Chain(*pickle.loads(rows.coalesce(1).mapInArrow(run, "chain binary").first()["chain"]))
+
+
 def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``toxic_spans`` (character offsets of toxic words).
 

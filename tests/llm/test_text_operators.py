@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -576,3 +577,16 @@ def test_texts_are_cut_unless_white_space_meets_and_words_encoded_once(monkeypat
     encoder.first.encode = encoder.later.encode = lambda word: met.append(word) or encode(word)
     encoder.encode(["one two two\ntwo one", "two one"])
     assert sorted(met) == [" one", " two", "one", "two"]
+
+
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    want = toxicity.train(*toxicity.sample(docs, marks))
+    got = toxicity.learn(docs, marks)
+    assert got.weights == want.weights and got.bias == want.bias
+    assert np.array_equal(got.trans, want.trans) and np.array_equal(got.document, want.document)
+    assert toxicity.learn(docs, marks.where("false")).weights == {}
+    here = os.getpid()
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: toxicity.Chain({}, float(os.getpid() != here), want.trans, want.document))
+    assert toxicity.learn(docs, marks).bias == 1.0
