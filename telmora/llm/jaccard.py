@@ -44,6 +44,15 @@ class _Words(dict):
         return h
 
 
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` word hashes."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(h) - k + 1, np.uint64(k))
+        for i in range(k):
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+    return out
+
+
 def shingles(text: str | None, n: int, words: _Words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``n``-word shingles (A-Z lower-cased, ASCII white space
     between words); fewer words make one shingle, none an empty set."""
@@ -51,12 +60,7 @@ def shingles(text: str | None, n: int, words: _Words) -> np.ndarray:
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    k = min(n, len(h))
-    with np.errstate(over="ignore"):
-        out = np.full(len(h) - k + 1, np.uint64(k))
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return np.unique(windows(h, min(n, len(h))))
 
 
 def set_hash(s: np.ndarray) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telmora.llm.common import checkpointed, row_key
+from telmora.llm.common import checkpointed, partitions, row_key
 from telmora.llm.components import components, linked_within
-from telmora.llm.jaccard import N, PERCENT, _mix, _Words, set_hash, shingles
+from telmora.llm.jaccard import N, PERCENT, _mix, _Words, set_hash, shingles, windows
 
 #: Lines, and blocks of lines between blank ones, of at least so many words are paragraphs.
 LEAST_WORDS = 5
@@ -24,8 +23,8 @@ RUN_WORDS = 16
 HASHES = 84
 RECALL = 0.995
 FILTER = 1 << 20
-
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Text that is read together, a longer one alone.
+BLOCK_BYTES = 2 << 20
 
 
 def tune(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -39,98 +38,204 @@ def tune(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tupl
     return hashes, 1
 
 
-def _ordered_hashes(h: np.ndarray, cuts: np.ndarray) -> list[int]:
-    """Signed hashes of the sequences of word hashes between cuts."""
+def _ordered_hashes(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of word hashes between cuts."""
     starts = cuts[:-1]
     place = np.arange(len(h)) - np.repeat(starts, np.diff(cuts)) + 1
     with np.errstate(over="ignore"):
         x = _mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return np.add.reduceat(x, starts).view(np.int64).tolist()
+        return np.add.reduceat(x, starts)
 
 
-def _cuts(h: np.ndarray, least: int) -> np.ndarray:
-    """Cuts before words whose hash, with the next word's, is least in its neighbourhood; they depend
-    on nearby words only, so equal passages are cut alike wherever they stand."""
-    if len(h) < 2 * least + 2:
-        return np.array([0, len(h)])
+def _cuts(h: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Ends of documents, and cuts before words whose hash, with the next word's, is least in its
+    neighbourhood; they depend on nearby words only, so equal passages are cut alike wherever they stand.
+    ``doc`` numbers the documents of the words; a short one is not cut."""
+    ends = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+    within = np.flatnonzero(doc[1:] == doc[:-1])
     with np.errstate(over="ignore"):
-        x = _mix(h[:-1] * np.uint64(3) + h[1:])
-    low = np.ones(len(x), bool)
+        x = _mix(h[within] * np.uint64(3) + h[within + 1])
+    of = doc[within]
+    low = np.bincount(doc)[of] >= 2 * least + 2
     for d in range(1, least + 1):
-        low[d:] &= x[d:] < x[:-d]
-        low[:-d] &= x[:-d] < x[d:]
-    return np.concatenate([[0], np.flatnonzero(low) + 1, [len(h)]])
+        apart = of[d:] != of[:-d]
+        low[d:] &= (x[d:] < x[:-d]) | apart
+        low[:-d] &= (x[:-d] < x[d:]) | apart
+    return np.sort(np.concatenate([[0], within[low] + 1, ends, [len(h)]]))
+
+
+class _Block:
+    """Documents that are read together: places and hashes of their words, and their lines and blocks of lines."""
+
+    def __init__(self, raws: list[bytes], words: _Words):
+        whole = b"\n".join(raws)  # so no line goes on in the next document
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        self.begins = np.cumsum(sizes + 1) - sizes - 1
+        raw = np.frombuffer(whole, np.uint8)
+        space = np.concatenate([[True], (raw == 32) | (raw - np.uint8(9) < 5), [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.h = np.fromiter(map(words.__getitem__, whole.split()), np.uint64, len(self.starts))
+        self.doc = np.searchsorted(self.begins, self.starts, "right") - 1
+        line = np.searchsorted(np.flatnonzero(raw == 10), self.starts)
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        lines = np.stack([first, np.append(first[1:], len(line))], 1)
+        go_on = (line[first[1:]] == line[first[:-1]] + 1) & (self.doc[first[1:]] == self.doc[first[:-1]])
+        at = np.flatnonzero(np.concatenate([[True], ~go_on]))
+        to = np.append(at[1:], len(first))
+        blocks = np.stack([first[at], lines[to - 1, 1]], 1)[to - at > 1]  # a single line is there already
+        #: Words (from, to) of the units in order, without those that are too short; none overlap in one of the two.
+        self.units = [u[u[:, 1] - u[:, 0] >= LEAST_WORDS] for u in (lines, blocks)]
+
+    def sets(self, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For lines and blocks: the units, hashes of shingles one after another, where each unit's begin and end
+        there, and the units' sets of shingles, sorted."""
+        out = []
+        shingle = windows(self.h, n) if len(self.h) >= n else np.empty(0, np.uint64)
+        for u in self.units:
+            values, spans = shingle, np.stack([u[:, 0], u[:, 1] - n + 1], 1)
+            if (few := u[:, 1] - u[:, 0] < n).any():  # all words of such a unit are its one shingle
+                at = len(values) + np.arange(few.sum())
+                values = np.concatenate([values, *(windows(self.h[a:b], b - a) for a, b in u[few].tolist())])
+                spans[few] = np.stack([at, at + 1], 1)
+            sets = []
+            for a, b in spans.tolist():
+                s = np.sort(values[a:b])
+                new = s[1:] != s[:-1]
+                sets.append(s if new.all() else s[np.concatenate([[True], new])])
+            out.append((u, values, spans, sets))
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, _Block]]:
+    """Rows and keys of documents, and what they hold."""
+    words = _Words()
+    for batch in batches:
+        rows, keys = (batch.column(x).to_numpy() for x in ("row", "key"))
+        at, held, raws = 0, 0, []
+        texts = batch.column("text")
+        for i in range(len(texts)):
+            raws.append((texts[i].as_py() or "").encode("utf-8", "surrogatepass").lower())
+            held += len(raws[-1])
+            if held > BLOCK_BYTES or i == len(texts) - 1:
+                if len(words) > 500_000:
+                    words.clear()
+                block = _Block(raws, words)
+                if len(block.h):
+                    yield rows[at : i + 1], keys[at : i + 1], block
+                at, held, raws = i + 1, 0, []
+
+
+_SPOT = pa.schema([(x, pa.int64()) for x in ("c", "row", "key")] + [(x, pa.int32()) for x in ("w0", "w1", "b0", "b1")])
+
+
+def _spots(n: int):
+    """Lines and blocks of lines, and pieces of the finer division, as packed tables of many documents. Offsets are
+    words and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, keys, block in _blocks(batches):
+            def packed(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+                doc = block.doc[a]
+                word, byte = np.searchsorted(block.doc, doc), block.begins[doc]  # the document's first
+                offsets = (a - word, b - word, block.starts[a] - byte, block.ends[b - 1] - byte)
+                table = pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), rows[doc], keys[doc])] + [pa.array(x.astype(np.int32)) for x in offsets], schema=_SPOT)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _SPOT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(table)
+                return sink.getvalue().to_pybytes()
+
+            cuts = _cuts(block.h, block.doc, PIECE_WORDS)
+            pieces = packed(_ordered_hashes(block.h, cuts), cuts[:-1], cuts[1:])
+            found = block.sets(n)
+            u = np.concatenate([x[0] for x in found])
+            c = np.array([set_hash(s) for x in found for s in x[3]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([True, False]), pa.array([pieces, packed(c, u[:, 0], u[:, 1])], pa.binary())], ["fine", "packed"])
 
+    return run
 
-_PARAGRAPH = "row long, key long, c long, fine boolean, w0 int, w1 int, b0 int, b1 int, bands array<long>"
 
+def _unpacked(found: DataFrame, fine: bool, columns: list[str]) -> DataFrame:
+    """Columns of the spots."""
 
-def _paragraphs(n: int, bands: int, rows: int):
-    """Lines and blocks of lines with band keys, and pieces of the finer division. Offsets are words and bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("packed"):
+                for table in pa.ipc.open_stream(data.as_buffer()):
+                    yield table.select(columns)
+
+    kinds = ", ".join(f"{x} {'int' if pa.types.is_int32(_SPOT.field(x).type) else 'long'}" for x in columns)
+    return found.where("fine" if fine else "not fine").select("packed").mapInArrow(run, kinds)
+
+
+def _bands(n: int, bands: int, rows: int):
+    """(token, c): the band keys of the lines and blocks, a class once in each task."""
     # Shingle hashes are mixed already, so an odd factor and a shift of the origin permute them well enough.
     numbers = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)
-    factors, origins = _mix(numbers * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1, 1)
+    factors, origins = _mix(numbers * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1)
     factors = factors | np.uint64(1)
-    weights = factors[:rows, 0]
 
-    def signature(s: np.ndarray) -> list[int]:
+    def signatures(values: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Band keys, a row for each span (they don't overlap and are in order)."""
+        keys = np.zeros((len(spans), bands), np.uint64)
+        flat = spans.ravel()
+        values = np.append(values, np.uint64(0))  # a last end is a place too
         with np.errstate(over="ignore"):
-            least = np.min(s[None, :] * factors + origins, axis=1).reshape(bands, rows)
-            keys = _mix((least * weights).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-        return keys.view(np.int64).tolist()
+            for i in range(bands):
+                for j in range(rows):
+                    least = np.minimum.reduceat(values * factors[i * rows + j] + origins[i * rows + j], flat)[::2]
+                    keys[:, i] += least * factors[j]
+                keys[:, i] = _mix(keys[:, i] + np.uint64(i))
+        return keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        names = [c.split()[0] for c in _PARAGRAPH.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-        for batch in batches:
-            if len(words) > 500_000:
-                words.clear()
-            out: list[tuple] = []
-            for row, key, text in zip(*[batch.column(x).to_pylist() for x in ("row", "key", "text")]):
-                raw = (text or "").encode("utf-8", "surrogatepass").lower()
-                spots = [m.span() for m in _WORD.finditer(raw)]
-                if not spots:
+        seen: set[int] = set()
+        for _, _, block in _blocks(batches):
+            for _, values, spans, sets in block.sets(n):
+                c = np.array([set_hash(s) for s in sets], np.int64)
+                new = np.zeros(len(c), bool)
+                for i, x in enumerate(c.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new[i] = True
+                if not new.any():
                     continue
-                h = np.fromiter((words[raw[a:b]] for a, b in spots), np.uint64, len(spots))
-                cuts = _cuts(h, PIECE_WORDS)
-                for c, a, b in zip(_ordered_hashes(h, cuts), cuts[:-1].tolist(), cuts[1:].tolist()):
-                    out.append((row, key, c, True, a, b, spots[a][0], spots[b - 1][1], None))
-                at = start = block = lines = 0
-                units = []
-                for line in [*raw.split(b"\n"), b""]:
-                    k = at
-                    while k < len(spots) and spots[k][0] < start + len(line):
-                        k += 1
-                    if k > at:
-                        block, lines = (block, lines + 1) if lines else (at, 1)
-                        units.append((at, k))
-                    else:
-                        if lines > 1:  # a single line is there already
-                            units.append((block, at))
-                        lines = 0
-                    at, start = k, start + len(line) + 1
-                for a, b in units:
-                    if b - a >= LEAST_WORDS:
-                        s = shingles(raw[spots[a][0] : spots[b - 1][1]].decode("utf-8", "surrogatepass"), n, words)
-                        out.append((row, key, set_hash(s), False, a, b, spots[a][0], spots[b - 1][1], signature(s)))
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                spans = spans[new]
+                spans = spans[order := np.argsort(spans[:, 0])]
+                tokens = signatures(values, spans).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel()), pa.array(np.repeat(c[new][order], bands))], ["token", "c"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of tokens that two classes or more share, once each, with the number of these classes."""
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    if not tables:
+        return
+    token, c = (pa.concat_tables(tables).column(x).to_numpy() for x in ("token", "c"))
+    order = np.lexsort((c, token))
+    token, c = token[order], c[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (c[1:] != c[:-1])])
+    token, c = token[new], c[new]
+    group = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+    m = np.bincount(group)[group]
+    t = pa.Table.from_arrays([pa.array(x[m > 1]) for x in (token, c, m)], ["token", "c", "m"])
+    yield from t.to_batches(max_chunksize=50_000)
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             words.clear()
+            sets: dict[int, np.ndarray] = {}
             a, b = [], []
             for ca, cb, ta, tb in zip(*[batch.column(x).to_pylist() for x in ("a", "b", "text_a", "text_b")]):
-                sa, sb = shingles(ta, n, words), shingles(tb, n, words)
+                for c, text in ((ca, ta), (cb, tb)):
+                    if c not in sets:
+                        sets[c] = shingles(text, n, words)
+                sa, sb = sets[ca], sets[cb]
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 if 100 * both >= percent * (len(sa) + len(sb) - both):
                     a.append(ca)
@@ -140,15 +245,24 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _bucket(x: str) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(FILTER)).alias("bucket")
+
+
+def _among(df: DataFrame, x: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``x`` may be among those of ``wanted``; its buckets (at most FILTER rows) go to every task."""
+    few = df.withColumn("bucket", _bucket(x)).join(F.broadcast(wanted.select(_bucket(x)).distinct()), "bucket", "left_semi")
+    return few.drop("bucket")
+
+
 def _texts_of(classes: DataFrame, where: DataFrame, texts: DataFrame) -> DataFrame:
     """(c, text) of classes (c), cut from the document of their first occurrence."""
-    spots = checkpointed(where.join(classes, "c", "left_semi"))
-    bucket = F.pmod(F.xxhash64("row"), F.lit(FILTER))
-    wanted = spots.select(bucket.alias("bucket")).distinct()  # at most FILTER rows
-    few = texts.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    wanted = checkpointed(classes)
+    places = _among(where, "c", wanted).join(wanted, "c", "left_semi").groupBy("c")
+    spots = checkpointed(places.agg(F.min(F.struct("row", "key", "b0", "b1")).alias("at")).select("c", "at.*"))
     cut = F.substring(F.col("text").cast("binary"), F.col("b0") + 1, F.col("b1") - F.col("b0")).cast("string")
-    found = few.join(spots, ["row", "key"]).select("c", cut.alias("text"))
-    return checkpointed(found.dropDuplicates(["c"]))
+    once = _among(texts, "row", spots).dropDuplicates(["row", "key"])
+    return checkpointed(once.join(spots, ["row", "key"]).select("c", cut.alias("text")))
 
 
 def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -173,18 +287,13 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     bands, rows = tune(percent / 100)
     none = F.lit(2**63 - 1)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("row"), row_key().alias("key"), "text")
-    found = checkpointed(texts.mapInArrow(_paragraphs(n, bands, rows), _PARAGRAPH))
-    place = F.struct("row", "key", "b0", "b1")
-    classes = checkpointed(found.groupBy("c", "fine").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("at"), F.first("bands").alias("bands")))
-
-    lines = classes.where("not fine")
-    banded = checkpointed(lines.select("c", F.explode("bands").alias("token")))
-    sizes = banded.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = checkpointed(banded.join(checkpointed(sizes), "token"))
+    found = checkpointed(texts.mapInArrow(_spots(n), "fine boolean, packed binary"))
+    tokens = texts.mapInArrow(_bands(n, bands, rows), "token long, c long").repartition(partitions(docs.sparkSession), "token")
+    shared = checkpointed(tokens.mapInArrow(_shared, "token long, c long, m long"))
     # The text from which copies were made collides with most of them.
     weights = checkpointed(shared.groupBy("c").agg(F.sum("m").alias("weight")))
     entries = checkpointed(shared.drop("m").join(weights, "c"))
-    where = lines.select("c", "at.*")
+    where = _unpacked(found, False, ["c", "row", "key", "b0", "b1"])
 
     def links_of(pairs: DataFrame) -> DataFrame:
         once = checkpointed(pairs.select("a", "b").distinct())
@@ -195,11 +304,22 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
 
     anything = lambda a, b: F.lit(True)
     placed = components(linked_within(entries, links_of, [], anything)).withColumnRenamed("node", "c")
-    rooted = classes.join(placed.withColumn("fine", F.lit(False)), ["c", "fine"], "left")
-    rooted = checkpointed(rooted.select("c", "fine", "low", "high", F.coalesce("component", "c").alias("root")))
-    owners = rooted.groupBy("root", "fine").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
-    doomed = checkpointed(rooted.join(checkpointed(owners), ["root", "fine"]).select("c", "fine", "keep"))
-    lost = found.drop("bands").join(doomed, ["c", "fine"]).where("row <> keep")
+
+    def classes(fine: bool) -> DataFrame:
+        return _unpacked(found, fine, ["c", "row"]).groupBy("c").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+
+    # A class that is in one document and has no links loses nothing.
+    rooted = classes(False).join(placed, "c", "left").where("component is not null or low <> high")
+    rooted = checkpointed(rooted.select("c", "low", "high", F.coalesce("component", "c").alias("root")))
+    owners = rooted.groupBy("root").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
+    doomed = {False: rooted.join(checkpointed(owners), "root").select("c", "keep"), True: classes(True).where("low <> high").select("c", F.col("low").alias("keep"))}
+
+    def lost_of(fine: bool) -> DataFrame:
+        gone = checkpointed(doomed[fine])
+        spots = _among(_unpacked(found, fine, _SPOT.names), "c", gone)
+        return spots.join(gone, "c").where("row <> keep").withColumn("fine", F.lit(fine))
+
+    lost = lost_of(False).unionByName(lost_of(True))
     per_doc = lost.groupBy("row", "key").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "b0", "b1", "keep", (~F.col("fine")).alias("whole")))).alias("all"))
     run = F.explode(_joined(F.col("all")))
     runs = per_doc.select("row", "key", run.alias("r")).where((F.col("r.w1") - F.col("r.w0") >= RUN_WORDS) | F.col("r.whole"))

@@ -352,6 +352,58 @@ def test_short_lines_and_wrapped_paragraphs(spark):
     assert got == {i: t.split() for i, t in enumerate(want)}
 
 
+def test_paragraphs_write_blocks_of_spots_and_shared_bands_only(spark, monkeypatch):
+    rnd, written = random.Random(31), []
+
+    def spy(df, inner=paragraphs.checkpointed):
+        out = inner(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paragraphs, "checkpointed", spy)
+    line = lambda: " ".join(f"v{rnd.randint(0, 10**9)}" for _ in range(12))
+    again = line()
+    texts = ["\n".join([line() for _ in range(6)] + [again] * (i < 2)) for i in range(40)]
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["keep_doc_id"], r["n_words"]) for r in found] == [(1, 0, 12)]
+    assert sum(written) < 6 * 40
+
+
+def test_blocks_of_documents_have_the_lines_and_pieces_of_each():
+    rnd = random.Random(32)
+    parts = ["w", "x ", "yy y ", "\n", "\n\n", " \n", "\r", "\x0b", "\x1c", "é ", "z z z z z z z z "]
+    raws = ["".join(rnd.choices(parts, k=rnd.randint(0, 40))).encode() for _ in range(300)]
+    block = paragraphs._Block(raws, paragraphs._Words())
+    want: list[list] = [[], []]
+    at = 0
+    for raw in raws:
+        counts = [len(x.split()) for x in raw.split(b"\n")]
+        begin, run = at, 0
+        for k in [*counts, 0]:
+            if k:
+                want[0].append([at, at + k])
+                begin, run = (begin, run + 1) if run else (at, 1)
+            else:
+                if run > 1:
+                    want[1].append([begin, at])
+                run = 0
+            at += k
+    assert [u.tolist() for u in block.units] == [[x for x in w if x[1] - x[0] >= paragraphs.LEAST_WORDS] for w in want]
+    words = [w for raw in raws for w in raw.split()]
+    starts, ends = block.starts - block.begins[block.doc], block.ends - block.begins[block.doc]
+    assert [raws[d][a:b] for d, a, b in zip(block.doc, starts, ends)] == words
+    cuts = set(paragraphs._cuts(block.h, block.doc, 3).tolist())
+    alone, at = {0}, 0
+    for raw in raws:
+        if raw.split():
+            one = paragraphs._Block([raw], paragraphs._Words())
+            alone |= {at + x for x in paragraphs._cuts(one.h, one.doc, 3).tolist()}
+            at += len(one.h)
+    assert cuts == alone and len(cuts) > 300
+    for u, _, _, sets in block.sets(7):
+        assert [set(s.tolist()) for s in sets] == [set(jaccard.shingles(b" ".join(words[a:b]).decode(), 7, paragraphs._Words()).tolist()) for a, b in u.tolist()]
+
+
 def test_bands_find_pairs_at_the_threshold():
     bands, k = paragraphs.tune(0.8)
     assert 1 - (1 - 0.8**k) ** bands >= paragraphs.RECALL and bands * k <= paragraphs.HASHES
