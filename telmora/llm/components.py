@@ -21,15 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v and a is not null and b is not null")
     stars = checkpointed(pairs.distinct())
-    last = _mark(stars)
-    while last[0]:
+    while not _settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hung = checkpointed(_hang(both, stars, upward=True))
         stars = checkpointed(_hang(hung, hung, upward=False))
-        now = _mark(stars)
-        if now == last:
-            break
-        last = now
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(roots)
@@ -46,8 +41,13 @@ def _hang(neighbours: DataFrame, edges: DataFrame, upward: bool) -> DataFrame:
     return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u > v) are stars around their least nodes: no node hangs on two others, and none
+    on which others hang hangs itself."""
+    upper = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    lower = edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    nodes = upper.unionByName(lower).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where("hangs + holds > 1").isEmpty()
 
 
 def linked_within(

@@ -19,6 +19,8 @@ PERCENT = 80
 #: Slots of the count sketch that orders shingles; its size is fixed, so it may go to every task.
 SLOTS = 1 << 22
 _SLICE = 1 << 16
+#: Slices that one job sends to the driver.
+_SLICES_AT_ONCE = 8
 #: Longest prefix extension that the cost estimate considers.
 MATCHES = 6
 #: Cost of verifying a candidate, in posting entries read.
@@ -122,10 +124,18 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, data in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
             sums[i] = sums.get(i, np.zeros(_SLICE, np.uint64)) + np.frombuffer(data, "<u4")
     for i, x in sums.items():
-        packed = np.minimum(x, 2**32 - 1).astype("<u4").tobytes()
+        packed = pa.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
 
 
+def _sketch(slices: list[tuple[int, bytes]]) -> np.ndarray:
+    """The count sketch from its packed slices."""
+    counts = np.zeros(SLOTS, "<u4")
+    for i, packed in slices:
+        counts[i * _SLICE : (i + 1) * _SLICE] = np.frombuffer(pa.decompress(packed, 4 * _SLICE, codec="zstd"), "<u4")
+    return counts
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of ``n`` with any set similar to it."""
     return -(-n * percent // 100)
@@ -154,7 +164,7 @@ def _postings(n: int, percent: int, sketch):
     each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.frombuffer(sketch.value, "<u4"), set()
+        counts, seen = _sketch(sketch.value), set()
         parts: list[tuple] = []
         held = 0
 
@@ -284,12 +294,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     texts = docs.select(own.alias("row"), row_key().alias("key"), "text")
     described = checkpointed(texts.mapInArrow(_describe(n), "row long, key long, set_hash long, n long, slice int, counts binary"))
     slices = described.where("slice is not null").select("slice", "counts")
-    added = slices.repartitionById(SLOTS // _SLICE, F.col("slice")).mapInArrow(_add_slices, "slice int, counts binary")
-    sketch = bytearray(4 * SLOTS)  # SLOTS counts, whatever the input
-    for r in added.toLocalIterator():
-        sketch[4 * _SLICE * r["slice"] : 4 * _SLICE * (r["slice"] + 1)] = r["counts"]
-    sketch_everywhere = spark.sparkContext.broadcast(bytes(sketch))
-    del sketch
+    added = slices.repartitionById(SLOTS // _SLICE // _SLICES_AT_ONCE, F.expr(f"slice div {_SLICES_AT_ONCE}").cast("int")).mapInArrow(_add_slices, "slice int, counts binary")
+    # At most SLOTS counts, whatever the input; the driver passes them on as the tasks packed them.
+    sketch_everywhere = spark.sparkContext.broadcast([(r["slice"], bytes(r["counts"])) for r in added.toLocalIterator()])
 
     every = described.where("slice is null").select("row", "key", F.col("set_hash").alias("c"), "n")
     classes = every.groupBy("c").agg(F.min("row").alias("class_id"))

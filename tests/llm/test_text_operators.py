@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import pickle
 import random
 import re
 import zlib
@@ -352,6 +353,32 @@ def test_short_lines_and_wrapped_paragraphs(spark):
     assert got == {i: t.split() for i, t in enumerate(want)}
 
 
+def test_settled_stars_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "checkpointed", lambda df, inner=components.checkpointed: written.append(1) or inner(df))
+    stars = spark.createDataFrame([(1, 5), (7, 1), (2, 9), (5, 1)], "a long, b long")
+    assert {tuple(r) for r in components.components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (2, 2), (9, 2)}
+    assert len(written) == 1
+
+
+def test_the_driver_passes_on_a_packed_sketch(spark, monkeypatch):
+    sent = []
+
+    def spy(sc, value, inner=type(spark.sparkContext).broadcast):
+        sent.append((len(pickle.dumps(value)), value))
+        return inner(sc, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", spy)
+    texts = ["a b c d e f", "a b c d e f g", "x y"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_shingles"] for r in jaccard.near_duplicates(docs).collect()} == {0: 2, 1: 3, 2: 1}
+    assert 0 < sum(size for size, _ in sent) < 1_000_000
+    counts = np.zeros(jaccard.SLOTS, np.int64)
+    for t in texts:
+        np.add.at(counts, jaccard._slots(jaccard.shingles(t, 5, jaccard._Words())), 1)
+    assert (jaccard._sketch(sent[0][1]) == counts).all()
+
+
 def test_paragraphs_write_blocks_of_spots_and_shared_bands_only(spark, monkeypatch):
     rnd, written = random.Random(31), []
 
