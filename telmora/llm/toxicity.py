@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,11 @@ UNLEARNT = 0.1
 #: A feature is kept if so many sampled documents hold it; the most frequent ones up to the bound.
 LEAST_DOCS = 3
 MAX_FEATURES = 200_000
+#: Slots that bound features' numbers of documents from above before any feature is named.
+SLOTS = 1 << 22
+#: Words whose emissions a scorer keeps, and characters of text that it scores together.
+KNOWN_WORDS = 200_000
+SCORED_CHARS = 1_000_000
 #: A word of a toxic document is labelled toxic if one of its features is in so many toxic documents
 #: and e^LOG_ODDS times likelier there than elsewhere.
 TOXIC_DOCS = 5
@@ -130,7 +135,7 @@ class Words:
     ends: np.ndarray
 
     @classmethod
-    def of(cls, texts: Sequence[str]) -> Words:
+    def of(cls, texts: Iterable[str]) -> Words:
         number: dict[str, int] = {}
         tokens = array("i")
         ends = array("q")
@@ -160,11 +165,18 @@ class FeatureLists:
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, kinds: list[str]) -> FeatureLists:
+    def of(cls, kinds: list[str], docs: np.ndarray) -> FeatureLists:
+        """``docs``: how many documents hold each kind. Only features that ``LEAST_DOCS`` documents may hold are
+        named, as most features are rarer and their names would take most of the memory."""
+        most, mask = array("i", bytes(4 * SLOTS)), SLOTS - 1
+        for w, held in zip(kinds, docs.tolist()):
+            if held:
+                for f in features(w):
+                    most[hash(f) & mask] += held
         number: dict[str, int] = {}
         flat, sizes = array("i"), array("i")
         for w in kinds:
-            own = features(w)
+            own = [f for f in features(w) if most[hash(f) & mask] >= LEAST_DOCS]
             flat.extend([number.setdefault(f, len(number)) for f in own])
             sizes.append(len(own))
         return cls(list(number), np.array(flat, np.int32), np.array(sizes, np.int64))
@@ -185,8 +197,9 @@ class FeatureLists:
         return FeatureLists([self.names[i] for i in chosen], new[self.flat][kept], sizes)
 
 
-def train(texts: Sequence[str], labels: Sequence[int]) -> Chain:
+def train(texts: Iterable[str], labels: Sequence[int]) -> Chain:
     """Learn from documents: two thirds give word labels and the chain, the rest the document score.
+    Texts are read once and not kept.
 
     Words are labelled through their documents: in a toxic one, a word with a feature that is far
     likelier in toxic documents is toxic, all other words are not. Without documents of both labels
@@ -197,10 +210,14 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> Chain:
     if not 0 < y.sum() < len(y):
         return Chain({}, -30.0, np.zeros((2, 2)), np.array([np.log(UNLEARNT / (1 - UNLEARNT)), 0, 0, 0, 0, 0]))
     words = Words.of(texts)
-    docs = np.arange(len(texts))
+    docs = np.arange(len(y))
     both = min(y.sum(), (1 - y).sum()) >= 6
     fit, score = (docs[docs % 3 != 0], docs[docs % 3 == 0]) if both else (docs, docs)
-    lists = FeatureLists.of(words.kinds)
+    held = np.zeros(len(words.kinds), np.int64)
+    for i in fit:
+        held[np.unique(words.document(i))] += 1
+    lists = FeatureLists.of(words.kinds, held)
+    words.kinds.clear()
     every, toxic = np.zeros(len(lists.names), np.int64), np.zeros(len(lists.names), np.int64)
     for i in fit:
         own = lists.of_kinds(np.unique(words.document(i)))
@@ -211,8 +228,7 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> Chain:
     clean = every - toxic
     odds = np.log((toxic + 0.1) / (n_toxic + 0.2)) - np.log((clean + 0.1) / (len(fit) - n_toxic + 0.2))
     telling = (toxic >= TOXIC_DOCS) & (odds >= LOG_ODDS)
-    owner = np.repeat(np.arange(len(words.kinds)), lists.sizes)
-    marked = np.bincount(owner, telling[lists.flat], len(words.kinds)) > 0
+    marked = _by_kind(lists, telling) > 0
     chosen = np.argsort(-every, kind="stable")[:MAX_FEATURES]
     lists = lists.only(chosen[every[chosen] >= LEAST_DOCS])
     weights, bias, trans = _fit(lists, words, fit, y, marked)
@@ -292,7 +308,7 @@ class Scorer:
     def words(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each word, and the documents' numbers of words."""
         known, weights, bias = self.known, self.chain.weights, self.chain.bias
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for w in set().union(*docs):
             if w not in known:
@@ -350,9 +366,11 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     return chosen.agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
 
-def _texts_and_labels(rows: pa.Table) -> tuple[list[str], list[int]]:
-    rows = rows.sort_by("__id")
-    return [t or "" for t in rows["text"].to_pylist()], [int(x > 0) for x in rows["toxic"].to_pylist()]
+def _texts_and_labels(rows: pa.Table) -> tuple[Iterator[str], list[int]]:
+    """By ids; the texts one after another."""
+    order = np.argsort(rows["__id"].to_numpy())
+    labels = [int(x > 0) for x in rows["toxic"].take(order).to_pylist()]
+    return (text.as_py() or "" for text in map(rows["text"].__getitem__, order.tolist())), labels
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
@@ -362,7 +380,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     several texts of an id the greatest counts. No usable label gives an empty sample.
     """
     rows = _sampled(docs, labels)
-    return ([], []) if rows is None else _texts_and_labels(rows.toArrow())
+    if rows is None:
+        return [], []
+    texts, toxic = _texts_and_labels(rows.toArrow())
+    return list(texts), toxic
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Chain:
@@ -374,7 +395,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            chain = train(*_texts_and_labels(pa.Table.from_batches(held)))
+            texts, toxic = _texts_and_labels(pa.Table.from_batches(held))
+            held.clear()
+            chain = train(texts, toxic)
             learnt = pickle.dumps((chain.weights, chain.bias, chain.trans, chain.document))
             yield pa.RecordBatch.from_arrays([pa.array([learnt], pa.binary())], ["chain"])
 
@@ -401,7 +424,7 @@ def score_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
             for t in texts:
                 part.append(t)
                 size += len(t)
-                if size > 4_000_000:
+                if size > SCORED_CHARS:
                     s, x = scorer.score(part)
                     scores, spans, part, size = [*scores, *s.tolist()], [*spans, *x], [], 0
             if part:

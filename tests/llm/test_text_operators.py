@@ -669,3 +669,17 @@ def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
     here = os.getpid()
     monkeypatch.setattr(toxicity, "train", lambda texts, labels: toxicity.Chain({}, float(os.getpid() != here), want.trans, want.document))
     assert toxicity.learn(docs, marks).bias == 1.0
+
+
+def test_toxicity_names_only_features_that_may_be_kept(monkeypatch):
+    rnd, named = random.Random(41), []
+    only = toxicity.FeatureLists.only
+    monkeypatch.setattr(toxicity.FeatureLists, "only", lambda self, chosen: named.append(len(self.names)) or only(self, chosen))
+    word = lambda toxic: rnd.choice(["vile", "nasty"] if toxic else ["kind", "plain", "quiet"])
+    labels = [i % 3 % 2 for i in range(60)]
+    texts = [" ".join(word(y) if k % 2 else f"w{rnd.randint(0, 10**9)}" for k in range(40)) for y in labels]
+    few = toxicity.train(iter(texts), labels)
+    monkeypatch.setattr(toxicity, "SLOTS", 1)  # every feature may be kept
+    every = toxicity.train(texts, labels)
+    assert few.weights == every.weights and few.bias == every.bias and np.array_equal(few.document, every.document)
+    assert named[0] < named[1] / 2
