@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,24 @@ def _settled(edges: DataFrame) -> bool:
     return nodes.where("hangs + holds > 1").isEmpty()
 
 
+@dataclass
+class Bounds:
+    """What tells dissimilar rows apart before they are paired across components: ``of`` gives ``columns`` of
+    classes (c), a row for each, and ``maybe`` a condition on them (by endings) and the group's token that every similar
+    pair meets in one of its groups at least."""
+
+    columns: list[str]
+    of: Callable[[DataFrame], DataFrame]
+    maybe: Callable[[str, str, Column], Column]
+
+
 def linked_within(
     entries: DataFrame,
     links_of: Callable[[DataFrame], DataFrame],
     extra: list[str],
     compatible: Callable[[str, str], Column],
     first_shared: Callable[[str, str], Column] | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Links (a, b) that connect everything that all pairs within the groups of ``entries`` (token, c,
     weight: long, and ``extra`` columns) would connect, without forming all pairs.
@@ -75,6 +88,8 @@ def linked_within(
     pairs have ``shared`` besides, the number of groups that a row stands for (1 in the first round), and the second
     round has only pairs that meet the condition somewhere, each once, with all their common groups counted; members
     must come once in a group.
+
+    ``bounds`` is such a condition for the second round alone, on columns that are looked up for its groups only.
     """
     named = lambda df, end: df.select("token", *[F.col(x).alias(x + end) for x in ("c", *extra)])
     leaders = entries.groupBy("token").agg(F.max(F.struct("weight", "c", *extra)).alias("x"), F.count("*").alias("m"))
@@ -89,12 +104,16 @@ def linked_within(
     mixed = slim.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high")
     colored = entries.join(placed, "c", "left").select("token", "c", *extra, color)
     open_ = checkpointed(colored.join(checkpointed(mixed.select("token")), "token", "left_semi"))
+    more, condition = extra, first_shared or compatible
+    if bounds:
+        open_ = checkpointed(open_.join(bounds.of(checkpointed(open_.select("c").distinct())), "c"))
+        more, condition = [*extra, *bounds.columns], lambda a, b: (first_shared or compatible)(a, b) & bounds.maybe(a, b, others["token"])
     largest = open_.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("k", F.struct("m", "k")).alias("main"))
     outside = open_.join(checkpointed(largest), "token").where("k <> main")
-    outside = checkpointed(outside.select("token", "main", *[F.col(x).alias(x + "_b") for x in ("c", "k", *extra)]))
-    others = open_.select("token", *[F.col(x).alias(x + "_a") for x in ("c", "k", *extra)])
+    outside = checkpointed(outside.select("token", "main", *[F.col(x).alias(x + "_b") for x in ("c", "k", *more)]))
+    others = open_.select("token", *[F.col(x).alias(x + "_a") for x in ("c", "k", *more)])
     other = (F.col("k_a") != F.col("k_b")) & ((F.col("k_a") == F.col("main")) | (F.col("k_a") < F.col("k_b")))
-    crossing = others.join(outside, "token").where(other & (first_shared or compatible)("_a", "_b"))
+    crossing = others.join(outside, "token").where(other & condition("_a", "_b"))
     crossing = _in_order(crossing, extra)
     second = links_of(_counted(crossing, open_) if first_shared else crossing)
     return first.unionByName(second)

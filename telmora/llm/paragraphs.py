@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed, partitions, row_key
-from telmora.llm.components import components, linked_within
+from telmora.llm.components import Bounds, components, linked_within
 from telmora.llm.jaccard import N, PERCENT, _mix, _Words, set_hash, shingles, windows
 
 #: Lines, and blocks of lines between blank ones, of at least so many words are paragraphs.
@@ -23,6 +23,8 @@ RUN_WORDS = 16
 HASHES = 84
 RECALL = 0.995
 FILTER = 1 << 20
+#: 64-bit words of the sketch of a set. Each shingle sets one of its bits.
+SKETCH = 8
 #: Text that is read together, a longer one alone.
 BLOCK_BYTES = 2 << 20
 
@@ -127,49 +129,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 _SPOT = pa.schema([(x, pa.int64()) for x in ("c", "row", "key")] + [(x, pa.int32()) for x in ("w0", "w1", "b0", "b1")])
+_BITS = [f"s{i}" for i in range(SKETCH)]
 
 
-def _spots(n: int):
-    """Lines and blocks of lines, and pieces of the finer division, as packed tables of many documents. Offsets are
-    words and bytes."""
+def _packed(table: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(table)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, keys, block in _blocks(batches):
-            def packed(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-                doc = block.doc[a]
-                word, byte = np.searchsorted(block.doc, doc), block.begins[doc]  # the document's first
-                offsets = (a - word, b - word, block.starts[a] - byte, block.ends[b - 1] - byte)
-                table = pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), rows[doc], keys[doc])] + [pa.array(x.astype(np.int32)) for x in offsets], schema=_SPOT)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _SPOT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(table)
-                return sink.getvalue().to_pybytes()
 
-            cuts = _cuts(block.h, block.doc, PIECE_WORDS)
-            pieces = packed(_ordered_hashes(block.h, cuts), cuts[:-1], cuts[1:])
-            found = block.sets(n)
-            u = np.concatenate([x[0] for x in found])
-            c = np.array([set_hash(s) for x in found for s in x[3]], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([True, False]), pa.array([pieces, packed(c, u[:, 0], u[:, 1])], pa.binary())], ["fine", "packed"])
-
-    return run
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A row of numbers as one value."""
+    return pa.Array.from_buffers(pa.binary(8 * rows.shape[1]), len(rows), [None, pa.py_buffer(rows.tobytes())])
 
 
-def _unpacked(found: DataFrame, fine: bool, columns: list[str]) -> DataFrame:
-    """Columns of the spots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("packed"):
-                for table in pa.ipc.open_stream(data.as_buffer()):
-                    yield table.select(columns)
-
-    kinds = ", ".join(f"{x} {'int' if pa.types.is_int32(_SPOT.field(x).type) else 'long'}" for x in columns)
-    return found.where("fine" if fine else "not fine").select("packed").mapInArrow(run, kinds)
-
-
-def _bands(n: int, bands: int, rows: int):
-    """(token, c): the band keys of the lines and blocks, a class once in each task."""
+def _signatures(bands: int, rows: int):
     # Shingle hashes are mixed already, so an odd factor and a shift of the origin permute them well enough.
     numbers = np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)
     factors, origins = _mix(numbers * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1)
@@ -188,26 +163,114 @@ def _bands(n: int, bands: int, rows: int):
                 keys[:, i] = _mix(keys[:, i] + np.uint64(i))
         return keys
 
+    return signatures
+
+
+def _sketches(values: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Bits that the shingles of each span set (spans don't overlap and are in order)."""
+    place = np.append(values, np.uint64(0)) % np.uint64(64 * SKETCH)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    word, flat = place >> np.uint64(6), spans.ravel()
+    return np.stack([np.bitwise_or.reduceat(np.where(word == i, bit, np.uint64(0)), flat)[::2] for i in range(SKETCH)], 1)
+
+
+def _spots(n: int, bands: int, rows: int):
+    """As packed tables of many documents: the lines and blocks of lines ("whole"), the pieces of the finer division
+    ("fine"), and the classes of the lines and blocks with size, sketch and band keys ("class", once in each task).
+    Offsets are words and bytes."""
+    signatures = _signatures(bands, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, _, block in _blocks(batches):
-            for _, values, spans, sets in block.sets(n):
+        for ids, keys, block in _blocks(batches):
+            def spots(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+                doc = block.doc[a]
+                word, byte = np.searchsorted(block.doc, doc), block.begins[doc]  # the document's first
+                offsets = (a - word, b - word, block.starts[a] - byte, block.ends[b - 1] - byte)
+                return _packed(pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), ids[doc], keys[doc])] + [pa.array(x.astype(np.int32)) for x in offsets], schema=_SPOT))
+
+            cuts = _cuts(block.h, block.doc, PIECE_WORDS)
+            out = [("fine", spots(_ordered_hashes(block.h, cuts), cuts[:-1], cuts[1:]))]
+            whole = []
+            for u, values, spans, sets in block.sets(n):
                 c = np.array([set_hash(s) for s in sets], np.int64)
+                whole.append((c, u))
                 new = np.zeros(len(c), bool)
                 for i, x in enumerate(c.tolist()):
                     if x not in seen:
                         seen.add(x)
                         new[i] = True
-                if not new.any():
-                    continue
-                spans = spans[new]
-                spans = spans[order := np.argsort(spans[:, 0])]
-                tokens = signatures(values, spans).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel()), pa.array(np.repeat(c[new][order], bands))], ["token", "c"])
+                if new.any():
+                    at = np.flatnonzero(new)
+                    at = at[np.argsort(spans[at, 0])]
+                    sizes = np.array([len(sets[i]) for i in at.tolist()], np.int32)
+                    columns = [pa.array(c[at]), pa.array(sizes), _fixed(_sketches(values, spans[at])), _fixed(signatures(values, spans[at]))]
+                    out.append(("class", _packed(pa.RecordBatch.from_arrays(columns, ["c", "n", "sketch", "bands"]))))
+            c, u = (np.concatenate(x) for x in zip(*whole))
+            out.append(("whole", spots(c, u[:, 0], u[:, 1])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([x for _, x in out], pa.binary())], ["kind", "packed"])
 
     return run
 
 
+def _tables(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("packed"):
+            for table in pa.ipc.open_stream(data.as_buffer()):
+                yield table.select(columns)
+
+
+def _unpacked(found: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """Columns of the spots."""
+    kinds = ", ".join(f"{x} {'int' if pa.types.is_int32(_SPOT.field(x).type) else 'long'}" for x in columns)
+    return found.where(F.col("kind") == kind).select("packed").mapInArrow(lambda batches: _tables(batches, columns), kinds)
+
+
+def _numbers(rows: pa.Array) -> np.ndarray:
+    """The numbers in values of ``_fixed``, a row for each."""
+    return np.frombuffer(b"".join(rows.to_pylist()), np.int64).reshape(len(rows), -1)
+
+
+def _tokens(found: DataFrame) -> DataFrame:
+    """(token, c): the band keys of the classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches, ["c", "bands"]):
+            tokens = _numbers(table["bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel()), pa.array(np.repeat(table["c"].to_numpy(), tokens.shape[1]))], ["token", "c"])
+
+    return found.where("kind = 'class'").select("packed").mapInArrow(run, "token long, c long")
+
+
+def _described(found: DataFrame, wanted: DataFrame, bands: int) -> DataFrame:
+    """(c, n, s0, ..., t0, ...): sizes, sketches and band keys of the sets of wanted classes (c)."""
+    names = [*_BITS, *(f"t{i}" for i in range(bands))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches, ["c", "n", "sketch", "bands"]):
+            numbers = np.ascontiguousarray(np.concatenate([_numbers(table["sketch"]), _numbers(table["bands"])], 1).T)
+            yield pa.RecordBatch.from_arrays([table["c"], table["n"], *map(pa.array, numbers)], ["c", "n", *names])
+
+    every = found.where("kind = 'class'").select("packed").mapInArrow(run, ", ".join(["c long", "n int", *(f"{x} long" for x in names)]))
+    return _among(every, "c", wanted).dropDuplicates(["c"]).join(wanted, "c", "left_semi")
+
+
+def _maybe_similar(percent: int, bands: int):
+    """What every similar pair of sets fulfils in the group of the first band key that they share: a bit that only
+    one of them sets is a shingle at least that the other lacks, which bounds what they share."""
+
+    def maybe(a: str, b: str, token: Column) -> Column:
+        def shared(x: str, y: str) -> Column:
+            lacking = [F.bit_count(F.col(s + x).bitwiseAND(F.bitwise_not(F.col(s + y)))) for s in _BITS]
+            return F.col("n" + x) - sum(lacking[1:], lacking[0])
+
+        first = F.coalesce(*[F.when(F.col(f"t{i}{a}") == F.col(f"t{i}{b}"), F.col(f"t{i}{a}")) for i in range(bands)])
+        bound = (100 + percent) * F.least(shared(a, b), shared(b, a)).cast("long") >= percent * (F.col("n" + a) + F.col("n" + b)).cast("long")
+        return bound & (first == token)
+
+    return maybe
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of tokens that two classes or more share, once each, with the number of these classes."""
     tables = [pa.Table.from_batches([b]) for b in batches]
@@ -258,8 +321,8 @@ def _among(df: DataFrame, x: str, wanted: DataFrame) -> DataFrame:
 def _texts_of(classes: DataFrame, where: DataFrame, texts: DataFrame) -> DataFrame:
     """(c, text) of classes (c), cut from the document of their first occurrence."""
     wanted = checkpointed(classes)
-    places = _among(where, "c", wanted).join(wanted, "c", "left_semi").groupBy("c")
-    spots = checkpointed(places.agg(F.min(F.struct("row", "key", "b0", "b1")).alias("at")).select("c", "at.*"))
+    places = _among(where, "c", wanted).groupBy("c").agg(F.min(F.struct("row", "key", "b0", "b1")).alias("at"))
+    spots = checkpointed(places.join(wanted, "c", "left_semi").select("c", "at.*"))
     cut = F.substring(F.col("text").cast("binary"), F.col("b0") + 1, F.col("b1") - F.col("b0")).cast("string")
     once = _among(texts, "row", spots).dropDuplicates(["row", "key"])
     return checkpointed(once.join(spots, ["row", "key"]).select("c", cut.alias("text")))
@@ -287,13 +350,13 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
     bands, rows = tune(percent / 100)
     none = F.lit(2**63 - 1)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("row"), row_key().alias("key"), "text")
-    found = checkpointed(texts.mapInArrow(_spots(n), "fine boolean, packed binary"))
-    tokens = texts.mapInArrow(_bands(n, bands, rows), "token long, c long").repartition(partitions(docs.sparkSession), "token")
+    found = checkpointed(texts.mapInArrow(_spots(n, bands, rows), "kind string, packed binary"))
+    tokens = _tokens(found).repartition(partitions(docs.sparkSession), "token")
     shared = checkpointed(tokens.mapInArrow(_shared, "token long, c long, m long"))
     # The text from which copies were made collides with most of them.
     weights = checkpointed(shared.groupBy("c").agg(F.sum("m").alias("weight")))
     entries = checkpointed(shared.drop("m").join(weights, "c"))
-    where = _unpacked(found, False, ["c", "row", "key", "b0", "b1"])
+    where = _unpacked(found, "whole", ["c", "row", "key", "b0", "b1"])
 
     def links_of(pairs: DataFrame) -> DataFrame:
         once = checkpointed(pairs.select("a", "b").distinct())
@@ -303,23 +366,25 @@ def repeated_paragraphs(docs: DataFrame, n: int = N, percent: int = PERCENT) ->
         return checkpointed(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"))
 
     anything = lambda a, b: F.lit(True)
-    placed = components(linked_within(entries, links_of, [], anything)).withColumnRenamed("node", "c")
+    columns = ["n", *_BITS, *(f"t{i}" for i in range(bands))]
+    bounds = Bounds(columns, lambda classes: _described(found, classes, bands), _maybe_similar(percent, bands))
+    placed = components(linked_within(entries, links_of, [], anything, bounds=bounds)).withColumnRenamed("node", "c")
 
-    def classes(fine: bool) -> DataFrame:
-        return _unpacked(found, fine, ["c", "row"]).groupBy("c").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    def classes(kind: str) -> DataFrame:
+        return _unpacked(found, kind, ["c", "row"]).groupBy("c").agg(F.min("row").alias("low"), F.max("row").alias("high"))
 
     # A class that is in one document and has no links loses nothing.
-    rooted = classes(False).join(placed, "c", "left").where("component is not null or low <> high")
+    rooted = classes("whole").join(placed, "c", "left").where("component is not null or low <> high")
     rooted = checkpointed(rooted.select("c", "low", "high", F.coalesce("component", "c").alias("root")))
     owners = rooted.groupBy("root").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
-    doomed = {False: rooted.join(checkpointed(owners), "root").select("c", "keep"), True: classes(True).where("low <> high").select("c", F.col("low").alias("keep"))}
+    doomed = {"whole": rooted.join(checkpointed(owners), "root").select("c", "keep"), "fine": classes("fine").where("low <> high").select("c", F.col("low").alias("keep"))}
 
-    def lost_of(fine: bool) -> DataFrame:
-        gone = checkpointed(doomed[fine])
-        spots = _among(_unpacked(found, fine, _SPOT.names), "c", gone)
-        return spots.join(gone, "c").where("row <> keep").withColumn("fine", F.lit(fine))
+    def lost_of(kind: str) -> DataFrame:
+        gone = checkpointed(doomed[kind])
+        spots = _among(_unpacked(found, kind, _SPOT.names), "c", gone)
+        return spots.join(gone, "c").where("row <> keep").withColumn("fine", F.lit(kind == "fine"))
 
-    lost = lost_of(False).unionByName(lost_of(True))
+    lost = lost_of("whole").unionByName(lost_of("fine"))
     per_doc = lost.groupBy("row", "key").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "b0", "b1", "keep", (~F.col("fine")).alias("whole")))).alias("all"))
     run = F.explode(_joined(F.col("all")))
     runs = per_doc.select("row", "key", run.alias("r")).where((F.col("r.w1") - F.col("r.w0") >= RUN_WORDS) | F.col("r.whole"))

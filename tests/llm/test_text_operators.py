@@ -396,6 +396,45 @@ def test_paragraphs_write_blocks_of_spots_and_shared_bands_only(spark, monkeypat
     assert sum(written) < 6 * 40
 
 
+def test_paragraphs_too_far_apart_are_not_paired_across_components(spark, monkeypatch):
+    rnd, seen = random.Random(33), []
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for d in range(80):
+        words = list(base)
+        for j in rnd.sample(range(60), d % 13):
+            words[j] = f"own{d}x{j}"
+        texts[d] = " ".join(words)
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(links, sets)
+    in_order = components._in_order
+    monkeypatch.setattr(components, "_in_order", lambda pairs, *x: seen.append(pairs.count()) or in_order(pairs, *x))
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["keep_doc_id"] for r in found if r["end"] - r["start"] == len(texts[r["doc_id"]])} == {d: c for d, c in root.items() if c < d}
+    assert seen[1] <= 2 * len(texts)
+
+
+def test_sketches_never_tell_similar_paragraphs_apart(spark):
+    rnd, rows, want = random.Random(34), [], set()
+    for i in range(200):
+        a = {rnd.getrandbits(63) for _ in range(rnd.choice([1, 5, 40, 400, 3000]))}
+        b = {x if rnd.random() > 0.3 * rnd.random() else rnd.getrandbits(63) for x in a}
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.add(i)
+        row = [i]
+        for s in (a, b):
+            v = np.array(sorted(s), np.uint64)
+            row += [len(s), *paragraphs._sketches(v, np.array([[0, len(v)]])).view(np.int64)[0].tolist(), 7, 8 + len(row)]
+        rows.append(row)
+    columns = [x + end for end in ("_a", "_b") for x in ("n", *(f"s{i}" for i in range(paragraphs.SKETCH)), "t0", "t1")]
+    df = spark.createDataFrame(rows, ", ".join(f"{x} long" for x in ["i", *columns]))
+    maybe = paragraphs._maybe_similar(80, 2)
+    kept = {r["i"] for r in df.where(maybe("_a", "_b", F.lit(7))).collect()}
+    assert want <= kept and 20 < len(want) < 180 and len(kept) < 190
+    assert df.where(maybe("_a", "_b", F.lit(9))).count() == 0
+
+
 def test_blocks_of_documents_have_the_lines_and_pieces_of_each():
     rnd = random.Random(32)
     parts = ["w", "x ", "yy y ", "\n", "\n\n", " \n", "\r", "\x0b", "\x1c", "é ", "z z z z z z z z "]
