@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from telmora.llm.common import checkpointed
 
+#: Edges that a task holds at least while stars are hung, unless there are fewer than ``LEAST_TASKS`` such tasks.
+EDGES_A_TASK = 20_000
+LEAST_TASKS = 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (least node reachable) for the nodes of ``edges`` (a long, b long).
@@ -18,37 +22,48 @@ def components(edges: DataFrame) -> DataFrame:
     its least neighbour, until only stars are left; the number of rounds grows with the logarithm of
     the longest chain. Each round's edges are written to the checkpoint folder. Least neighbours are
     partial sums, and the joins are plain equi-joins of written tables, so Spark can split a hub.
+    A round has as many tasks as its edges need, not as many as there are shuffle partitions: with few edges each
+    task's files and records would take more disk than the edges.
     Self-loops, repeated and null edges do no harm; no edges give no rows.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v and a is not null and b is not null")
     stars = checkpointed(pairs.distinct())
-    while not _settled(stars):
+    tasks = _tasks(stars.count())  # rounds have twice as many edges at most
+    stars = stars.coalesce(tasks)
+    while not _settled(stars, tasks):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hung = checkpointed(_hang(both, stars, upward=True))
-        stars = checkpointed(_hang(hung, hung, upward=False))
+        hung = checkpointed(_hang(both, stars, tasks, upward=True))
+        stars = checkpointed(_hang(hung, hung, tasks, upward=False))
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(roots)
 
 
-def _hang(neighbours: DataFrame, edges: DataFrame, upward: bool) -> DataFrame:
+def _tasks(edges: int) -> int:
+    """Tasks for so many edges; more than there are partitions change nothing."""
+    return max(LEAST_TASKS, -(-edges // EDGES_A_TASK))
+
+
+def _hang(neighbours: DataFrame, edges: DataFrame, tasks: int, upward: bool) -> DataFrame:
     """Edges (u > v) from each node's larger (upward) or smaller neighbours to its least one."""
-    least = checkpointed(neighbours.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    least = checkpointed(least.coalesce(tasks))
     if upward:  # edge (u, v), u > v: u is a larger neighbour of v
         moved = edges.join(least, F.col("v") == F.col("n")).select("u", F.col("m").alias("v"))
     else:
         moved = edges.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
-    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ordered = moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return ordered.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _settled(edges: DataFrame) -> bool:
+def _settled(edges: DataFrame, tasks: int) -> bool:
     """Whether distinct edges (u > v) are stars around their least nodes: no node hangs on two others, and none
     on which others hang hangs itself."""
     upper = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
     lower = edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
     nodes = upper.unionByName(lower).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-    return nodes.where("hangs + holds > 1").isEmpty()
+    return nodes.coalesce(tasks).where("hangs + holds > 1").isEmpty()
 
 
 @dataclass
@@ -82,7 +97,8 @@ def linked_within(
     components. Then, in groups that still hold several components, members outside the group's
     largest component are paired with compatible members of other components: every pair not yet
     connected that shares a group is among these, with a row for each group it shares. Which side comes
-    first there depends on the group's leader or largest component, so sides are put in order.
+    first there depends on the group's leader or largest component, so sides are put in order. Links of the first
+    round are returned as its components' stars.
 
     ``first_shared`` is a stricter condition that every similar pair meets in one of its groups at least. Then
     pairs have ``shared`` besides, the number of groups that a row stands for (1 in the first round), and the second
@@ -116,7 +132,8 @@ def linked_within(
     crossing = others.join(outside, "token").where(other & condition("_a", "_b"))
     crossing = _in_order(crossing, extra)
     second = links_of(_counted(crossing, open_) if first_shared else crossing)
-    return first.unionByName(second)
+    stars = placed.where("c <> component").select(F.col("c").alias("a"), F.col("component").alias("b"))  # as first connects
+    return stars.unionByName(second)
 
 
 def _counted(pairs: DataFrame, entries: DataFrame) -> DataFrame:

@@ -361,6 +361,41 @@ def test_settled_stars_are_written_once(spark, monkeypatch):
     assert len(written) == 1
 
 
+def test_rounds_have_as_many_tasks_as_their_edges_need(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    parts = []
+
+    def spy(df, inner=components.checkpointed):
+        out = inner(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "checkpointed", spy)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for least, most in ((components.EDGES_A_TASK, components.LEAST_TASKS), (1, 24)):
+            monkeypatch.setattr(components, "EDGES_A_TASK", least)
+            parts.clear()
+            assert {r["node"]: r["component"] for r in components.components(chain).collect()} == dict.fromkeys(range(201), 0)
+            assert len(parts) > 4 and max(parts[1:]) == most
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_links_of_the_first_round_come_as_stars(spark):
+    # All of 1 to 5 are alike, in ten links; 6 meets only 5, outside the leader's group.
+    held = {t: [1, 2, 3, 4, 5] for t in range(5)} | {9: [5, 6]}
+    entries = spark.createDataFrame([(t, c, 100 * (c == t + 1)) for t, cs in held.items() for c in cs], "token long, c long, weight long")
+    got = components.linked_within(entries, lambda pairs: pairs.select("a", "b").distinct(), [], lambda a, b: F.lit(True))
+    found = [(r["a"], r["b"]) for r in got.collect()]
+    assert len(found) == 5
+    assert roots(found, range(1, 7)) == dict.fromkeys(range(1, 7), 1)
+
+
 def test_the_driver_passes_on_a_packed_sketch(spark, monkeypatch):
     sent = []
 
