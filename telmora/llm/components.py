@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         hung = checkpointed(_hang(both, stars, tasks, upward=True))
         stars = checkpointed(_hang(hung, hung, tasks, upward=False))
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    roots = stars.select("v").distinct().coalesce(tasks).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(roots)
 
 
